@@ -192,7 +192,7 @@ def infer_schema(stats: DataFrame, by: str = "subject") -> DataFrame:
                 F.when(F.col("json_type") == "object", F.concat(F.lit('"properties":{'), F.col("members"), F.lit("}"))),
                 F.when((F.col("json_type") == "object") & (F.col("must") != ""), F.concat(F.lit('"required":['), F.col("must"), F.lit("]"))),
                 F.when((F.col("json_type") == "array") & F.col("non_empty"), F.concat(F.lit('"items":'), F.col("items"))),
-                F.concat(F.lit('"format":'), _quoted(F.col("format"))),
+                F.when(F.col("format").isNotNull(), F.concat(F.lit('"format":'), _quoted(F.col("format")))),
                 F.when(F.col("is_enum"), F.concat(F.lit('"enum":'), F.to_json("strings"))),
             )
         )

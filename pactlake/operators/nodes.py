@@ -203,6 +203,8 @@ def keyword_rows(body: str) -> Iterator[tuple]:
                 items = list(x)
             elif name in ("type", "required"):
                 items = [e for e in (x if isinstance(x, list) else [x]) if isinstance(e, str)]
+            elif isinstance(x, list) and not all(isinstance(e, (dict, list)) for e in x):
+                raw = dump_raw(x)
             yield path, name, _kind(x), raw, items, at_schema
             below = f"{path}/{escape_pointer(name)}"
             if at_schema and name == "properties" and isinstance(x, dict):
@@ -256,42 +258,42 @@ def compile_rules(nodes: DataFrame) -> DataFrame:
 
     A group is one schema document, so its size is bounded by the largest document allowed.
     """
-    kw = F.col("keyword")
-
-    def of(name: str, value: Column, kind: str | None = None) -> Column:
-        hit = kw == name
-        if kind:
-            hit = hit & (F.col("kind") == kind)
-        return F.max(F.when(hit, value)).alias(name)
-
-    raw, items = F.col("raw"), F.col("items")
+    raw, items, kind, keyword = F.col("raw"), F.col("items"), F.col("kind"), F.col("keyword")
     members = F.expr("transform(items, x -> " + canonical_value("try_parse_json(x)") + ")")
-    bad_pattern = (kw == "pattern") & (F.col("kind") == "string") & raw.rlike(_UNPORTABLE)
     unchecked = (
-        kw.isin(*UNCHECKED)
-        | ((kw == "additionalProperties") & ~F.col("kind").isin("true", "false"))
-        | ((kw == "items") & (F.col("kind") == "array"))
-        | bad_pattern
+        keyword.isin(*UNCHECKED)
+        | ((keyword == "additionalProperties") & ~kind.isin("true", "false"))
+        | ((keyword == "items") & (kind == "array"))
+        | ((keyword == "pattern") & (kind == "string") & raw.rlike(_UNPORTABLE))
     )
-    per_path = (
-        nodes.where("at_schema")
-        .groupBy("schema_id", "path")
-        .agg(
-            of("", F.col("kind")).alias("kind"),
-            of("type", items).alias("types"),
-            of("enum", items, "array").alias("enum"),
-            of("enum", members, "array").alias("enum_values"),
-            of("const", members).alias("const_value"),
-            of("required", items, "array").alias("required"),
-            of("properties", items).alias("props"),
-            of("additionalProperties", raw).alias("additional"),
-            of("pattern", raw, "string"),
-            of("format", raw, "string"),
-            of("uniqueItems", raw).alias("unique"),
-            F.max(kw == "items").alias("has_items"),
-            F.max(unchecked).alias("unchecked"),
-            *[of(k, raw.try_cast("decimal(38,18)"), "number") for k in _BOUNDS],
-        )
+    entry = F.struct(
+        keyword,
+        F.struct(kind, raw, items, F.when(keyword.isin("enum", "const"), members).alias("members")).alias("value"),
+    )
+    kw = nodes.where("at_schema").groupBy("schema_id", "path").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("kw"), F.bool_or(unchecked).alias("unchecked")
+    )
+
+    def of(name: str, field: str, *kinds: str) -> Column:
+        value = F.try_element_at("kw", F.lit(name))
+        return F.when(value["kind"].isin(*kinds), value[field]) if kinds else value[field]
+
+    per_path = kw.select(
+        "schema_id",
+        "path",
+        of("", "kind").alias("kind"),
+        of("type", "items").alias("types"),
+        of("enum", "items", "array").alias("enum"),
+        of("enum", "members", "array").alias("enum_values"),
+        of("const", "members").alias("const_value"),
+        of("required", "items", "array").alias("required"),
+        of("properties", "items").alias("props"),
+        of("additionalProperties", "raw", "true", "false").alias("additional"),
+        of("pattern", "raw", "string").alias("pattern"),
+        of("format", "raw", "string").alias("format"),
+        of("uniqueItems", "raw", "true", "false").alias("unique"),
+        "unchecked",
+        *[of(k, "raw", "number").try_cast("decimal(38,18)").alias(k) for k in _BOUNDS],
     )
     rule = F.struct(*[c for c in per_path.columns if c not in ("schema_id", "path")])
     return per_path.groupBy("schema_id").agg(
