@@ -47,21 +47,20 @@ def violation_rollup(reports: DataFrame) -> DataFrame:
     """
     clean = clean_reports(reports).where("usable")
     order = F.struct("ts", "seq")
-    opening = F.when(F.col("occurrences") >= 1, order)
-    start = clean.groupBy("fingerprint").agg(F.min(opening).alias("opened"))
-    # Only keys that had an early zero report need the opening time; the rest pass through.
-    early = clean.where("occurrences < 1").select("fingerprint").distinct()
-    late = start.join(early, "fingerprint", "left_semi").select("fingerprint", "opened")
-    counted = clean.join(late, "fingerprint", "left").where(
-        (F.col("occurrences") >= 1) | (order >= F.col("opened"))
-    )
-    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
-    return counted.groupBy("fingerprint", *KEY).agg(
-        F.min("ts").alias("first_seen_at"),
+    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(order.alias("at"), c)))
+    state = clean.groupBy("fingerprint", *KEY).agg(
+        F.min(F.when(F.col("occurrences") >= 1, order)).alias("opened"),
         F.max("ts").alias("last_seen_at"),
         F.sum(F.greatest("occurrences", F.lit(0))).alias("occurrences"),
-        F.coalesce(newest("detail"), F.lit("")).alias("detail"),
-        F.coalesce(newest("reported_by"), F.lit("unknown")).alias("reported_by"),
+        newest("detail").alias("d"),
+        newest("reported_by").alias("r"),
+    )
+    # When even the newest text is older than the opening, no accepted report had one.
+    after = lambda c, text: F.when(F.col(f"{c}.at") >= F.col("opened"), F.col(f"{c}.{text}"))
+    return state.where("opened is not null").select(
+        "fingerprint", *KEY, F.col("opened.ts").alias("first_seen_at"), "last_seen_at", "occurrences",
+        F.coalesce(after("d", "detail"), F.lit("")).alias("detail"),
+        F.coalesce(after("r", "reported_by"), F.lit("unknown")).alias("reported_by"),
     )
 
 

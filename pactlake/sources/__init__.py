@@ -1,0 +1,19 @@
+from .files import (
+    contract_files,
+    export_latest,
+    latest_export,
+    read_contract_dir,
+    read_messages,
+    sample_queue,
+    stream_messages,
+)
+
+__all__ = [
+    "contract_files",
+    "export_latest",
+    "latest_export",
+    "read_contract_dir",
+    "read_messages",
+    "sample_queue",
+    "stream_messages",
+]

@@ -1,0 +1,17 @@
+from .jobs import (
+    ROCKSDB,
+    quarantine_sink,
+    stream_conformance,
+    stream_replay,
+    stream_service_state,
+    stream_violation_rollup,
+)
+
+__all__ = [
+    "ROCKSDB",
+    "quarantine_sink",
+    "stream_conformance",
+    "stream_replay",
+    "stream_service_state",
+    "stream_violation_rollup",
+]
