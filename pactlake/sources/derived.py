@@ -187,6 +187,55 @@ SHARED: dict[str, str] = {
                event_id % 4 = 0 as is_breaking, cast(event_id % 3 + 1 as int) as ordinal,
                'user-' || cast(user_id % 11 as string) as actor
         from events""",
+    # one nested document per order line
+    "line_docs": """
+        select cast(l_orderkey * 100 + l_linenumber as bigint) as doc_id, 'acme.line.' || l_returnflag as subject,
+               o_orderkey, o_orderstatus, o_orderpriority, cast(o_totalprice as decimal(14,2)) as total,
+               l_linenumber, cast(l_quantity as int) as qty, cast(l_discount as decimal(6,2)) as disc,
+               cast(cast(l_shipdate as date) as string) as ship, l_returnflag, l_linestatus,
+               case when o_orderkey % 53 = 0 then '{"order":' else
+               '{"order":{"id":' || cast(o_orderkey as string) || ',"status":"' || o_orderstatus || '","total":' ||
+               cast(cast(o_totalprice as decimal(14,2)) as string) ||
+               case when o_orderkey % 3 = 0 then ',"priority":"' || o_orderpriority || '"' else '' end ||
+               '},"line":{"n":' || cast(l_linenumber as string) || ',"qty":' || cast(cast(l_quantity as int) as string) ||
+               ',"disc":' || cast(cast(l_discount as decimal(6,2)) as string) || ',"ship":"' ||
+               cast(cast(l_shipdate as date) as string) || '"},"flags":["' || l_returnflag || '","' || l_linestatus ||
+               '"],"note":' || case when o_orderkey % 5 = 0 then 'null' when o_orderkey % 7 = 0 then '"late"' else 'null' end ||
+               ',"gift":' || case when l_linenumber % 2 = 0 then 'true' else 'false' end || '}' end as body
+        from orders join lineitem on o_orderkey = l_orderkey""",
+    # authored spellings of the version schemas: plain, spaced, doubled key, empty
+    "authored_rows": """
+        select environment_id, subject, ordinal, body as plain,
+               case when ordinal % 5 = 0 then '  ' || body || ' '
+                    when ordinal % 7 = 0 then '{"type":"object","type":"object"}'
+                    when ordinal % 11 = 0 then ' '
+                    when ordinal % 13 = 0 then substring(body, 1, 20) else body end as body
+        from version_bodies""",
+    # schemas that refer to each other, one per part: mostly towards smaller keys, with some cycles
+    "part_links": """
+        select p_partkey as k, cast(floor(p_partkey / 2) as bigint) as t from part where p_partkey >= 2
+        union select p_partkey, p_partkey * 2 from part where p_partkey % 100 = 7
+        union select p_partkey, p_partkey * 4 from part where p_partkey % 100 = 9
+        union select p_partkey, p_partkey from part where p_partkey % 333 = 0""",
+    "part_refs": """
+        select p.p_partkey as k, l.t, 'main' as environment_id, 'acme.P' || cast(p.p_partkey as string) as subject,
+               'acme.P' || cast(l.t as string) as target
+        from part p join part_links l on l.k = p.p_partkey""",
+    "lint_rows": """
+        select 's' || cast(p_partkey as string) as schema_id, p_partkey as k, p_size,
+               case p_partkey % 6 when 0 then '{"$schema":"http://json-schema.org/draft-07/schema#","type":"object"}'
+                 when 1 then '{"properties":{"a":{"oneOf":[{"type":"string"}]}},"type":"object"}'
+                 when 2 then '{"properties":{"p":{"pattern":"^(?=x)y"}},"type":"object"}'
+                 when 3 then '{"$ref":"#/$defs/x","properties":{"r":{"$ref":"https://example.com/a"}}}'
+                 when 4 then '{"patternProperties":{"^a(?!b)":{"pattern":"^[a-z]+$"}},"size":' || cast(p_size as string) || '}'
+                 else '{"maximum":' || cast(p_size as string) || ',"type":"integer"}' end as body
+        from part""",
+    "contract_file_rows": """
+        select '/contracts/' || case when p_partkey % 10 = 0 then 'bad-name' || cast(p_partkey as string)
+                 else 'acme.P' || cast(p_partkey - p_partkey % 7 % 2 as string) end ||
+               case p_partkey % 4 when 0 then '.json' when 1 then '.AVSC' when 2 then '.proto' else '.txt' end as path,
+               '{"title":"' || p_name || '"}' as body
+        from part""",
     "chat_docs": """
         select conv_id * 1000 + turn as doc_id, 'acme.chat' as subject, conv_id, turn, role, text from conversations""",
 }
@@ -344,3 +393,25 @@ class Views:
             F.array_sort(F.collect_list(F.when(~F.col("produces"), ref))).alias("consumes"),
         )
         return self.service_seen.join(uses, ["environment_id", "service"], "left")
+
+    def _ref_schemas(self) -> DataFrame:
+        """One JSON schema per part whose members refer to other parts' schemas."""
+        scheme = self.wire.scheme
+        lists = self.part_refs.groupBy("k", "environment_id", "subject").agg(
+            F.array_sort(F.collect_list("target")).alias("targets")
+        )
+        member = lambda t, i: F.concat(
+            F.lit('"r'), i.cast("string"), F.lit(f'":{{"$ref":"{scheme}://main/'), t, F.lit('/1"}')
+        )
+        alone = self.part.select(
+            F.col("p_partkey").alias("k"), F.lit("main").alias("environment_id"),
+            F.concat(F.lit("acme.P"), F.col("p_partkey").cast("string")).alias("subject"),
+        ).join(lists.select("k", "targets"), "k", "left")
+        body = F.concat(
+            F.lit('{"properties":{'), F.array_join(F.transform(F.coalesce("targets", F.array().cast("array<string>")), member), ","),
+            F.lit('},"title":"'), F.col("subject"), F.lit('"}'),
+        )
+        return alone.select(
+            "k", "environment_id", "subject", F.lit(1).alias("ordinal"), F.lit("json").alias("format"), body.alias("body"),
+            F.concat(F.lit("s"), F.col("k").cast("string")).alias("schema_id"),
+        )
