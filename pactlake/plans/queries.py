@@ -105,7 +105,7 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     latest = v.event_subjects.select(F.concat(F.lit("q."), F.substring_index("subject", ".", -1)).alias("queue"), "subject", "ordinal", "schema_id", "format")
     stamped = decoding.stamp_envelopes(v.messages.join(latest, "queue", "left").withColumn("semver", F.lit(None).cast("string")), v.wire)
-    text = lambda n: F.try_element_at("headers", F.lit(n))["bytes"].cast("string")
+    text = lambda n: F.try_validate_utf8(F.try_element_at("headers", F.lit(n))["bytes"].cast("string"))
     return stamped.select(
         "message_id", F.size("headers").alias("n_headers"), text(v.wire.schema_id).alias("schema_id"),
         text(v.wire.subject).alias("subject"), text(v.wire.ordinal).alias("ordinal"), text("x-trace").alias("trace"),
@@ -641,12 +641,12 @@ def _(v: Views) -> DataFrame:
 
 @query("h3_violation_flush_windows")
 def _(v: Views) -> DataFrame:
-    return violations.violation_flush_windows(_flushes(v), "6 hours")[0]
+    return violations.violation_flush_windows(_flushes(v), "30 days")[0]
 
 
 @query("h3_violation_flush_dropped")
 def _(v: Views) -> DataFrame:
-    return violations.violation_flush_windows(_flushes(v), "6 hours")[1]
+    return violations.violation_flush_windows(_flushes(v), "30 days")[1]
 
 
 def _flushes(v: Views) -> DataFrame:
