@@ -71,8 +71,8 @@ def canonical_value(v: str) -> str:
 def with_nodes(df: DataFrame, document: str, depth: int) -> DataFrame:
     """Add ``nodes``: every node of the JSON text in column ``document``, down to ``depth`` levels.
 
-    The list is null when the text is not JSON. ``v`` stays on each node so that later checks can
-    compare whole values; drop it before any shuffle.
+    A node is (inst, path, up, name, v, m, a): where it is, its value, and its members or elements.
+    The list is null when the text is not JSON. Values are variants; drop them before any shuffle.
     """
     keep = df.columns
     nothing = "cast(null as string)"
@@ -88,19 +88,19 @@ def with_nodes(df: DataFrame, document: str, depth: int) -> DataFrame:
             ),
         )
         levels.append(f"_l{i + 1}")
-    fact = """named_struct('inst', n.inst, 'path', n.path, 'up', n.up, 'name', n.name, 'v', n.v,
-      'kind', case when n.m is not null then 'object' when n.a is not null then 'array'
-        else case schema_of_variant(n.v) when 'VOID' then 'null' when 'STRING' then 'string'
-             when 'BOOLEAN' then 'boolean' else 'number' end end,
-      'int64', n.m is null and n.a is null and schema_of_variant(n.v) = 'BIGINT',
-      'num', case when n.m is null and n.a is null then try_cast(n.v as decimal(38,18)) end,
-      'str', case when n.m is null and n.a is null then cast(n.v as string) end,
-      'keys', map_keys(n.m), 'a', n.a,
-      'n_children', coalesce(size(n.m), size(n.a)))"""
-    out = out.withColumn("nodes", F.expr(f"transform(concat({', '.join(levels)}), n -> {fact})"))
+    out = out.withColumn("nodes", F.concat(*levels))
     return out.select(*keep, "nodes")
 
 
+# Type of a node: object, array, or the name of its scalar variant type.
+TYPE = "case when n.m is not null then 'object' when n.a is not null then 'array' else schema_of_variant(n.v) end"
+# Kind of a node, given its type ``t``.
+KIND = (
+    "case t when 'object' then t when 'array' then t when 'STRING' then 'string' when 'BOOLEAN' then 'boolean' "
+    "when 'VOID' then 'null' else 'number' end"
+)
+
+
 def documents_depth(df: DataFrame, document: str) -> int:
     """Deepest nesting in the data, one aggregate over one column."""
     depth = json_depth(F.col(document))
@@ -109,22 +109,24 @@ def documents_depth(df: DataFrame, document: str) -> int:
 
 
 def payload_nodes(df: DataFrame, document: str, keys: list[str], depth: int | None = None) -> DataFrame:
-    """One row per node: ``keys`` + (inst_path, schema_path, parent_path, name, kind, int64, num, str, n_children, len_cp)."""
+    """One row per node: ``keys`` + (inst_path, schema_path, parent_path, name, kind, int64, num, str, n_children)."""
     if depth is None:
         depth = documents_depth(df, document)
     flat = with_nodes(df.select(*keys, document), document, depth)
-    return flat.select(*keys, F.explode_outer("nodes").alias("n")).where("n is not null").select(
+    rows = flat.select(*keys, F.explode_outer("nodes").alias("n")).where("n is not null")
+    typed = rows.withColumn("t", F.expr(TYPE)).withColumn("kind", F.expr(KIND))
+    kind, value = F.col("kind"), F.col("n.v")
+    return typed.select(
         *keys,
         F.col("n.inst").alias("inst_path"),
         F.col("n.path").alias("schema_path"),
         F.col("n.up").alias("parent_path"),
         F.col("n.name").alias("name"),
-        F.col("n.kind").alias("kind"),
-        F.col("n.int64").alias("int64"),
-        F.when(F.col("n.kind") == "number", F.col("n.num")).alias("num"),
-        F.when(F.col("n.kind").isin("string", "boolean"), F.col("n.str")).alias("str"),
-        F.col("n.n_children").alias("n_children"),
-        F.when(F.col("n.kind") == "string", F.char_length("n.str")).alias("len_cp"),
+        "kind",
+        (F.col("t") == "BIGINT").alias("int64"),
+        F.when(kind == "number", value.try_cast("decimal(38,18)")).alias("num"),
+        F.when(kind.isin("string", "boolean"), value.cast("string")).alias("str"),
+        F.when(kind == "object", F.size("n.m")).when(kind == "array", F.size("n.a")).alias("n_children"),
     )
 
 

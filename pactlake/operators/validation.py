@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .nodes import canonical_value, compile_rules, schema_nodes, with_nodes
+from .nodes import KIND, TYPE, canonical_value, compile_rules, schema_nodes, with_nodes
 
 # Fixed value: largest payload that is checked, in bytes.
 MAX_PAYLOAD_BYTES = 10 * 1024 * 1024
 
-_WHOLE = "n.num = floor(n.num)"
-_IS_TYPE = (
-    "t = n.kind or (t = 'integer' and n.kind = 'number' and (n.int64 or coalesce(" + _WHOLE + ", false)))"
-)
+_WHOLE = "(t = 'BIGINT' or coalesce(num = floor(num), false))"
+_IS_TYPE = f"x = kind or (x = 'integer' and kind = 'number' and {_WHOLE})"
 _EXPECTED = "concat(upper(substring(r.types[0], 1, 1)), substring(r.types[0], 2), 'Expected')"
 
 
-def _finding(condition: str, kind: str, path: str = "n.inst") -> str:
-    return f"case when {condition} then array(named_struct('path', {path}, 'kind', {kind})) end"
+def _finding(condition: str, kind: str) -> str:
+    return f"case when {condition} then array(named_struct('path', n.inst, 'kind', {kind})) end"
 
 
 def _at(names: str, kind: str) -> str:
@@ -31,44 +29,64 @@ def _at(names: str, kind: str) -> str:
 
 _NO_NAMES = "cast(array() as array<string>)"
 _VALUE = canonical_value("n.v")
-_CHECKS = [
+_COMMON = [
     _finding("r.kind = 'false'", "'ExcludedSchemaValidates'"),
     _finding(
-        f"size(r.types) > 0 and not exists(r.types, t -> {_IS_TYPE})",
+        f"size(r.types) > 0 and not exists(r.types, x -> {_IS_TYPE})",
         f"case when size(r.types) > 1 then 'NoTypeValidates' else {_EXPECTED} end",
     ),
     _finding(f"r.enum_values is not null and not array_contains(r.enum_values, {_VALUE})", "'EnumNotMatched'"),
     _finding(f"r.const_value is not null and r.const_value[0] <> {_VALUE}", "'ConstNotMatched'"),
-    f"case when n.kind = 'object' and r.required is not null then "
-    f"{_at('array_except(r.required, n.keys)', 'PropertyRequired')} end",
-    f"case when n.kind = 'object' and r.additional = 'false' then "
-    f"{_at(f'array_except(n.keys, coalesce(r.props, {_NO_NAMES}))', 'NoAdditionalPropertiesAllowed')} end",
-    _finding("n.kind = 'number' and (n.num > r.maximum or n.num >= r.exclusiveMaximum)", "'NumberTooBig'"),
-    _finding("n.kind = 'number' and (n.num < r.minimum or n.num <= r.exclusiveMinimum)", "'NumberTooSmall'"),
-    _finding("n.kind = 'number' and r.multipleOf > 0 and n.num % r.multipleOf <> 0", "'NumberNotMultipleOf'"),
-    _finding("n.kind = 'string' and char_length(n.str) > r.maxLength", "'StringTooLong'"),
-    _finding("n.kind = 'string' and char_length(n.str) < r.minLength", "'StringTooShort'"),
-    _finding("n.kind = 'string' and r.pattern is not null and not (n.str rlike concat('(?d)', r.pattern))", "'PatternMismatch'"),
-    _finding("n.kind = 'array' and n.n_children > r.maxItems", "'TooManyItems'"),
-    _finding("n.kind = 'array' and n.n_children < r.minItems", "'TooFewItems'"),
-    _finding(
-        "n.kind = 'array' and r.unique = 'true' and "
-        f"size(array_distinct(transform(n.a, x -> {canonical_value('x')}))) < size(n.a)",
-        "'ArrayItemNotUnique'",
-    ),
 ]
-
-
-def _rewrite() -> str:
-    """The checks name a node ``n`` and its rule ``r``; inside the lambda both are fields of ``x``."""
-    checks = re.sub(r"(?<![\w.'])([nr])\.(?=[a-z_A-Z])", r"p.\1.", ", ".join(_CHECKS))
-    return (
-        "flatten(transform(filter(transform(nodes, n -> named_struct('n', n, 'r', rules[n.path])), "
-        f"p -> p.r is not null), p -> flatten(filter(array({checks}), f -> f is not null))))"
+_BY_KIND = {
+    "object": [
+        f"case when r.required is not null then {_at('array_except(r.required, map_keys(n.m))', 'PropertyRequired')} end",
+        f"case when r.additional = 'false' then "
+        f"{_at(f'array_except(map_keys(n.m), coalesce(r.props, {_NO_NAMES}))', 'NoAdditionalPropertiesAllowed')} end",
+    ],
+    "number": [
+        _finding("num > r.maximum or num >= r.exclusiveMaximum", "'NumberTooBig'"),
+        _finding("num < r.minimum or num <= r.exclusiveMinimum", "'NumberTooSmall'"),
+        _finding("r.multipleOf > 0 and num % r.multipleOf <> 0", "'NumberNotMultipleOf'"),
+    ],
+    "string": [
+        _finding("char_length(str) > r.maxLength", "'StringTooLong'"),
+        _finding("char_length(str) < r.minLength", "'StringTooShort'"),
+        _finding("r.pattern is not null and not (str rlike concat('(?d)', r.pattern))", "'PatternMismatch'"),
+    ],
+    "array": [
+        _finding("size(n.a) > r.maxItems", "'TooManyItems'"),
+        _finding("size(n.a) < r.minItems", "'TooFewItems'"),
+        _finding(
+            f"r.unique = 'true' and size(array_distinct(transform(n.a, x -> {canonical_value('x')}))) < size(n.a)",
+            "'ArrayItemNotUnique'",
+        ),
+    ],
+}
+
+
+def _on(var: str, text: str, names: str) -> str:
+    """Qualify the free names of an expression with the lambda variable that carries them."""
+    return re.sub(rf"(?<![\w.'])({names})(?![\w'(])", rf"{var}.\1", text)
+
+
+def _checks() -> str:
+    """Findings of all nodes that have a rule. Facts about a node are worked out step by step, and
+    only the checks of the node's own kind are run."""
+    ruled = "filter(transform(nodes, n -> named_struct('n', n, 'r', rules[n.path])), p -> p.r is not null)"
+    typed = f"transform({ruled}, p -> named_struct('n', p.n, 'r', p.r, 't', {_on('p', TYPE, 'n')}))"
+    kinds = f"transform({typed}, p -> named_struct('n', p.n, 'r', p.r, 't', p.t, 'kind', {_on('p', KIND, 't')}))"
+    facts = (
+        f"transform({kinds}, p -> named_struct('n', p.n, 'r', p.r, 't', p.t, 'kind', p.kind, "
+        "'num', case when p.kind = 'number' then try_cast(p.n.v as decimal(38,18)) end, "
+        "'str', case when p.kind = 'string' then cast(p.n.v as string) end))"
     )
+    own = " ".join(f"when '{k}' then flatten(array_compact(array({', '.join(c)})))" for k, c in _BY_KIND.items())
+    every = f"flatten(array_compact(array({', '.join(_COMMON)}, case kind {own} end)))"
+    return f"flatten(transform({facts}, p -> {_on('p', every, 'n|r|t|kind|num|str')}))"
 
 
-FINDINGS = _rewrite()
+FINDINGS = _checks()
 
 
 def rules_of(schemas: DataFrame) -> DataFrame:
