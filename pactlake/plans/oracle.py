@@ -581,6 +581,46 @@ oracle(
     "f1_json_schema_diff",
     """{findings:select distinct b.schema_id as prev_id, a.schema_id as next_id from reg b join reg a on a.environment_id = b.environment_id and a.subject = b.subject and a.ordinal = b.ordinal + 1}""",
 )
+_SHAPED = "from shape_pairs x join shapes b on b.schema_id = prev_id join shapes f on f.schema_id = next_id where"
+
+
+def shaped(rows: list[tuple]) -> str:
+    """Divergences of shape pairs: b is before, f after."""
+    return " union all ".join(
+        f"select prev_id, next_id, '{path}' as path, '{kind}' as kind, '{way}' as direction, {surface} as surface {_SHAPED} {test}"
+        for test, path, kind, ways, surface in rows for way in ways
+    )
+
+
+_TWO = ("Backward", "Forward")
+oracle("f2_avro_diff", shaped([
+    ("b.whole and not f.whole", "#/fields/q", "type_promoted", _TWO[:1], 3),
+    ("b.whole and not f.whole", "#/fields/q", "type_widened", _TWO[1:], 1),
+    ("f.whole and not b.whole", "#/fields/q", "type_narrowed", _TWO[:1], 1),
+    ("f.whole and not b.whole", "#/fields/q", "type_promoted", _TWO[1:], 3),
+    ("((b.a and not f.a) or (b.n and not f.n) or (b.r and not f.r))", "#/fields/flag", "enum_value_removed", _TWO[:1], 1),
+    ("((f.a and not b.a) or (f.n and not b.n) or (f.r and not b.r))", "#/fields/flag", "enum_value_added", _TWO[1:], 1),
+    ("b.ship <> f.ship", "#/fields/ship", "fixed_size_changed", _TWO, 1),
+    ("f.tax and not b.tax", "#/fields/tax", "required_field_added", _TWO[:1], 1),
+    ("b.tax and not f.tax", "#/fields/tax", "required_field_removed", _TWO[1:], 1),
+]))
+oracle("f3_protobuf_diff", shaped([
+    ("b.whole <> f.whole", "Line/1", "type_promoted", _TWO, 2),
+    ("b.tax and not f.tax and not f.closed", "Line/2", "field_removed_without_reserved", _TWO[:1], 1),
+    ("f.tax and not b.tax and b.closed", "Line/2", "field_number_reused", _TWO[:1], 1),
+    ("b.ship <> f.ship", "Line/3", "type_promoted", _TWO, 2),
+    ("b.a and not f.a", "Flag/1", "enum_value_removed", _TWO[:1], 2),
+    ("b.n and not f.n", "Flag/2", "enum_value_removed", _TWO[:1], 2),
+    ("b.r and not f.r", "Flag/3", "enum_value_removed", _TWO[:1], 2),
+    ("f.a and not b.a", "Flag/1", "enum_value_added", _TWO[1:], 2),
+    ("f.n and not b.n", "Flag/2", "enum_value_added", _TWO[1:], 2),
+    ("f.r and not b.r", "Flag/3", "enum_value_added", _TWO[1:], 2),
+]))
+oracle(
+    "e5_unsupported_references",
+    """select distinct 's' || p_partkey as schema_id, 'acme.X' || p_size as reference, 'schema_references_unsupported' as error_code from part where p_partkey % 5 = 0
+       union select schema_id, path, 'schema_references_unsupported' from import_rows where path like 'acme%'""",
+)
 oracle("f4_compatibility_check", "select * from verdicts")
 oracle(
     "f4_compatibility_changes",

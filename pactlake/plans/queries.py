@@ -17,10 +17,12 @@ from ..functions import (
     subject_valid,
 )
 from ..operators import catalog, compatibility, conformance, decoding, governance, graph, inference, notifications, replay, routing, validation, violations
+from ..operators.avro_diff import avro_diff, avro_types
 from ..operators.bundle import bundle_schemas
 from ..operators.canonical import catalog_canonical_audit
 from ..operators.json_diff import diff_json_pairs, json_schema_diff
 from ..operators.nodes import schema_nodes
+from ..operators.proto_diff import protobuf_diff
 from ..session import configure, materialize
 from ..sources import contract_files, latest_export, read_messages, sample_queue
 from ..sources.derived import Views
@@ -379,6 +381,30 @@ def _(v: Views) -> DataFrame:
     return json_schema_diff(pairs, materialize(validation.rules_of(v.schemas), "rules")).drop("content_model")
 
 
+def _avro_types(v: Views) -> DataFrame:
+    return avro_types(catalog_canonical_audit(v.avro_rows.withColumnRenamed("schema_id", "key"), v.wire).select(
+        F.col("key").alias("schema_id"), "canonical"))
+
+
+@query("f2_avro_diff")
+def _(v: Views) -> DataFrame:
+    return avro_diff(v.shape_pairs, _avro_types(v))
+
+
+@query("f3_protobuf_diff")
+def _(v: Views) -> DataFrame:
+    return protobuf_diff(v.shape_pairs, v.proto_message_rows, v.proto_field_rows, v.proto_enum_rows, v.proto_reserved_rows)
+
+
+@query("e5_unsupported_references")
+def _(v: Views) -> DataFrame:
+    undefined = v.part.where("p_partkey % 5 = 0").select(
+        F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("schema_id"),
+        F.concat(F.lit('["null","acme.X'), F.col("p_size").cast("string"), F.lit('"]')).alias("canonical"),
+    )
+    return catalog.unsupported_references(avro_types(undefined).unionByName(_avro_types(v)), v.import_rows)
+
+
 @query("f4_compatibility_check")
 def _(v: Views) -> DataFrame:
     return _verdicts(v)[0]

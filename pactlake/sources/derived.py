@@ -113,6 +113,45 @@ SHARED: dict[str, str] = {
                     when (p_partkey + ordinal) % 11 = 0 then '0.' || cast(ordinal as string) || '.0-rc.1'
                     else cast(1 + ordinal % 3 as string) || '.' || cast(ordinal as string) || '.0' end as semver
         from version_rules v""",
+    # the rules of a version without its maximum, for the Avro and Protobuf shapes of the same data
+    "shape_keys": """
+        select environment_id, subject, ordinal,
+               'v' || cast(case when disc_integer then 1 else 0 end as string) || cast(case when tax_required then 1 else 0 end as string) ||
+               cast(flag_a as string) || cast(flag_n as string) || cast(flag_r as string) ||
+               cast(case when ship_date then 1 else 0 end as string) || cast(case when closed then 1 else 0 end as string) as schema_id
+        from version_rules""",
+    "shapes": """
+        select schema_id, substring(schema_id, 2, 1) = '1' as whole, substring(schema_id, 3, 1) = '1' as tax,
+               substring(schema_id, 4, 1) = '1' as a, substring(schema_id, 5, 1) = '1' as n, substring(schema_id, 6, 1) = '1' as r,
+               substring(schema_id, 7, 1) = '1' as ship, substring(schema_id, 8, 1) = '1' as closed
+        from (select distinct schema_id from shape_keys) k""",
+    "shape_pairs": """
+        select distinct b.schema_id as prev_id, a.schema_id as next_id from shape_keys b join shape_keys a
+          on a.environment_id = b.environment_id and a.subject = b.subject and a.ordinal = b.ordinal + 1""",
+    "avro_rows": """
+        select schema_id, 'avro' as format, '{"type":"record","name":"Line","namespace":"acme","fields":[{"name":"q","type":"' ||
+               case when whole then 'int' else 'long' end || '"},{"name":"flag","type":{"type":"enum","name":"Flag","symbols":["Z"' ||
+               case when a then ',"A"' else '' end || case when n then ',"N"' else '' end || case when r then ',"R"' else '' end ||
+               ']}},{"name":"ship","type":{"type":"fixed","name":"Ship","size":' || case when ship then '10' else '8' end || '}}' ||
+               case when tax then ',{"name":"tax","type":"double"}' else '' end ||
+               case when closed then ',{"name":"note","type":["null","string"],"default":null}' else '' end || ']}' as body
+        from shapes""",
+    "proto_message_rows": "select schema_id, 'Line' as message from shapes",
+    "proto_field_rows": """
+        select schema_id, 'Line' as message, 1 as number, 'q' as name, 'singular' as label, case when whole then 'int32' else 'int64' end as type,
+               cast(null as string) as map_key from shapes
+        union all select schema_id, 'Line', 2, 'tax', 'singular', 'double', cast(null as string) from shapes where tax
+        union all select schema_id, 'Line', 3, 'ship', 'singular', case when ship then 'string' else 'bytes' end, cast(null as string) from shapes""",
+    "proto_enum_rows": """
+        select schema_id, 'Flag' as enum, 0 as number, 'Z' as name from shapes
+        union all select schema_id, 'Flag', 1, 'A' from shapes where a
+        union all select schema_id, 'Flag', 2, 'N' from shapes where n
+        union all select schema_id, 'Flag', 3, 'R' from shapes where r""",
+    "proto_reserved_rows": "select schema_id, 'Line' as message, 2 as lo, 2 as hi from shapes where closed and not tax",
+    "import_rows": """
+        select 's' || cast(p_partkey as string) as schema_id,
+               case when p_partkey % 3 = 0 then 'acme/common' || cast(p_size as string) || '.proto' else 'google/protobuf/timestamp.proto' end as path
+        from part""",
     "environment_rows": """
         select r_name as environment_id, cast(r_regionkey as int) as k,
                case r_regionkey % 3 when 0 then null when 1 then 'FULL' else 'BACKWARD' end as default_mode,
