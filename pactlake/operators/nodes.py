@@ -7,6 +7,7 @@ shuffle is needed to flatten a message or to judge it, whatever its size or how
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -176,6 +177,14 @@ def _kind(value) -> str:
     return "null" if value is None else str(value).lower()
 
 
+def _compiles(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return False
+    return True
+
+
 def keyword_rows(body: str) -> Iterator[tuple]:
     """(path, keyword, kind, raw, items, at_schema) for every member at every depth.
 
@@ -203,6 +212,8 @@ def keyword_rows(body: str) -> Iterator[tuple]:
                 items = [dump_raw(e) for e in x]
             elif name == "properties" and isinstance(x, dict):
                 items = list(x)
+            elif name == "pattern" and isinstance(x, str):
+                items = [x] if _compiles(x) else None
             elif name in ("type", "required"):
                 items = [e for e in (x if isinstance(x, list) else [x]) if isinstance(e, str)]
             elif isinstance(x, list) and not all(isinstance(e, (dict, list)) for e in x):
@@ -250,7 +261,7 @@ UNCHECKED = (
     "propertyNames then unevaluatedItems unevaluatedProperties"
 ).split()
 # Constructs that Java and other regular-expression engines do not read alike.
-_UNPORTABLE = r"\(\?|\\[^dDsSwWbBnrtf.\-\\/\[\]{}()*+?^$|]|\{,|\[[^\]]*\[|&&|\[\]|\[\^\]"
+_UNPORTABLE = r"\(\?|(?<!\\)\{(?!\d+(,\d*)?\})|\\[^dDsSwWbBnrtf.\-\\/\[\]{}()*+?^$|]|\{,|\[[^\]]*\[|&&|\[\]|\[\^\]"
 
 _BOUNDS = ("maximum", "exclusiveMaximum", "minimum", "exclusiveMinimum", "maxLength", "minLength", "maxItems", "minItems", "multipleOf")
 
@@ -266,7 +277,7 @@ def compile_rules(nodes: DataFrame) -> DataFrame:
         keyword.isin(*UNCHECKED)
         | ((keyword == "additionalProperties") & ~kind.isin("true", "false"))
         | ((keyword == "items") & (kind == "array"))
-        | ((keyword == "pattern") & (kind == "string") & raw.rlike(_UNPORTABLE))
+        | ((keyword == "pattern") & (kind == "string") & (items.isNull() | raw.rlike(_UNPORTABLE)))
     )
     entry = F.struct(
         keyword,
@@ -294,6 +305,7 @@ def compile_rules(nodes: DataFrame) -> DataFrame:
         of("pattern", "raw", "string").alias("pattern"),
         of("format", "raw", "string").alias("format"),
         of("uniqueItems", "raw", "true", "false").alias("unique"),
+        F.when(~F.col("unchecked"), of("pattern", "raw", "string")).alias("run_pattern"),
         "unchecked",
         *[of(k, "raw", "number").try_cast("decimal(38,18)").alias(k) for k in _BOUNDS],
     )

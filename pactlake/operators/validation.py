@@ -52,7 +52,7 @@ _BY_KIND = {
     "string": [
         _finding("char_length(str) > r.maxLength", "'StringTooLong'"),
         _finding("char_length(str) < r.minLength", "'StringTooShort'"),
-        _finding("r.pattern is not null and not (str rlike concat('(?d)', r.pattern))", "'PatternMismatch'"),
+        _finding("r.run_pattern is not null and not (str rlike concat('(?d)', r.run_pattern))", "'PatternMismatch'"),
     ],
     "array": [
         _finding("size(n.a) > r.maxItems", "'TooManyItems'"),

@@ -19,7 +19,8 @@ def _document(df: DataFrame) -> DataFrame:
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """A payload corpus: a folder of ``.json`` documents, one message per file, or a table of messages.
 
-    Files give (path, file_name, body binary); a Parquet folder is read with its own columns.
+    Files give (path, file_name, body binary); a Parquet folder is read with its own columns. Spark leaves
+    out files of length zero.
     """
     if path.endswith((".parquet", "/parquet")):
         return spark.read.parquet(path)
