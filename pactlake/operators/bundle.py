@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..wire import Wire
-from .graph import reach
+from .graph import closure
 from .nodes import dump_raw, parse_raw
 
 
@@ -51,7 +51,7 @@ def bundle_schemas(schemas: DataFrame, edges: DataFrame, wire: Wire = Wire()) ->
     texts = ready.mapInArrow(_rewrite_documents, "schema_id string, text string")
 
     known = edges.where("dst is not null").select("src", "dst").distinct()
-    inside = reach(schemas.select(F.col("schema_id").alias("start")), known)
+    inside = closure(known)
     names = edges.where("dst is not null").select(
         F.col("dst").alias("node"), F.concat(F.col("subject"), F.lit("__"), F.col("version").cast("string")).alias("key")
     ).distinct()

@@ -214,8 +214,9 @@ def subject_inventory(resolved: DataFrame) -> DataFrame:
         F.max("last_seen").alias("last_seen"),
         F.count("*").alias("exchanges"),
     )
-    total = per_subject.agg(F.sum("messages").alias("total"))
-    return per_subject.crossJoin(F.broadcast(total)).select(
+    per_subject = materialize(per_subject, "subjects")
+    total = per_subject.agg(F.sum("messages").alias("total")).first()["total"]
+    return per_subject.select(
         "subject", "subject_outcome", "messages", "first_seen", "last_seen", "exchanges",
-        (F.col("messages") / F.col("total")).alias("share"),
+        (F.col("messages") / F.lit(total)).alias("share"),
     )

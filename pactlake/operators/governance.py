@@ -239,7 +239,8 @@ def registry_overview(subjects: DataFrame, versions: DataFrame) -> DataFrame:
     """One row: how many subjects, versions and versions awaiting approval."""
     s = subjects.agg(F.count("*").alias("subjects"), F.count_if(F.col("latest_ordinal").isNull()).alias("without_latest"))
     v = versions.agg(F.count("*").alias("versions"), F.count_if(F.col("status") == "AwaitingApproval").alias("pending"))
-    return s.join(v)
+    both = s.unionByName(v, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def recent_subjects(subjects: DataFrame, versions: DataFrame, limit: int) -> DataFrame:

@@ -32,6 +32,19 @@ def reach(starts: DataFrame, edges: DataFrame, source: str = "src", target: str
     return seen
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(start, node) for every node that starts an edge, in as many rounds as the longest distance has
+    binary digits: each round extends the newest pairs by everything known, so distances double."""
+    seen = materialize(edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct(), "closure")
+    front = seen
+    while not front.isEmpty():
+        onward = seen.select(F.col("start").alias("node"), F.col("node").alias("end"))
+        grown = front.join(onward, "node").select("start", F.col("end").alias("node")).distinct()
+        front = materialize(grown.join(seen, ["start", "node"], "left_anti"), "closure")
+        seen = seen.unionByName(front)
+    return seen
+
+
 def reach_any(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): the nodes reached from at least one start, and the starts themselves."""
     steps = materialize(edges.select("src", "dst").distinct(), "edges")
@@ -46,10 +59,9 @@ def reach_any(starts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def transitive_referrers(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(target, referrer): every node that reaches the target."""
-    starts = (targets if targets is not None else edges.select(F.col("dst").alias("target"))).select(
-        F.col("target").alias("start")
-    )
-    found = reach(starts, edges, "dst", "src")
+    if targets is None:
+        return closure(edges).select(F.col("node").alias("target"), F.col("start").alias("referrer"))
+    found = reach(targets.select(F.col("target").alias("start")), edges, "dst", "src")
     return found.select(F.col("start").alias("target"), F.col("node").alias("referrer"))
 
 

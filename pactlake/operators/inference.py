@@ -36,15 +36,17 @@ def infer_path_stats(docs: DataFrame, by: str = "subject", document: str = "body
     """
     text = F.col(document)
     usable = docs.select(by, F.when(json_depth(text) <= MAX_DEPTH, text).alias("document"))
-    nodes = payload_nodes(usable, "document", [by], documents_depth(usable, "document"))
+    nodes = payload_nodes(usable, "document", [by], documents_depth(usable, "document")).alias("nodes")
     kind = F.col("kind")
     place = [by, "schema_path"]
-    counts = nodes.groupBy(*place, "parent_path", "name").agg(
+    # One pass over the nodes: counted per path and, for strings, per text. Everything else is read
+    # from this smaller table, so documents are flattened once.
+    texts = nodes.groupBy(*place, "parent_path", "name", F.when(kind == "string", F.col("str")).alias("str")).agg(
         F.count("*").alias("occurrences"),
         F.max(F.size(F.split("inst_path", "/")) - 1).alias("depth"),
         F.count_if(kind == "null").alias("n_null"),
-        F.count_if((kind == "boolean") & (F.col("str") == "true")).alias("n_true"),
-        F.count_if((kind == "boolean") & (F.col("str") == "false")).alias("n_false"),
+        F.count_if((kind == "boolean") & (F.col("nodes.str") == "true")).alias("n_true"),
+        F.count_if((kind == "boolean") & (F.col("nodes.str") == "false")).alias("n_false"),
         F.count_if(kind == "string").alias("n_string"),
         F.count_if(kind == "number").alias("n_number"),
         F.count_if("int64").alias("n_int64"),
@@ -52,16 +54,22 @@ def infer_path_stats(docs: DataFrame, by: str = "subject", document: str = "body
         F.count_if(kind == "array").alias("n_array"),
         F.coalesce(F.bool_or((kind == "array") & (F.col("n_children") > 0)), F.lit(False)).alias("non_empty"),
     )
-    strings = nodes.where(kind == "string").groupBy(*place, "str").agg(F.count("*").alias("n"))
-    looks = [F.bool_and(F.col("str").rlike(rx)).alias(f"is_{name}") for name, rx in FORMATS.items()]
-    per_path = strings.groupBy(*place).agg(
-        F.count("*").alias("distinct_strings"), F.bool_or(F.col("str") == "").alias("any_empty"), *looks
+    texts = materialize(texts, "path-texts")
+    is_text = F.col("n_string") > 0
+    looks = [F.bool_and(F.when(is_text, F.col("str").rlike(rx))).alias(f"is_{name}") for name, rx in FORMATS.items()]
+    sums = [c for c in texts.columns if c.startswith("n_")]
+    stats = texts.groupBy(*place, "parent_path", "name").agg(
+        F.sum("occurrences").alias("occurrences"),
+        F.max("depth").alias("depth"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.bool_or("non_empty").alias("non_empty"),
+        F.count_if(is_text).alias("distinct_strings"),
+        F.bool_or(F.when(is_text, F.col("str") == "")).alias("any_empty"),
+        *looks,
     )
-    few = per_path.where(F.col("distinct_strings") <= MAX_ENUM).select(*place)
-    values = strings.join(few, place).groupBy(*place).agg(F.array_sort(F.collect_list("str")).alias("strings"))
-    out = counts.join(per_path, place, "left").join(values, place, "left")
-    distinct = F.coalesce("distinct_strings", F.lit(0))
-    return out.withColumn("distinct_strings", distinct).withColumn(
+    few = stats.where(F.col("distinct_strings").between(1, MAX_ENUM)).select(*place)
+    values = texts.where(is_text).join(few, place).groupBy(*place).agg(F.array_sort(F.collect_list("str")).alias("strings"))
+    return stats.join(values, place, "left").withColumn(
         "truncated", (F.col("distinct_strings") >= STRING_CAP) & (F.col("n_string") > STRING_CAP)
     )
 

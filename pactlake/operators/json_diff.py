@@ -85,12 +85,13 @@ _COMPARISONS = [
 
 
 def _all_paths() -> str:
-    """Compare every path both schemas have as an object; ``b`` is before, ``a`` after."""
+    """Compare every path that both schemas have as an object and where their rules are not the same;
+    ``b`` is before, ``a`` after."""
     body = re.sub(r"(?<![\w.'])([ab])\.(?=[a-z])", r"p.\1.", ", ".join(_COMPARISONS))
     body = re.sub(r"(?<![\w.'])path(?=[,)])", "p.path", body)
     shared = "array_intersect(map_keys(before), map_keys(after))"
     nodes = f"transform({shared}, k -> named_struct('path', k, 'b', before[k], 'a', after[k]))"
-    objects = f"filter({nodes}, p -> p.b.kind = 'object' and p.a.kind = 'object')"
+    objects = f"filter({nodes}, p -> p.b.kind = 'object' and p.a.kind = 'object' and not (p.b <=> p.a))"
     return f"flatten(transform({objects}, p -> flatten(filter(array({body}), f -> f is not null))))"
 
 

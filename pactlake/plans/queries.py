@@ -540,9 +540,8 @@ def _(v: Views) -> DataFrame:
 
 @query("g5_lineage_pairs")
 def _(v: Views) -> DataFrame:
-    few = v.part.where("p_size = 7").crossJoin(v.region).select(
-        F.col("r_name").alias("environment_id"), F.concat(F.lit("acme.part.P"), F.col("p_partkey").cast("string")).alias("subject")
-    )
+    few = v.part.where("p_size = 7").select(F.concat(F.lit("acme.part.P"), F.col("p_partkey").cast("string")).alias("subject"))
+    few = _uses(v).select("environment_id", "subject").distinct().join(few, "subject")
     return governance.lineage_pairs(_uses(v), few)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema_id
+from ..session import materialize
 from ..wire import Wire
 
 TABLES = (
@@ -74,11 +75,11 @@ SHARED: dict[str, str] = {
     "publish_refs": """
         select b.contract, b.seq, r.pos, r.subject,
                case (b.k + r.pos) % 4 when 0 then 'latest' when 1 then '>=1' when 2 then '2' else '>=2' end as selector
-        from publish_rows b cross join ref_names r where (b.k + r.pos) % 3 <> 0""",
+        from publish_rows b join ref_names r on (b.k + r.pos) % 3 <> 0""",
     "consume_refs": """
         select b.contract, b.seq, r.pos, r.subject,
                case (b.k + r.pos) % 4 when 0 then 'latest' when 1 then '>=1' when 2 then '2' else '>=2' end as selector
-        from consume_rows b cross join ref_names r where (b.k + r.pos) % 3 <> 0""",
+        from consume_rows b join ref_names r on (b.k + r.pos) % 3 <> 0""",
     # one schema version per order line; rule columns say what its schema holds
     "version_rules": """
         select r_name as environment_id, 'acme.part.P' || cast(p_partkey as string) as subject, p_partkey,
@@ -296,7 +297,7 @@ class Views:
 
     def _build(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            return self._read(name)
         if name in SHARED:
             text = SHARED[name]
             words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
@@ -307,9 +308,19 @@ class Views:
             for column, kind in out.dtypes:
                 if kind == "timestamp_ntz":
                     out = out.withColumn(column, F.col(column).cast("timestamp"))
-            return out
+            # A registry is a stored table, so the derived one is stored too: queries read it several times.
+            return materialize(out, name) if name == "version_bodies" else out
         return getattr(self, f"_{name}")()
 
+    def _read(self, name: str) -> DataFrame:
+        """One driver table. A large table that is a single small file would be a single task, so its
+        rows are spread over the cores; a table of many files is read as it is."""
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("lineitem", "events") and len(table.inputFiles()) < cores:
+            return table.repartition(cores, table.columns[0])
+        return table
+
     # --- messages --------------------------------------------------------------------------
 
     def _event_schema_ids(self) -> DataFrame:
