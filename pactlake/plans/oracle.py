@@ -208,6 +208,22 @@ LOCAL: dict[str, str] = {
         from line_types t left join (select subject, schema_path as parent_path, occurrences from line_stats) p using (subject, parent_path)
         left join (select subject, schema_path, bool_and(regexp_matches(val, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) as all_date
                    from line_nodes where kind = 's' group by all) f using (subject, schema_path)""",
+    "line_enums": """
+        select subject, schema_path, case when count(distinct val) between 2 and 12 and count(*) >= 10 and count(*) >= 3 * count(distinct val)
+                 then ',"enum":["' || string_agg(distinct val, '","' order by val) || '"]' else '' end as listed
+        from line_nodes where kind = 's' group by all""",
+    "line_texts": """
+        select subject,
+               max(case when schema_path = '#' then occurrences end) as n,
+               max(case when schema_path = '#/properties/flags/items' then listed end) as flags,
+               max(case when schema_path = '#/properties/order/properties/priority' then listed end) as priority,
+               max(case when schema_path = '#/properties/order/properties/status' then listed end) as status,
+               max(case when schema_path = '#/properties/line/properties/ship' then
+                     case when format is null then listed else ',"format":"' || format || '"' end end) as ship,
+               max(case when schema_path = '#/properties/gift' then case when n_kinds = 1 then '{"type":"boolean"}' else '{}' end end) as gift,
+               max(case when schema_path = '#/properties/note' then case when n_string = 0 then '{}' when n_null = 0 then '{"type":"string"}'
+                     else '{"type":["string","null"]}' end end) as note
+        from line_full left join line_enums using (subject, schema_path) group by subject""",
     # policies
     "policies": """
         select environment_id, subject, content_model,
@@ -451,6 +467,22 @@ oracle(
               count(*) - count(n_contracts) as ungoverned
        from routes left join route_modes using (broker_id, virtual_host, exchange, routing_key)""",
 )
+_SIDE = """select b.*, g.sig from {0}_rows b join (select contract, seq, string_agg(subject || '@' || selector, ',' order by subject, selector) as sig
+              from {0}_refs group by all) g using (contract, seq)"""
+oracle(
+    "c5_binding_conflicts",
+    f"""select b.contract, 'publish' as side, b.virtual_host, b.exchange as address, b.seq, min(a.seq) as clashes_with
+        from ({_SIDE.format('publish')}) a join ({_SIDE.format('publish')}) b on a.contract = b.contract and a.exchange = b.exchange and a.seq < b.seq and a.sig <> b.sig
+        where (a.broker_id is null or b.broker_id is null or a.broker_id = b.broker_id)
+          and not (a.precedence is not null and b.precedence is not null and a.precedence <> b.precedence)
+          and (a.pattern = b.pattern or '#' in (a.pattern, b.pattern)
+               or ('*.u2' in (a.pattern, b.pattern) and ('purchase.*' in (a.pattern, b.pattern) or 'click.#' in (a.pattern, b.pattern))))
+        group by all
+        union all
+        select b.contract, 'consume', b.virtual_host, b.queue, b.seq, min(a.seq)
+        from ({_SIDE.format('consume')}) a join ({_SIDE.format('consume')}) b on a.contract = b.contract and a.queue = b.queue and a.seq < b.seq and a.sig <> b.sig
+        where a.broker_id is null or b.broker_id is null or a.broker_id = b.broker_id group by all""",
+)
 oracle("c6_publish_conformance", "select message_id, outcome, code, mode, judged_subject, judged_schema_id from publish_result")
 oracle("c7_consume_conformance", "select message_id, outcome, code, mode, judged_subject, judged_schema_id from consume_result")
 oracle(
@@ -490,6 +522,14 @@ oracle(
        union all select subject, schema_path, 3, 'enum_from_low_cardinality' from line_full where n_kinds = 1 and format is null and not truncated
                  and distinct_strings between 2 and 12 and n_string >= 10 and n_string >= 3 * distinct_strings) x""",
 )
+oracle(
+    "d4_infer_schema",
+    """select subject, n as sample_count, '{"type":"object","properties":{"flags":{"type":"array","items":{"type":"string"' || flags || '}},"gift":' || gift ||
+              ',"line":{"type":"object","properties":{"disc":{"type":"number"},"n":{"type":"integer"},"qty":{"type":"integer"},"ship":{"type":"string"' || ship ||
+              '}},"required":["disc","n","qty","ship"]},"note":' || note || ',"order":{"type":"object","properties":{"id":{"type":"integer"},"priority":{"type":"string"' ||
+              priority || '},"status":{"type":"string"' || status || '},"total":{"type":"number"}},"required":["id","status","total"]}},"required":["flags","gift","line","note","order"]}' as body
+       from line_texts""",
+)
 oracle("d6_detect_string_format", "select subject, schema_path, n_string, format from line_full where n_string > 0")
 # --- catalog --------------------------------------------------------------------------------------
 _AUTHORED = """select environment_id, subject, ordinal, body, plain,
