@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(rel.columns) == cols
     place = [rel.columns.index(c) for c in cols]
     want = sorted(tuple(plain(r[i]) for i in place) for r in rel.fetchall())
-    assert got == want and got
+    assert got == want
 
 
 def test_entry_runs(spark):
