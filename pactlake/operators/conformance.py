@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import parse_selector, selector_accepts, utf16_clamp
 from ..session import materialize
 from ..wire import ENFORCE, MONITOR, OFF, Wire
-from .decoding import decode_envelopes, generic_types, resolve_subjects
+from .decoding import decode_envelopes, resolve_subjects
 from .routing import QUEUE, ROUTE, resolve_consume, resolve_publish, routes_of
 from .validation import judge, rules_depth, rules_of
 
@@ -65,7 +65,7 @@ _RESULT = ["outcome", "code", "detail", "mode", "contracts", "judged_subject", "
 def publish_conformance(messages: DataFrame, registry: Registry, default_mode: int = MONITOR) -> DataFrame:
     """Every published message with (outcome, code, detail, mode, contracts, judged_subject, judged_schema_id)."""
     df = routes_of(resolve_subjects(messages))
-    routes = registry.publish_routes(df).withColumn("governed", F.lit(True))
+    routes = registry.publish_routes(routes_of(messages)).withColumn("governed", F.lit(True))
     df = df.join(routes, ROUTE, "left")
     governed = F.col("governed").isNotNull()
     only = F.when(F.size("subjects") == 1, F.try_element_at("subjects", F.lit(1))["subject"])
@@ -99,7 +99,7 @@ def consume_conformance(
 ) -> DataFrame:
     """Every consumed message with (outcome, code, detail, mode, contracts, judged_subject, judged_schema_id)."""
     df = routes_of(decode_envelopes(messages, wire), QUEUE).withColumnRenamed("format", "declared")
-    routes = registry.consume_routes(df).withColumn("governed", F.lit(True))
+    routes = registry.consume_routes(routes_of(messages, QUEUE)).withColumn("governed", F.lit(True))
     df = df.join(routes, QUEUE, "left").withColumn("mode", F.coalesce("enforcement", F.lit(default_mode)))
     df = df.withColumn("permitted", _permitted(F.col("subject")))
     df = judge(df.join(registry.rules, "schema_id", "left"), registry.depth)

@@ -317,7 +317,7 @@ class Views:
         rows are spread over the cores; a table of many files is read as it is."""
         table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
-        if name in ("lineitem", "events") and len(table.inputFiles()) < cores:
+        if name in ("lineitem", "events") and len(table.inputFiles()) == 1:
             return table.repartition(cores, table.columns[0])
         return table
 
