@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,7 @@ from .kernels import TextChunk, map_texts, process_cache
 
 #: Unicode's White_Space characters, as a class.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
-SPLIT = re.compile(rf"[^{WHITE_SPACE}]+")
-#: Pieces longer than this are encoded but not remembered.
+#: Words longer than this are encoded but not remembered.
 REMEMBERED = 64
 #: Entries of a cache before its older half is given up.
 ENTRIES = 300_000
@@ -72,173 +70,199 @@ class Automaton:
             starts[a + b] = ((a + b, last), (a, rank), *starts[a][1:])
         for token in vocabulary:
             symbol(token)
-        self._missing, self._ends, self._starts = missing, ends, starts
-        self._arcs: dict[tuple[str, str], bool] = {}
-        self._inner: dict[str, tuple[str, str]] = {"": ("", "")}
-        #: The length of the longest token that ends like this, by the last three symbols or fewer.
-        self._reach: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        for token in vocabulary:
-            final = bool(suffix) and token.endswith(suffix)
-            base = token[: -len(suffix)] if final else token
-            for tail in {base[-3:], base[-2:], base[-1:]}:
-                self._reach[final][tail] = max(self._reach[final].get(tail, 0), len(base))
-
-    def allows(self, before: str, token: str) -> bool:
+        # From here on tokens are numbers, and a pair of them is one number.
+        self._missing = {vocabulary[a] << 20 | vocabulary[b]: rank for (a, b), rank in missing.items()}
+        self._ends = {vocabulary[t]: [(vocabulary[x] << 20, until) for x, until in e] for t, e in ends.items()}
+        self._starts = {vocabulary[t]: [(vocabulary[y], born) for y, born in e] for t, e in starts.items()}
+        self._arcs: dict[int, bool] = {}
+        # Read so far -> the last token, and the ids and labels of all tokens.
+        self._inner: dict[str, tuple[int, bytes, str]] = {}
+        self._bytes = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
+        #: Lengths of the tokens that end like this, by the last three symbols or fewer; inner and final ones.
+        self._lengths: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        for final in (False, True):
+            by_tail: dict[str, set[int]] = {}
+            for token in vocabulary:
+                if final and not suffix or token.endswith(suffix) != final and suffix:
+                    continue
+                base = token[: -len(suffix)] if final else token
+                for tail in {base[-3:], base[-2:], base[-1:]}:
+                    by_tail.setdefault(tail, set()).add(len(base))
+            for tail, lengths in by_tail.items():
+                for shorter in range(1, len(tail)):
+                    lengths |= {x for x in by_tail.get(tail[-shorter:], ()) if x == shorter}
+                self._lengths[final][tail] = sorted(lengths, reverse=True)
+        self._final = bool(suffix)
+
+    def allows(self, before: int, token: int) -> bool:
         """Whether the state that arcs ``before`` lead to has an arc ``token``."""
-        known = self._arcs.get((before, token))
-        if known is None:
-            known = True
-            for x, until in self._ends[before]:
-                for y, born in self._starts[token]:
-                    rank = self._missing.get((x, y))
-                    if rank is not None and rank < until and rank <= born:
-                        known = False
-            if len(self._arcs) > 4 * ENTRIES:
-                self._arcs.clear()
-            self._arcs[before, token] = known
-        return known
-
-    def _least(self, symbols: str, n: int, end: str) -> int:
-        """The first position from which a token may reach to ``n``."""
-        reach = self._reach[bool(end)]
-        for k in (3, 2, 1):
-            most = reach.get(symbols[n - k : n]) if n >= k else None
-            if most is not None:
-                # Tokens shorter than the tail are seen too: the loop over the cuts ends at the last symbol.
-                return max(0, n - most)
-        return 0
-
-    def _step(self, symbols: str, end: str) -> tuple[str, str]:
-        """(token, what is read before it) of the arc that ends at the end of ``symbols``."""
+        find = self._missing.get
+        starts = self._starts[token]
+        for x, until in self._ends[before]:
+            for y, born in starts:
+                rank = find(x | y)
+                if rank is not None and rank < until and rank <= born:
+                    return False
+        return True
+
+    def _possible(self, symbols: str, n: int, final: bool) -> list[int]:
+        lengths = self._lengths[final]
+        for k in (3, 2):
+            found = lengths.get(symbols[n - k : n]) if n >= k else None
+            if found is not None:
+                return found
+        return lengths[symbols[n - 1 : n]]
+
+    def _step(self, symbols: str, n: int, final: bool) -> tuple[int, int]:
+        """(token, where it begins) of the arc that ends at ``n``."""
         ids, inner, arcs = self.ids, self._inner, self._arcs
-        n = len(symbols)
-        for cut in range(self._least(symbols, n, end), n):
-            token = symbols[cut:] + end if end else symbols[cut:]
-            if token in ids:
-                if not cut:
-                    return token, ""
-                before = symbols[:cut]
-                last = inner[before][0]
-                allowed = arcs.get((last, token))
-                if allowed or allowed is None and self.allows(last, token):
-                    return token, before
+        suffix = self.suffix if final else ""
+        for length in self._possible(symbols, n, final):
+            cut = n - length
+            if cut < 0:
+                continue
+            token = ids.get(symbols[cut:n] + suffix)
+            if token is None:
+                continue
+            if not cut:
+                return token, 0
+            pair = inner[symbols[:cut]][0] << 20 | token
+            allowed = arcs.get(pair)
+            if allowed is None:
+                allowed = arcs[pair] = self.allows(pair >> 20, token)
+            if allowed:
+                return token, cut
         raise KeyError(f"no token ends {symbols!r}")
 
-    def run(self, word: str) -> list[str]:
-        """The tokens of one pre-split word, given in byte letters."""
+    def run(self, word: str) -> tuple[bytes, str]:
+        """The ids of one pre-split word, given in byte letters, as 32-bit integers; and its labels."""
         inner = self._inner
         if len(inner) > ENTRIES:
             inner.clear()
-            inner[""] = ("", "")
-        if len(word) > REMEMBERED:
+        if len(self._arcs) > ENTRIES:
+            self._arcs.clear()
+        size = len(word)
+        if size > REMEMBERED:
             return self._run_long(word)
-        n = len(word) - 1
-        while word[:n] not in inner:
+        n = size - 1
+        while n and word[:n] not in inner:
             n -= 1
-        for m in range(n + 1, len(word)):
-            prefix = word[:m]
-            inner[prefix] = self._step(prefix, "")
-        token, before = self._step(word, self.suffix)
-        out = [token]
-        while before:
-            token, before = inner[before]
-            out.append(token)
-        out.reverse()
-        return out
-
-    def _run_long(self, word: str) -> list[str]:
+        ids = self._bytes
+        for m in range(n + 1, size):
+            token, cut = self._step(word, m, False)
+            if cut:
+                _, before, labels = inner[word[:cut]]
+                inner[word[:m]] = token, before + ids[token], labels + " " + word[cut:m]
+            else:
+                inner[word[:m]] = token, ids[token], word[:m]
+        token, cut = self._step(word, size, self._final)
+        label = word[cut:] + self.suffix
+        if not cut:
+            return ids[token], label
+        _, before, labels = inner[word[:cut]]
+        return before + ids[token], labels + " " + label
+
+    def _run_long(self, word: str) -> tuple[bytes, str]:
         """As ``run``, with states kept by position: no prefix of a long word is stored."""
         ids, n = self.ids, len(word)
-        at: list[tuple[str, int]] = [("", 0)]
+        at: list[tuple[int, int]] = [(0, 0)]
         for end in range(1, n + 1):
-            suffix = self.suffix if end == n else ""
-            for cut in range(self._least(word, end, suffix), end):
-                token = word[cut:end] + suffix
-                if token in ids and (not cut or self.allows(at[cut][0], token)):
+            final = end == n and self._final
+            for cut in (end - length for length in self._possible(word, end, final) if length <= end):
+                token = ids.get(word[cut:end] + (self.suffix if final else ""))
+                if token is not None and (not cut or self.allows(at[cut][0], token)):
                     at.append((token, cut))
                     break
             else:
                 raise KeyError("no token ends here")
-        out, end = [], n
+        out, labels, end = [], [], n
         while end:
-            token, end = at[end]
-            out.append(token)
+            token, cut = at[end]
+            out.append(self._bytes[token])
+            labels.append(word[cut:end] + (self.suffix if end == n else ""))
+            end = cut
         out.reverse()
-        return out
+        labels.reverse()
+        return b"".join(out), " ".join(labels)
 
 
 class Remembering(dict):
-    """piece -> what ``make`` gives for it. Two generations bound the memory; long pieces are not kept."""
+    """word -> what ``make`` gives for it. Two generations bound the memory; long words are not kept."""
 
     def __init__(self, make: Callable[[str], object]):
         super().__init__()
         self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> object:
-        value = self.old.pop(piece, None)
+    def __missing__(self, word: str) -> object:
+        value = self.old.pop(word, None)
         if value is None:
-            value = self.make(piece)
-            if len(piece) > REMEMBERED:
+            value = self.make(word)
+            if len(word) > REMEMBERED:
                 return value
         if len(self) >= ENTRIES:
             self.old = dict(self)
             self.clear()
-        self[piece] = value
+        self[word] = value
         return value
 
 
-class WordBpe:
-    """The encoder of a tokenizer file: normaliser, pre-split pattern, special tokens, automaton.
-
-    Text between white space is handled alone: neither the normaliser nor the pattern reaches across it.
-    """
+class Splitter:
+    """What a tokenizer file does before its merges: normaliser, special tokens, pre-split pattern."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], pairs, model["end_of_word_suffix"] or "")
+    def __init__(self, spec: dict):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._split = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE_SPACE))
-        self._letters = byte_letters()
-        self.known = Remembering(self._word)
-
-    def words(self, piece: str) -> Iterator[str]:
-        """The pre-split words of a piece without white space, in byte letters; special tokens stand as they are."""
-        if piece.isascii() and piece.isprintable() and "<|" not in piece:
-            yield from self._split.findall(piece.lower())
-            return
-        for part in self._special.split(piece) if self._special else [piece]:
+        # Letters that a text as a whole folds otherwise than one by one.
+        self._uneven = re.compile("[\u03a3\u0130]")
+
+    def words(self, text: str) -> list[str]:
+        """The pre-split words of a text, folded; special tokens stand as they are."""
+        if text.isascii():
+            if "<|" not in text:
+                return self._split.findall(text.lower())
+        elif "<|" not in text and not self._uneven.search(text):
+            return self._split.findall(text.lower() if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text).lower())
+        out: list[str] = []
+        for part in self._special.split(text) if self._special else [text]:
             if part in self.special:
-                yield part
-                continue
-            folded = "".join(map(str.lower, unicodedata.normalize("NFC", part)))
-            for word in self._split.findall(folded):
-                yield word if word.isascii() and word.isprintable() else "".join([self._letters[b] for b in word.encode()])
+                out.append(part)
+            else:
+                out.extend(self._split.findall("".join(map(str.lower, unicodedata.normalize("NFC", part)))))
+        return out
 
-    def encode(self, piece: str) -> tuple[bytes, str]:
-        """A piece's ids as little-endian 32-bit integers, and its labels joined by a space."""
-        found = [self.known[w] for w in self.words(piece)]
-        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
 
-    def _word(self, word: str) -> tuple[bytes, str]:
+class WordBpe(Splitter):
+    """The encoder of a tokenizer file."""
+
+    def __init__(self, path: str):
+        spec = read_spec(path)
+        super().__init__(spec)
+        model = spec["model"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.automaton = Automaton(model["vocab"], pairs, model["end_of_word_suffix"] or "")
+        self._letters = dict(enumerate(byte_letters()))
+
+    def encode(self, word: str) -> tuple[bytes, str]:
+        """A word's ids as little-endian 32-bit integers, and its labels joined by a space."""
         if word in self.special:
             return self.special[word].to_bytes(4, "little"), word
-        labels = self.automaton.run(word)
-        return array("I", [self.automaton.ids[t] for t in labels]).tobytes(), " ".join(labels)
+        return self.automaton.run(word.encode().decode("latin-1").translate(self._letters))
+
+
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
 
 def encoder(path: str) -> WordBpe:
     return process_cache(f"bpe:{path}", lambda: WordBpe(path))
 
 
-def pieces_of(path: str) -> dict[str, tuple[bytes, str]]:
-    """piece -> its ids as 32-bit integers, its labels joined by a space; remembered by the worker."""
-
-    return process_cache(f"pieces:{path}", lambda: Remembering(encoder(path).encode))
+def words_of(path: str) -> dict[str, tuple[bytes, str]]:
+    """word -> its ids as 32-bit integers, its labels joined by a space; remembered by the worker."""
+    return process_cache(f"words:{path}", lambda: Remembering(encoder(path).encode))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -254,10 +278,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     """
 
     def kernel(chunk: TextChunk) -> dict[str, object]:
-        known = pieces_of(path)
+        known, words = words_of(path), encoder(path).words
         ids, decoded, ends = [], [], [0]
         for document in chunk.texts.to_pylist():
-            found = list(map(known.__getitem__, SPLIT.findall(document)))
+            found = list(map(known.__getitem__, words(document)))
             ids.append(b"".join([f[0] for f in found]))
             ends.append(ends[-1] + len(ids[-1]) // 4)
             decoded.append(" ".join([f[1] for f in found]))

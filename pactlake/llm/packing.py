@@ -12,13 +12,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import SPLIT, encoder, pieces_of
-from .kernels import chunks
+from .bpe import ENTRIES, REMEMBERED, Splitter, read_spec
+from .kernels import chunks, process_cache
 
 #: Labels that end a sentence, in the tokenizer's own spelling without its word end.
 STOPS = frozenset({".", "!", "?", "...", "!!", "??", "。", "!\"", ".\"", "?\""})
 
 
+class LibraryIds:
+    """Documents' ids as the tokenizers library gives them. Words it has encoded are remembered, within a bound."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        spec = read_spec(path)
+        self.split, self.library = Splitter(spec), Tokenizer.from_file(path)
+        vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        size = 1 + max([*vocabulary.values(), *self.split.special.values()])
+        #: Ids that end a word, and ids that end a sentence.
+        self.final, self.stops = np.zeros(size, bool), np.zeros(size, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith(suffix)] + list(self.split.special.values())] = True
+        self.stops[[i for t, i in vocabulary.items() if t.removesuffix(suffix) in STOPS]] = True
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        documents = [self.split.words(t) for t in texts]
+        fresh: dict[str, bytes] = {}
+        missing: list[str] = []
+        known, old = self.known, self.old
+        for word in set().union(*documents) if documents else ():
+            if word not in known:
+                if word in old:
+                    known[word] = old[word]
+                else:
+                    missing.append(word)
+        if missing:
+            # One call for all new words: each ends with an id that ends a word.
+            ids = np.array(self.library.encode(" ".join(missing), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.final[ids]) + 1).tolist()
+            if len(ends) != len(missing):
+                raise ValueError("the tokenizer splits a word again")
+            raw = ids.tobytes()
+            for word, a, b in zip(missing, [0, *ends], ends, strict=False):
+                (known if len(word) <= REMEMBERED else fresh)[word] = raw[4 * a : 4 * b]
+        find = known | fresh if fresh else known
+        out = [np.frombuffer(b"".join([find[w] for w in d]), "<u4") for d in documents]
+        if len(known) > ENTRIES:
+            self.old, self.known = known, {}
+        return out
+
+
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, total: int, limit: int) -> list[int]:
     """Positions at which to cut ``total`` tokens into windows of at most ``limit``, ending with ``total``.
 
@@ -138,9 +182,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T._parse_datatype_string("start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces_of(path)
-        stop_ids = np.zeros(1 << 17, bool)
-        stop_ids[[i for t, i in encoder(path).automaton.ids.items() if t.removesuffix("</w>") in STOPS]] = True
+        library = process_cache(f"library:{path}", lambda: LibraryIds(path))
         packer = Packer(limit, block, sentence_penalty)
         sequence = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
@@ -159,10 +201,9 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
             key_type = batch.column(0).type
             for at, chunk in chunks(batch.column(1)):
                 mine = batch.column(0).slice(at, chunk.rows).to_pylist()
-                for one, document in zip(mine, chunk.texts.to_pylist(), strict=True):
-                    ids = np.frombuffer(b"".join([known[p][0] for p in SPLIT.findall(document)]), "<u4")
-                    ids = np.concatenate([ids, closing])
-                    out.extend(packer.add(one, ids, np.flatnonzero(stop_ids[ids[:-1]]) + 1, 0, len(ids)))
+                for one, ids in zip(mine, library.encode(chunk.texts.to_pylist()), strict=True):
+                    stops = np.flatnonzero(library.stops[ids]) + 1
+                    out.extend(packer.add(one, np.concatenate([ids, closing]), stops, 0, len(ids) + 1))
                 if len(out) > 2000:
                     yield flush()
         out.extend(packer.finish())
