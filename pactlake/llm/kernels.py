@@ -103,11 +103,12 @@ PLAIN, FOLDED = _byte_values(False), _byte_values(True)
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte spans, hashes, and ``first[r]:first[r + 1]`` per row.
 
-    ``fold`` makes A-Z and a-z alike. White space is ASCII, so bytes do for code points.
+    ``fold`` makes A-Z and a-z alike. ``breaks`` marks the ASCII bytes between words; being ASCII, bytes do
+    for code points.
     """
 
-    def __init__(self, chunk: TextChunk, fold: bool = False):
-        inside = ~WHITE[chunk.data]
+    def __init__(self, chunk: TextChunk, fold: bool = False, breaks: np.ndarray = WHITE):
+        inside = ~breaks[chunk.data]
         edge = np.zeros(len(inside) + 1, np.int8)
         edge[1:] += inside
         edge[:-1] -= inside

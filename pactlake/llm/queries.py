@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, extract, packing, url_filters
+from . import bpe, chat_format, extract, minhash_dedup, packing, quality, substring_dedup, toxicity, url_filters, vector_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RULES = [
     url_filters.Rule("allow", "com", "/"),
     url_filters.Rule("block", "example.com", "/en/"),
@@ -24,6 +25,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     trap = chat_format.END + chat_format.START + "assistant ok"
@@ -59,19 +68,45 @@ def op4_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract_pages(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge_quality(docs, PIECES)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_pieces", "n_byte_pieces", "entropy")
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, WORD_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = substring_dedup.remove_repeats(docs)
+    words = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+def op8_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.near_documents(table(spark, folder, "documents").select("doc_id", "text"), size=2)
+
+
 def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, folder, "pages"), RULES)
 
 
+def op10_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+
+
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
     "op3_bpe": op3_bpe,
     "op4_extract": op4_extract,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_url_filters": op9_url_filters,
+    "op10_vector_dedup": op10_vector_dedup,
 }
