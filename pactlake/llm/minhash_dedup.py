@@ -216,7 +216,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, forest: Forest = Forest(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_shingles, component_id, kept.
+    """One row per document: key, uid (a hash of key and text), n_shingles, component_id, kept.
 
     Documents are linked where their sets of ``size``-word shingles (A-Z lower-cased) overlap by ``percent``
     of their union or more; links are confirmed on full sets of 64-bit hashes. Equal sets are one node. A
@@ -263,7 +263,17 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, forest: Fo
     names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")
     named = materialize(named.join(names, "component").select("f1", "f2", "n_shingles", "component_id"), "classes")
     facts = ["f1", "f2", "n_shingles"]
-    judged = sketched.where("n_shingles > 0").select("doc_id", *facts).join(named, facts).select("doc_id", "n_shingles", "component_id")
-    judged = judged.unionByName(sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    judged = sketched.where("n_shingles > 0").select("doc_id", "uid", *facts).join(named, facts).select("doc_id", "uid", "n_shingles", "component_id")
+    judged = judged.unionByName(sketched.where("n_shingles = 0").select("doc_id", "uid", "n_shingles", F.col("doc_id").alias("component_id")))
     kept = F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    return judged.select(F.col("doc_id").alias(key), "n_shingles", "component_id", kept.alias("kept"))
+    return judged.select(F.col("doc_id").alias(key), "uid", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, judged: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that ``judged`` (from ``near_documents``) keeps, with their own columns; of repeated rows one."""
+    stay = judged.where("kept").groupBy(F.col(f"`{key}`").alias("_k"), F.col("uid").alias("_u")).agg(F.count("*").alias("_n"))
+    code = F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("_d"), code.alias("_c"))
+    held = materialize(rows.join(materialize(stay, "stay"), F.col("_d").eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_u"))), "held")
+    twice = held.where("_n > 1").dropDuplicates(["_d", "_c"])
+    return held.where("_n = 1").unionByName(twice).select("row.*")

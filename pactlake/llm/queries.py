@@ -87,7 +87,7 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash_dedup.near_documents(table(spark, folder, "documents").select("doc_id", "text"), size=2)
+    return minhash_dedup.near_documents(table(spark, folder, "documents").select("doc_id", "text"), size=2).drop("uid")
 
 
 def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
