@@ -118,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     ordered = hashed.repartition(1).sortWithinPartitions("place", "label").select("label", "features")
     found = ordered.mapInArrow(learn, "feature bigint, weight double").toPandas()  # at most 2^bits + 1 rows
     found = found.sort_values("feature")
+    if found.empty:  # no task had a row to learn from
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, bits)
     return Model(found["feature"].to_numpy()[1:], found["weight"].to_numpy()[1:], float(found["weight"].iloc[0]), bits)
 
 
