@@ -48,7 +48,7 @@ def corners(unit: np.ndarray, hashing: Hashing) -> np.ndarray:
     polytope is the largest coordinate with its sign. Probes change the code whose second corner is nearest.
     """
     n, d = unit.shape
-    size = 1 << max(1, (d - 1).bit_length())
+    size = 1 << max(4, (d - 1).bit_length(), (2 * hashing.probes).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = unit
     draw = np.random.default_rng(hashing.seed)
