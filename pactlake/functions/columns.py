@@ -1,5 +1,5 @@
-"""Column functions. All are built from native expressions except the two text kernels at the end
-of the module, which callers apply to distinct values only."""
+"""Column functions. All are built from native expressions except the text kernel at the end of the
+module, which callers apply to distinct values only."""
 
 from __future__ import annotations
 
@@ -78,11 +78,33 @@ def is_generic_type(c: Column | str) -> Column:
     return (tick > 0) & (bracket > tick)
 
 
+def generic_subject(c: Column | str) -> Column:
+    """Message type to subject text for closed generics: ``Outer`1[[Arg, Assembly]]`` is ``Outer_of_Arg``.
+
+    The innermost spelling is rewritten first, again and again: a bracketed argument becomes its name, the
+    arguments of a list are joined with ``_and_``, and a list without brackets inside closes its type. What
+    doesn't close is treated as a plain name.
+    """
+    text = strip(c)
+    here = "\u0001"  # marks an argument, so that an empty one counts
+
+    def round_(acc: Column, _: Column) -> Column:
+        acc = F.regexp_replace(acc, r"([\[,])\s*\[\s*([^\[\]`,]*?)\s*(?:,[^\[\]`]*)?\]\s*(?=[,\]])", f"$1$2{here}")
+        acc = F.regexp_replace(acc, r"(`[^`\[\]]*\[[^\[\]`]+),\]", "$1]")
+        acc = F.regexp_replace(acc, r"(`[^`\[\]]*\[[^\[\]`,]*?)\s*,\s*([^\[\]`]*\])", f"$1{here}_and_$2")
+        return F.regexp_replace(acc, r"\s*`[^`\[\],]*\[\s*([^\[\]`,]+?)\s*\](?:[^,\[\]]|\[\s*\])*", "_of_$1")
+
+    rounds = F.sequence(F.lit(1), F.length(text) - F.length(F.translate(text, "[,", "")) + 1)
+    spelled = F.aggregate(rounds, text, round_)
+    closed = is_generic_type(text) & ~spelled.rlike(r"[`\[\]]")
+    return normalize_subject(F.when(closed, F.replace(spelled, F.lit(here), F.lit(""))).otherwise(text))
+
+
 def parse_selector(c: Column | str) -> Column:
     """``latest`` | ``N`` | ``>=N`` to ``struct(kind, ordinal)``; null when not a selector."""
     t = strip(c)
     pinned = to_int32(t)
-    floor = F.when(F.startswith(t, F.lit(">=")), to_int32(strip(F.substring(t, 3, 100))))
+    floor = F.when(F.startswith(t, F.lit(">=")), to_int32(strip(F.substr(t, F.lit(3)))))
     kind = (
         F.when(F.lower(t) == "latest", F.lit("latest"))
         .when(pinned >= 1, F.lit("pinned"))
@@ -212,7 +234,7 @@ def violation_fingerprint(
     return F.concat_ws("|", environment, number, route, F.coalesce(subject, F.lit("-")), code)
 
 
-# --- text kernels, for distinct values only -------------------------------------------------
+# --- text kernel, for distinct values only -------------------------------------------------
 
 
 def _overlap(left: str, right: str) -> bool:
@@ -247,43 +269,3 @@ def _overlap(left: str, right: str) -> bool:
 @F.pandas_udf(T.BooleanType())
 def patterns_overlap(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_overlap(a, b) for a, b in zip(left, right)], dtype=bool)
-
-
-def _plain_subject(text: str) -> str:
-    return text.split(",", 1)[0].rstrip().replace("+", ".").replace(":", ".")
-
-
-def _spell_type(text: str) -> str:
-    """Closed generic ``Outer`1[[Arg, Assembly]]`` to ``Outer_of_Arg``; anything else as plain."""
-    text = text.strip()
-    tick, start = text.find("`"), text.find("[")
-    if tick < 0 or start < tick:
-        return _plain_subject(text)
-    depth, pieces, piece = 0, [], ""
-    for ch in text[start:]:
-        depth += (ch == "[") - (ch == "]")
-        if depth == 0:
-            break
-        if ch == "," and depth == 1:
-            pieces.append(piece)
-            piece = ""
-        else:
-            piece += ch
-    else:
-        return _plain_subject(text)
-    pieces.append(piece)
-    pieces[0] = pieces[0][1:]
-    if pieces[-1] == "":
-        pieces.pop()
-    if not pieces:
-        return _plain_subject(text)
-    names = []
-    for p in (p.strip() for p in pieces):
-        wrapped = len(p) > 1 and p[0] == "[" and p[-1] == "]"
-        names.append(_spell_type(p[1:-1] if wrapped else p))
-    return _spell_type(text[:tick]) + "_of_" + "_and_".join(names)
-
-
-@F.pandas_udf(T.StringType())
-def generic_subject(types: pd.Series) -> pd.Series:
-    return types.map(_spell_type)

@@ -1,7 +1,9 @@
 """Compatibility of versions with the versions before them, for whole histories at once.
 
 ``differ`` is any function from pairs (prev_id, next_id, content_model) to pairs with ``findings``:
-:func:`json_diff.diff_json_pairs`, or the Avro and Protobuf ones, bound to their catalog tables.
+:func:`json_diff.diff_json_pairs`, or the Avro and Protobuf ones, bound to their catalog tables; see
+:func:`by_format`. A pair that it leaves out, or gives null findings, could not be compared: it is never
+taken as compatible, but makes ``compatible`` null.
 """
 
 from __future__ import annotations
@@ -37,6 +39,27 @@ def effective_policy(subjects: DataFrame, environments: DataFrame) -> DataFrame:
     )
 
 
+def by_format(schemas: DataFrame, differs: dict[str, Differ]) -> Differ:
+    """One differ for a catalog (schema_id, format) of several formats.
+
+    A pair goes to its format's differ; pairs of two formats, of unknown schemas and of formats without a
+    differ get null findings.
+    """
+
+    def differ(pairs: DataFrame) -> DataFrame:
+        side = lambda s: schemas.select(F.col("schema_id").alias(s), F.col("format").alias(f"{s}_format")).distinct()
+        asked = pairs.select(*PAIR).distinct()
+        known = asked.join(side("prev_id"), "prev_id", "left").join(side("next_id"), "next_id", "left")
+        same = known.where("prev_id_format = next_id_format")
+        found = None
+        for name, one in differs.items():
+            part = one(same.where(F.col("prev_id_format") == name).select(*PAIR)).select(*PAIR, "findings")
+            found = part if found is None else found.unionByName(part)
+        return asked.join(found, PAIR, "left") if found is not None else asked.withColumn("findings", F.lit(None))
+
+    return differ
+
+
 def applicable(findings: Column, mode: Column) -> Column:
     """The findings a mode looks at."""
     return F.filter(
@@ -77,7 +100,7 @@ def compatibility_check(proposals: DataFrame, versions: DataFrame, policies: Dat
     priors = judged.where("mode <> 'NONE'").join(active, SUBJECT).join(tips, SUBJECT).where(
         is_transitive(F.col("mode")) | (F.col("ordinal") == F.col("tip"))
     )
-    compared = priors.join(differ(priors), PAIR)
+    compared = priors.join(differ(priors), PAIR, "left")
     divergences = applicable(F.col("findings"), F.col("mode"))
     changes = compared.select(
         *SUBJECT, "next_id", F.col("ordinal").alias("conflicts_with"), "surface", F.explode(divergences).alias("f")
@@ -85,18 +108,22 @@ def compatibility_check(proposals: DataFrame, versions: DataFrame, policies: Dat
         *SUBJECT, F.col("next_id").alias("schema_id"), "conflicts_with", "f.path", "f.kind", "f.direction",
         F.col("f.surface").alias("surface"), "f.member", (F.col("f.surface") <= F.col("surface")).alias("violation"),
     )
+    sized = lambda c: F.when(c.isNotNull(), F.size(c)).otherwise(0)
     n = compared.select(
         *SUBJECT, "next_id",
-        F.size(divergences).alias("n_divergences"),
-        F.size(violations(divergences, F.col("surface"))).alias("n_violations"),
+        sized(divergences).alias("n_divergences"),
+        sized(violations(divergences, F.col("surface"))).alias("n_violations"),
+        F.col("findings").isNull().cast("int").alias("open"),
     ).groupBy(*SUBJECT, "next_id").agg(
-        F.count("*").alias("compared"), F.sum("n_divergences").alias("divergences"), F.sum("n_violations").alias("violations")
+        F.count("*").alias("compared"), F.sum("n_divergences").alias("divergences"), F.sum("n_violations").alias("violations"),
+        F.sum("open").alias("open"),
     )
-    out = judged.join(n, [*SUBJECT, "next_id"], "left").na.fill(0, ["compared", "divergences", "violations"])
+    out = judged.join(n, [*SUBJECT, "next_id"], "left").na.fill(0, ["compared", "divergences", "violations", "open"])
     verdicts = out.select(
         *SUBJECT, F.col("next_id").alias("schema_id"), "mode", "surface", "compared", "divergences", "violations",
-        (F.col("violations") == 0).alias("compatible"),
-        bump_of(F.col("compared") > 0, F.col("mode"), F.col("violations"), F.col("divergences")).alias("bump"),
+        # A violation is one whatever else could not be compared; without one, what is open stays open.
+        F.when(F.col("violations") > 0, False).when(F.col("open") == 0, True).alias("compatible"),
+        F.when((F.col("violations") > 0) | (F.col("open") == 0), bump_of(F.col("compared") > 0, F.col("mode"), F.col("violations"), F.col("divergences"))).alias("bump"),
     )
     return verdicts, changes
 
@@ -123,10 +150,11 @@ def compatibility_audit(versions: DataFrame, policies: DataFrame, differ: Differ
     compared = steps.join(differ(steps.where("prev_id is not null")), PAIR, "left")
     divergences = applicable(F.col("findings"), F.col("mode"))
     bad = F.size(violations(divergences, F.col("surface")))
+    open_ = F.col("prior").isNotNull() & F.col("findings").isNull()
     one_step = compared.select(
         *SUBJECT, "ordinal", F.col("next_id").alias("schema_id"), "mode",
-        (~F.coalesce(bad > 0, F.lit(False))).alias("compatible"),
-        bump_of(F.col("prior").isNotNull(), F.col("mode"), bad, F.size(divergences)).alias("bump"),
+        F.when(~open_, ~F.coalesce(bad > 0, F.lit(False))).alias("compatible"),
+        F.when(~open_, bump_of(F.col("prior").isNotNull(), F.col("mode"), bad, F.size(divergences))).alias("bump"),
         F.when(bad > 0, F.col("prior.ordinal")).alias("conflicts_with"),
     )
 
@@ -136,18 +164,23 @@ def compatibility_audit(versions: DataFrame, policies: DataFrame, differ: Differ
         F.max("ordinal").alias("until")
     )
     pairs = later.join(earlier, SUBJECT).where("since < until and prev_id <> next_id")
-    judged = pairs.join(differ(pairs), PAIR)
+    judged = pairs.join(differ(pairs), PAIR, "left")
     bad = F.size(violations(divergences, F.col("surface"))) > 0
     first = judged.groupBy(*SUBJECT, "next_id").agg(
         F.min(F.when(bad, F.col("since"))).alias("first_violation"),
         F.min(F.when(F.size(divergences) > 0, F.col("since"))).alias("first_divergence"),
+        F.min(F.when(F.col("findings").isNull(), F.col("since"))).alias("first_open"),
     )
     starts = earlier.groupBy(*SUBJECT).agg(F.min("since").alias("start"))
     all_steps = t.withColumnRenamed("schema_id", "next_id").join(first, [*SUBJECT, "next_id"], "left").join(starts, SUBJECT, "left")
     hit = lambda c: F.coalesce(F.col(c) < F.col("ordinal"), F.lit(False))
     transitive = all_steps.select(
-        *SUBJECT, "ordinal", F.col("next_id").alias("schema_id"), "mode", (~hit("first_violation")).alias("compatible"),
-        bump_of(hit("start"), F.col("mode"), hit("first_violation").cast("int"), hit("first_divergence").cast("int")).alias("bump"),
+        *SUBJECT, "ordinal", F.col("next_id").alias("schema_id"), "mode",
+        F.when(hit("first_violation"), False).when(~hit("first_open"), True).alias("compatible"),
+        F.when(
+            hit("first_violation") | ~hit("first_open"),
+            bump_of(hit("start"), F.col("mode"), hit("first_violation").cast("int"), hit("first_divergence").cast("int")),
+        ).alias("bump"),
         F.when(hit("first_violation"), F.col("first_violation")).alias("conflicts_with"),
     )
     return one_step.unionByName(transitive).unionByName(off)
@@ -157,7 +190,8 @@ def diff_versions(requests: DataFrame, versions: DataFrame, policies: DataFrame,
     """Requests (environment_id, subject, a, b): every divergence between two ordinals, both directions.
 
     One row per divergence; a pair without any gives one row with null path. ``identical`` tells
-    equal schemas from different schemas that do not diverge.
+    equal schemas from different schemas that do not diverge; the kind of a pair that could not be
+    compared is ``not_comparable``.
     """
     side = lambda o, s: versions.select(*SUBJECT, F.col("ordinal").alias(o), F.col("schema_id").alias(s))
     both = (
@@ -166,8 +200,12 @@ def diff_versions(requests: DataFrame, versions: DataFrame, policies: DataFrame,
     )
     compared = both.join(differ(both.where("prev_id <> next_id")), PAIR, "left")
     return compared.select(
-        *SUBJECT, "a", "b", (F.col("prev_id") == F.col("next_id")).alias("identical"), F.explode_outer("findings").alias("f")
-    ).select(*SUBJECT, "a", "b", "identical", "f.path", "f.kind", "f.direction", "f.surface", "f.member")
+        *SUBJECT, "a", "b", (F.col("prev_id") == F.col("next_id")).alias("identical"), "findings", F.explode_outer("findings").alias("f")
+    ).select(
+        *SUBJECT, "a", "b", "identical", "f.path",
+        F.when(~F.col("identical") & F.col("findings").isNull(), "not_comparable").otherwise(F.col("f.kind")).alias("kind"),
+        "f.direction", "f.surface", "f.member",
+    )
 
 
 def suggest_semver(versions: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -180,7 +218,7 @@ def suggest_semver(versions: DataFrame, verdicts: DataFrame) -> DataFrame:
     label = lambda *p: F.concat_ws(".", *[(x if isinstance(x, Column) else F.lit(x)).cast("string") for x in p])
     return verdicts.join(top, SUBJECT, "left").select(
         *verdicts.columns,
-        F.when(F.col("bump") == "None", None)
+        F.when(F.col("bump").isNull() | (F.col("bump") == "None"), None)
         .when(zero, "1.0.0")
         .when(F.col("bump") == "Major", label(k["major"] + 1, 0, 0))
         .when(F.col("bump") == "Minor", label(k["major"], k["minor"] + 1, 0))
@@ -195,7 +233,7 @@ def semver_label_audit(versions: DataFrame, verdicts: DataFrame) -> DataFrame:
     v = versions.select(*SUBJECT, "ordinal", "semver", "status").withColumn("key", semver_key("semver"))
     v = before(v, SUBJECT, "ordinal", "previous", F.when(live, F.col("key")), "max")
     v = v.join(verdicts.select(*SUBJECT, "ordinal", "compatible"), [*SUBJECT, "ordinal"])
-    breaking = ~F.col("compatible")
+    breaking = ~F.coalesce("compatible", F.lit(True))  # what could not be compared breaks no labelling rule
     k, p = F.col("key"), F.col("previous")
     code = (
         F.when(p.isNotNull() & (k <= p), "semver_not_increasing")
@@ -210,7 +248,7 @@ def semver_label_audit(versions: DataFrame, verdicts: DataFrame) -> DataFrame:
 def bulk_check(directory: DataFrame, versions: DataFrame, policies: DataFrame, differ: Differ) -> DataFrame:
     """A contract directory (environment_id, subject, format, schema_id) against the registry.
 
-    One status per file: skipped (not JSON), new (no such subject), ok or broken.
+    One status per file: skipped (not JSON), new (no such subject), ok, broken or not_comparable.
     """
     if directory.isEmpty():
         raise ValueError("contracts_dir_empty: nothing to check")
@@ -223,6 +261,7 @@ def bulk_check(directory: DataFrame, versions: DataFrame, policies: DataFrame, d
     status = (
         F.when(F.col("format") != "json", "skipped")
         .when(F.col("known").isNull(), "new")
+        .when(F.col("compatible").isNull(), "not_comparable")
         .when(F.col("compatible"), "ok")
         .otherwise("broken")
     )
@@ -230,7 +269,8 @@ def bulk_check(directory: DataFrame, versions: DataFrame, policies: DataFrame, d
 
 
 def push_plan(directory: DataFrame, versions: DataFrame, latest: DataFrame, policies: DataFrame, differ: Differ) -> DataFrame:
-    """What pushing the directory would do: would-create, unchanged, would-register, would-await-approval.
+    """What pushing the directory would do: would-create, unchanged, would-register, would-await-approval,
+    or not_comparable, which nothing is done about.
 
     ``latest`` is (environment_id, subject, schema_id) of each subject's tip; non-JSON files are skipped.
     """
@@ -240,6 +280,7 @@ def push_plan(directory: DataFrame, versions: DataFrame, latest: DataFrame, poli
         F.when(F.col("status") == "skipped", "skipped")
         .when(F.col("status") == "new", "would-create")
         .when(F.col("schema_id") == F.col("tip_id"), "unchanged")
+        .when(F.col("status") == "not_comparable", "not_comparable")
         .when(F.col("status") == "ok", "would-register")
         .otherwise("would-await-approval")
     )

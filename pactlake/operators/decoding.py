@@ -172,26 +172,11 @@ def content_type_of(format: Column, schema_id: Column, wire: Wire = Wire()) -> C
     return F.concat(media, F.lit(wire.content_marker), schema_id)
 
 
-def generic_types(messages: DataFrame) -> DataFrame:
-    """Spelling of every distinct closed-generic message type: (generic, spelled)."""
-    distinct = messages.select(strip("properties_type").alias("generic")).where(is_generic_type("generic")).distinct()
-    return distinct.withColumn("spelled", generic_subject("generic"))
-
-
-def resolve_subjects(messages: DataFrame, generics: DataFrame | None = None, key: str = "message_id") -> DataFrame:
-    """Message type to ``subject_outcome`` (resolved, absent, unusable) and ``resolved_subject``.
-
-    Plain names are rewritten in place. Closed generics, which need a recursive spelling, are spelled
-    once per distinct type and joined back; plain rows carry scattered keys into that join, so a
-    shuffled join would not pile them up.
-    """
-    if generics is None:
-        generics = materialize(generic_types(messages), "generic-types")
+def resolve_subjects(messages: DataFrame) -> DataFrame:
+    """Message type to ``subject_outcome`` (resolved, absent, unusable) and ``resolved_subject``, in place."""
     message_type = strip("properties_type")
-    scattered = F.concat(F.lit("plain "), (F.xxhash64(key) % 4096).cast("string"))
-    df = messages.withColumn("generic", F.when(is_generic_type(message_type), message_type).otherwise(scattered))
-    df = df.join(generics, "generic", "left")
-    text = F.coalesce("spelled", normalize_subject("properties_type"))
+    text = F.when(is_generic_type(message_type), generic_subject(message_type)).otherwise(normalize_subject("properties_type"))
+    df = messages
     outcome = (
         F.when(blank("properties_type"), "absent").when(subject_valid(text), "resolved").otherwise("unusable")
     )

@@ -148,12 +148,16 @@ def promotion_plan(source_env: str, target_env: str, subjects: DataFrame, versio
     proposals = both.where("status = 'Active' and exists").select(F.lit(target_env).alias("environment_id"), "subject", "schema_id")
     verdicts, _ = compatibility_check(proposals, versions.where(F.col("environment_id") == target_env), policies, differ)
     judged = both.join(verdicts.select("subject", "schema_id", "compatible", "violations"), ["subject", "schema_id"], "left")
-    code = F.when(F.col("schema_id").isNull(), "version_not_found").when(F.col("status") != "Active", "promotion_source_not_active")
+    code = (
+        F.when(F.col("schema_id").isNull(), "version_not_found")
+        .when(F.col("status") != "Active", "promotion_source_not_active")
+        .when(F.col("exists") & ~F.coalesce(F.col("schema_id") == F.col("target_id"), F.lit(False)) & F.col("compatible").isNull(), "not_comparable")
+    )
     action = (
         F.when(code.isNotNull(), "refused")
         .when(F.col("exists").isNull(), "create")
         .when(F.col("schema_id") == F.col("target_id"), "unchanged")
-        .when(F.coalesce("compatible", F.lit(True)), "register")
+        .when(F.col("compatible"), "register")
         .otherwise("await_approval")
     )
     return judged.select(
@@ -260,7 +264,9 @@ def subject_search(subjects: DataFrame, text: str) -> DataFrame:
 
 def audit_query(audit: DataFrame, environment: str | None = None, action: str | None = None, target: str | None = None,
                 since=None, until=None, limit: int | None = None) -> DataFrame:
-    """Audit entries, newest first. Filters are optional; 100 rows by default, 500 at most."""
+    """Audit entries, newest first. Filters are optional; 100 rows by default."""
+    if limit is not None and limit < 1:
+        raise ValueError("audit_filter_invalid: limit must be positive")
     if since is not None and until is not None and since > until:
         raise ValueError("audit_filter_invalid: since is later than until")
     out = audit
@@ -271,7 +277,7 @@ def audit_query(audit: DataFrame, environment: str | None = None, action: str |
         out = out.where(F.col("at") >= F.lit(since))
     if until is not None:
         out = out.where(F.col("at") <= F.lit(until))
-    return out.orderBy(F.desc("at"), F.desc("audit_id")).limit(min(max(limit or 100, 1), 500))
+    return out.orderBy(F.desc("at"), F.desc("audit_id")).limit(limit or 100)
 
 
 def deployment_trail(events: DataFrame, limit: int) -> DataFrame:

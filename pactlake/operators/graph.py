@@ -123,12 +123,18 @@ def version_edges(versions: DataFrame, edges: DataFrame, wire: Wire = Wire()) ->
     )
 
 
-def latest_snapshot(subjects: DataFrame, versions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(subjects, schemas): each subject that is not retired with its latest version (null when none),
-    and the ids of all schemas those need, transitively. ``edges`` are (src, dst) schema ids."""
+def latest_versions(subjects: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each subject that is not retired with its latest version (null when none)."""
     live = subjects.where("lifecycle <> 'Retired'").select("environment_id", "subject", "format", F.col("latest_ordinal").alias("ordinal"))
-    listed = live.join(
+    return live.join(
         versions.select("environment_id", "subject", "ordinal", "schema_id", "semver"), ["environment_id", "subject", "ordinal"], "left"
     )
+
+
+def latest_snapshot(subjects: DataFrame, versions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(subjects, schemas): ``latest_versions`` and the ids of all schemas those need, transitively.
+
+    ``edges`` are (src, dst) schema ids."""
+    listed = latest_versions(subjects, versions)
     roots = listed.where("schema_id is not null").select(F.col("schema_id").alias("start")).distinct()
     return listed, reach_any(roots, edges.where("dst is not null")).select(F.col("node").alias("schema_id"))

@@ -37,12 +37,14 @@ def _names(c: str) -> str:
 
 
 def _bound(keyword: str, upper: bool) -> list[str]:
-    was, now = f"b.{keyword}", f"a.{keyword}"
+    was, now = f"b.{keyword}_double", f"a.{keyword}_double"
     less, more = ("<", ">") if upper else (">", "<")
+    # As decimals where both fit, else as doubles.
+    held = lambda sign: f"coalesce(a.{keyword} {sign} b.{keyword}, {now} {sign} {was})"
     at = f"concat(path, '/{keyword}')"
     return [
-        _when(f"{now} is not null and ({was} is null or {now} {less} {was})", at, "numeric_range_narrowed", B),
-        _when(f"{was} is not null and ({now} is null or {now} {more} {was})", at, "numeric_range_widened", FWD),
+        _when(f"{now} is not null and ({was} is null or {held(less)})", at, "numeric_range_narrowed", B),
+        _when(f"{was} is not null and ({now} is null or {held(more)})", at, "numeric_range_widened", FWD),
     ]
 
 
@@ -96,12 +98,13 @@ def _all_paths() -> str:
 
 
 def diff_json_pairs(pairs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (prev_id, next_id, content_model) with ``findings``; a pair with an unknown side is left out."""
+    """Distinct (prev_id, next_id, content_model) with ``findings``, null where a side is unknown or no JSON schema."""
     distinct = pairs.select("prev_id", "next_id", "content_model").distinct()
     before = rules.select(F.col("schema_id").alias("prev_id"), F.col("rules").alias("before"))
     after = rules.select(F.col("schema_id").alias("next_id"), F.col("rules").alias("after"))
-    both = distinct.join(before, "prev_id").join(after, "next_id")
-    return both.select("prev_id", "next_id", "content_model", F.expr(_all_paths()).cast(FINDING).alias("findings"))
+    both = distinct.join(before, "prev_id", "left").join(after, "next_id", "left")
+    known = F.col("before").isNotNull() & F.col("after").isNotNull()
+    return both.select("prev_id", "next_id", "content_model", F.when(known, F.expr(_all_paths()).cast(FINDING)).alias("findings"))
 
 
 def json_schema_diff(pairs: DataFrame, rules: DataFrame) -> DataFrame:

@@ -189,13 +189,13 @@ def keyword_rows(body: str) -> Iterator[tuple]:
     """(path, keyword, kind, raw, items, at_schema) for every member at every depth.
 
     ``at_schema`` marks the members of schemas reached from the root only through ``properties``
-    and ``items``; a row with an empty keyword stands for such a schema itself.
+    and ``items``; a row with a null keyword stands for such a schema itself.
     """
     todo = [("#", parse_raw(body), True)]
     while todo:
         path, value, at_schema = todo.pop()
         if at_schema:
-            yield path, "", _kind(value), None, None, True
+            yield path, None, _kind(value), None, None, True
         if isinstance(value, list):
             todo.extend((f"{path}/{i}", x, False) for i, x in enumerate(value) if isinstance(x, (dict, list)))
         if not isinstance(value, dict):
@@ -284,7 +284,9 @@ def compile_rules(nodes: DataFrame) -> DataFrame:
         F.struct(kind, raw, items, F.when(keyword.isin("enum", "const"), members).alias("members")).alias("value"),
     )
     kw = nodes.where("at_schema").groupBy("schema_id", "path").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("kw"), F.bool_or(unchecked).alias("unchecked")
+        F.map_from_entries(F.collect_list(F.when(keyword.isNotNull(), entry))).alias("kw"),
+        F.max(F.when(keyword.isNull(), kind)).alias("kind"),
+        F.coalesce(F.bool_or(unchecked), F.lit(False)).alias("unchecked"),
     )
 
     def of(name: str, field: str, *kinds: str) -> Column:
@@ -294,7 +296,7 @@ def compile_rules(nodes: DataFrame) -> DataFrame:
     per_path = kw.select(
         "schema_id",
         "path",
-        of("", "kind").alias("kind"),
+        "kind",
         of("type", "items").alias("types"),
         of("enum", "items", "array").alias("enum"),
         of("enum", "members", "array").alias("enum_values"),
@@ -308,6 +310,8 @@ def compile_rules(nodes: DataFrame) -> DataFrame:
         F.when(~F.col("unchecked"), of("pattern", "raw", "string")).alias("run_pattern"),
         "unchecked",
         *[of(k, "raw", "number").try_cast("decimal(38,18)").alias(k) for k in _BOUNDS],
+        # Bounds too large for the decimal are still bounds.
+        *[of(k, "raw", "number").try_cast("double").alias(f"{k}_double") for k in _BOUNDS],
     )
     rule = F.struct(*[c for c in per_path.columns if c not in ("schema_id", "path")])
     return per_path.groupBy("schema_id").agg(

@@ -13,7 +13,7 @@ from .nodes import KIND, TYPE, canonical_value, compile_rules, schema_nodes, wit
 # Fixed value: largest payload that is checked, in bytes.
 MAX_PAYLOAD_BYTES = 10 * 1024 * 1024
 
-_WHOLE = "(t = 'BIGINT' or coalesce(num = floor(num), false))"
+_WHOLE = "(t = 'BIGINT' or coalesce(num = floor(num), dbl = rint(dbl), false))"
 _IS_TYPE = f"x = kind or (x = 'integer' and kind = 'number' and {_WHOLE})"
 _EXPECTED = "concat(upper(substring(r.types[0], 1, 1)), substring(r.types[0], 2), 'Expected')"
 
@@ -27,6 +27,11 @@ def _at(names: str, kind: str) -> str:
     return f"transform({names}, k -> named_struct('path', concat(n.inst, '/', {escaped}), 'kind', '{kind}'))"
 
 
+def _held(sign: str, bound: str) -> str:
+    """A number against a bound: as decimals, or as doubles where either has too many digits for that."""
+    return f"coalesce(num {sign} r.{bound}, dbl {sign} r.{bound}_double)"
+
+
 _NO_NAMES = "cast(array() as array<string>)"
 _VALUE = canonical_value("n.v")
 _COMMON = [
@@ -45,9 +50,9 @@ _BY_KIND = {
         f"{_at(f'array_except(map_keys(n.m), coalesce(r.props, {_NO_NAMES}))', 'NoAdditionalPropertiesAllowed')} end",
     ],
     "number": [
-        _finding("num > r.maximum or num >= r.exclusiveMaximum", "'NumberTooBig'"),
-        _finding("num < r.minimum or num <= r.exclusiveMinimum", "'NumberTooSmall'"),
-        _finding("r.multipleOf > 0 and num % r.multipleOf <> 0", "'NumberNotMultipleOf'"),
+        _finding(f"{_held('>', 'maximum')} or {_held('>=', 'exclusiveMaximum')}", "'NumberTooBig'"),
+        _finding(f"{_held('<', 'minimum')} or {_held('<=', 'exclusiveMinimum')}", "'NumberTooSmall'"),
+        _finding("r.multipleOf_double > 0 and coalesce(num % r.multipleOf <> 0, dbl % r.multipleOf_double <> 0)", "'NumberNotMultipleOf'"),
     ],
     "string": [
         _finding("char_length(str) > r.maxLength", "'StringTooLong'"),
@@ -79,11 +84,12 @@ def _checks() -> str:
     facts = (
         f"transform({kinds}, p -> named_struct('n', p.n, 'r', p.r, 't', p.t, 'kind', p.kind, "
         "'num', case when p.kind = 'number' then try_cast(p.n.v as decimal(38,18)) end, "
+        "'dbl', case when p.kind = 'number' then try_cast(p.n.v as double) end, "
         "'str', case when p.kind = 'string' then cast(p.n.v as string) end))"
     )
     own = " ".join(f"when '{k}' then flatten(array_compact(array({', '.join(c)})))" for k, c in _BY_KIND.items())
     every = f"flatten(array_compact(array({', '.join(_COMMON)}, case kind {own} end)))"
-    return f"flatten(transform({facts}, p -> {_on('p', every, 'n|r|t|kind|num|str')}))"
+    return f"flatten(transform({facts}, p -> {_on('p', every, 'n|r|t|kind|num|dbl|str')}))"
 
 
 FINDINGS = _checks()
@@ -113,8 +119,8 @@ def judge(messages: DataFrame, depth: int, body: str = "body") -> DataFrame:
     whole = lambda kind: F.array(F.struct(F.lit("#").alias("path"), F.lit(kind).alias("kind")))
     found = (
         F.when(F.col("known").isNull(), F.array().cast("array<struct<path:string,kind:string>>"))
-        .when(text.isNull(), whole("invalid_utf8"))
         .when(~is_json, F.array().cast("array<struct<path:string,kind:string>>"))
+        .when(text.isNull(), whole("invalid_utf8"))
         .when(F.trim(text) == "", whole("empty"))
         .when(~fits, whole("payload_too_large"))
         .when(F.col("nodes").isNull(), whole("malformed_json"))

@@ -10,8 +10,6 @@ from ..functions.columns import blank, strip, utf16_clamp, violation_fingerprint
 
 # Longest stored texts, in UTF-16 units.
 MAX_ROUTE, MAX_CODE, MAX_DETAIL, MAX_REPORTER = 512, 64, 1024, 128
-# Keys one reporter keeps per flush, and recent decisions a client shows.
-FLUSH_KEYS, RECENT = 256, 32
 KEY = ["environment_id", "side", "route", "subject", "code"]
 
 
@@ -20,8 +18,11 @@ def _clamped(c: str, limit: int) -> Column:
 
 
 def clean_reports(reports: DataFrame) -> DataFrame:
-    """Reports as they are stored: trimmed and clamped before the fingerprint, with ``valid`` telling
-    which could open a violation. An existing violation also takes reports whose count is below one."""
+    """Reports as they are stored, with ``usable`` telling which could open a violation.
+
+    The fingerprint is made of the whole trimmed texts; only what is shown is clamped. An existing violation
+    also takes reports whose count is below one.
+    """
     side = F.upper(strip("side"))
     ok_side = side.isin("PUBLISH", "CONSUME")
     usable = ok_side & ~blank("route") & ~blank("code")
@@ -29,6 +30,8 @@ def clean_reports(reports: DataFrame) -> DataFrame:
         "ts", "seq", "environment_id",
         F.when(ok_side, side).alias("side"),
         _clamped("route", MAX_ROUTE).alias("route"),
+        strip("route").alias("full_route"),
+        strip("code").alias("full_code"),
         F.when(~blank("subject"), strip("subject")).alias("subject"),
         _clamped("code", MAX_CODE).alias("code"),
         F.when(~blank("detail"), _clamped("detail", MAX_DETAIL)).alias("detail"),
@@ -36,7 +39,7 @@ def clean_reports(reports: DataFrame) -> DataFrame:
         "occurrences",
         F.coalesce(usable, F.lit(False)).alias("usable"),
     )
-    return out.withColumn("fingerprint", violation_fingerprint(*[F.col(c) for c in KEY]))
+    return out.withColumn("fingerprint", violation_fingerprint(F.col("environment_id"), F.col("side"), F.col("full_route"), F.col("subject"), F.col("full_code"))).drop("full_route", "full_code")
 
 
 def violation_rollup(reports: DataFrame) -> DataFrame:
@@ -79,26 +82,28 @@ def report_outcomes(reports: DataFrame) -> DataFrame:
 
 
 def top_violations(violations: DataFrame, environment: str, limit: int) -> DataFrame:
-    """Newest first; the limit is kept within 1 and 500."""
+    """Newest first. A limit that is not positive is an error; a caller pages by ``last_seen_at``."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
     return violations.where(F.col("environment_id") == environment).orderBy(
         F.desc("last_seen_at"), "fingerprint"
-    ).limit(min(max(limit, 1), 500))
+    ).limit(limit)
 
 
 def enforcement_counters(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("side", "outcome").agg(F.count("*").alias("messages"))
 
 
-def recent_decisions(decisions: DataFrame) -> DataFrame:
-    """The latest decisions that were not simply valid."""
-    return decisions.where("outcome <> 'Valid'").orderBy(F.desc("ts"), F.desc("message_id")).limit(RECENT)
+def recent_decisions(decisions: DataFrame, limit: int = 32) -> DataFrame:
+    """The latest ``limit`` decisions that were not simply valid."""
+    return decisions.where("outcome <> 'Valid'").orderBy(F.desc("ts"), F.desc("message_id")).limit(limit)
 
 
-def violation_flush_windows(decisions: DataFrame, every: str, reporter: str = "reported_by") -> tuple[DataFrame, DataFrame]:
+def violation_flush_windows(decisions: DataFrame, every: str, reporter: str = "reported_by", keys: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): counts per key, flush window and reporter.
 
-    A reporter keeps the first 256 distinct keys of a window in order of arrival; messages of later
-    new keys are only counted. Keys are counted before they are ranked, so a window that holds a third
+    All keys are kept by default. With ``keys``, a reporter keeps that many distinct keys of a window in
+    order of arrival, and messages of later new keys are only counted. Keys are counted before they are ranked, so a window that holds a third
     of all messages ranks its distinct keys, not its messages, and ranking prunes before the shuffle.
     """
     key = ["side", "route", "subject", "code", "detail"]
@@ -106,8 +111,11 @@ def violation_flush_windows(decisions: DataFrame, every: str, reporter: str = "r
     counted = decisions.groupBy(
         F.window("ts", every)["start"].alias("window_start"), F.col(reporter).alias("reporter"), *key
     ).agg(F.count("*").alias("n"), F.min(F.struct("ts", "message_id")).alias("first"))
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(*place).orderBy("first")))
-    kept = ranked.where(F.col("rank") <= FLUSH_KEYS).drop("rank", "first")
+    kept = counted
+    if keys is not None:
+        ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(*place).orderBy("first")))
+        kept = ranked.where(F.col("rank") <= keys).drop("rank")
+    kept = kept.drop("first")
     all_of = counted.groupBy(*place).agg(F.sum("n").alias("messages"), F.count("*").alias("keys"))
     in_kept = kept.groupBy(*place).agg(F.sum("n").alias("kept"))
     dropped = all_of.join(in_kept, place).select(*place, "keys", (F.col("messages") - F.col("kept")).alias("dropped"))

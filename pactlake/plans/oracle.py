@@ -326,9 +326,9 @@ LOCAL: dict[str, str] = {
         full join (select tenant_id, count(*) as v from reg join tenant_subjects using (environment_id, subject)
                    where registered_at >= timestamp '1997-06-01' group by all) using (tenant_id)""",
     "flush_keys": """
-        select time_bucket(interval 30 days, ts, timestamp '1970-01-01') as window_start, reported_by as reporter, side, route, subject, code,
+        select time_bucket(interval 30 days, ts, timestamp '1970-01-01') as window_start, coalesce(reported_by, 'unknown') as reporter, side, route, subject, code,
                detail || (seq % 997) as detail, count(*) as n, min((ts, seq)) as first
-        from violation_reports where reported_by is not null group by all""",
+        from violation_reports group by all""",
     "flush_ranked": "select *, row_number() over (partition by window_start, reporter order by first) as rk from flush_keys",
 }
 
@@ -413,7 +413,10 @@ oracle(
               case when bad then null when ext = '.json' then 'json' when ext = '.AVSC' then 'avro' else 'protobuf' end as format,
               case when bad then 'subject_name_invalid' end as error_code
        from (select path, regexp_extract(path, '([.][a-zA-Z]+)$', 1) as ext, path like '%bad-name%' as bad from contract_file_rows) x
-       where ext <> '.txt'""",
+       where ext <> '.txt'
+       union all select min(path), null, null, 'subject_defined_twice'
+       from (select path, replace(regexp_extract(path, '([^/]+)$', 1), regexp_extract(path, '([.][a-zA-Z]+)$', 1), '') as subject
+             from contract_file_rows where path not like '%.txt' and path not like '%bad-name%') y group by subject having count(*) > 1""",
 )
 oracle("a3_export_latest", "select environment_id, subject, ordinal, schema_id, body from tips")
 oracle("a3_export_skipped", "select environment_id, subject from subject_rows where latest_ordinal is null")
@@ -488,7 +491,7 @@ oracle("c7_consume_conformance", "select message_id, outcome, code, mode, judged
 oracle(
     "c8_selector_filter",
     """select contract, seq, pos, cast(o.ordinal as int) as ordinal from publish_refs join event_schemas e using (subject)
-       cross join (values (1), (2), (3), (4)) o(ordinal)
+       cross join lateral (select unnest(generate_series(1, e.ordinal + 1)) as ordinal) o
        where case selector when 'latest' then o.ordinal = e.ordinal when '2' then o.ordinal = 2 when '>=1' then true else o.ordinal >= 2 end""",
 )
 oracle(
@@ -658,7 +661,7 @@ oracle("f3_protobuf_diff", shaped([
 ]))
 oracle(
     "e5_unsupported_references",
-    """select distinct 's' || p_partkey as schema_id, 'acme.X' || p_size as reference, 'schema_references_unsupported' as error_code from part where p_partkey % 5 = 0
+    """select distinct 's' || p_partkey as schema_id, 'acme.X' || p_size as reference, 'schema_references_unsupported' as error_code from part
        union select schema_id, path, 'schema_references_unsupported' from import_rows where path like 'acme%'""",
 )
 oracle("f4_compatibility_check", "select * from verdicts")
@@ -856,7 +859,7 @@ oracle(
              from attempt_rows a left join (select outbox_id, min(("at", seq)) as done from attempt_rows where succeeded group by all) s using (outbox_id)
              where done is null or ("at", seq) <= done group by all) x""",
 )
-oracle("h3_violation_flush_windows", "select window_start, reporter, side, route, subject, code, detail, n from flush_ranked where rk <= 256")
+oracle("h3_violation_flush_windows", "select window_start, reporter, side, route, subject, code, detail, n from flush_keys")
 oracle(
     "h3_violation_flush_dropped",
     """select window_start, reporter, count(*) as keys, cast(sum(n) - sum(n) filter (rk <= 256) as bigint) as dropped from flush_ranked group by all""",

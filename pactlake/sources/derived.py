@@ -215,18 +215,10 @@ SHARED: dict[str, str] = {
         select 'n' || cast(s_suppkey as string) as subscription_id, 'env' || cast(s_suppkey % 3 as string) as environment_id,
                s_suppkey % 4 <> 0 as enabled,
                case s_suppkey % 3 when 0 then '' when 1 then 'VERSION_REGISTERED,ENFORCEMENT_VIOLATION' else 'CONTRACT_CHANGED' end as events
-        from supplier where s_suppkey <= 1000000""",
+        from supplier""",
     "attempt_rows": """
         select 'o' || cast(user_id as string) as outbox_id, event_id as seq, ts as at, event_type <> 'error' and value < 0 as succeeded
         from events""",
-    "registration_rows": """
-        select event_id as seq, ts, 'env' || cast(user_id % 3 as string) as environment_id,
-               'acme.s' || cast(user_id as string) as subject,
-               case when event_id % 11 = 0 then 'approve' when event_id % 13 = 0 then 'reject' else 'register' end as action,
-               'json' as format, 's' || cast(event_id % 5 as string) as schema_id, cast(null as string) as semver,
-               event_id % 4 = 0 as is_breaking, cast(event_id % 3 + 1 as int) as ordinal,
-               'user-' || cast(user_id % 11 as string) as actor
-        from events""",
     # one nested document per order line
     "line_docs": """
         select cast(l_orderkey * 100 + l_linenumber as bigint) as doc_id, 'acme.line.' || l_returnflag as subject,

@@ -2,7 +2,6 @@ from .jobs import (
     ROCKSDB,
     quarantine_sink,
     stream_conformance,
-    stream_replay,
     stream_service_state,
     stream_violation_rollup,
 )
@@ -11,7 +10,6 @@ __all__ = [
     "ROCKSDB",
     "quarantine_sink",
     "stream_conformance",
-    "stream_replay",
     "stream_service_state",
     "stream_violation_rollup",
 ]

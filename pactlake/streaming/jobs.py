@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: conformance, quarantine, violation state, service state, replay."""
+"""Structured Streaming jobs: conformance, quarantine, violation state, service state."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.conformance import Registry, consume_conformance, publish_conformance, quarantine_split
-from ..operators.replay import CHANGES, EVENT, History, run_events
 from ..operators.violations import KEY, clean_reports
 from ..wire import MONITOR, Wire
 
@@ -142,53 +141,6 @@ def stream_violation_rollup(reports: DataFrame) -> DataFrame:
     )
 
 
-REPLAY_STATE = (
-    "format string, last int, tip int, tip_schema string, retired boolean, "
-    "pending array<struct<ordinal:int,schema_id:string>>, ts timestamp, seq long"
-)
-
-
-class ReplayState(StatefulProcessor):
-    """A subject's history between micro-batches; events older than what was applied are marked late."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("history", REPLAY_STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = _columns(CHANGES)
-        history, done = History(), (pd.Timestamp(0), -1)
-        if self.state.exists():
-            format, last, tip, sid, retired, pending, ts, seq = self.state.get()
-            history = History(format, last, tip, sid, retired, {p[0]: p[1] for p in pending or []})
-            done = (pd.Timestamp(ts), seq)
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        made = []
-        for row in events[EVENT].itertuples(index=False, name=None):
-            at = (row[3], row[2])
-            if at <= done:
-                made.append((*row[:2], row[2], row[3], row[4], "late", "event_out_of_order", None, row[6], None, history.tip, None))
-                continue
-            made.extend(run_events(history, iter([row])))
-            done = at
-        *plain, pending = history.state()
-        self.state.update((*plain, [(int(o), s) for o, s in pending], done[0], int(done[1])))
-        yield pd.DataFrame(made, columns=names).astype({"ordinal": "Int32", "latest_ordinal": "Int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_replay(events: DataFrame) -> DataFrame:
-    """The registration replay as a stream of change rows (output mode ``append``).
-
-    Events of a subject are ordered by time within a micro-batch. An event older than one already
-    applied comes out with result ``late`` and changes nothing; route those rows to a table of their own.
-    """
-    return events.select(*EVENT).groupBy("environment_id", "subject").transformWithStateInPandas(
-        statefulProcessor=ReplayState(), outputStructType=CHANGES, outputMode="Append", timeMode="None"
-    )
-
-
 def stream_service_state(reports: DataFrame, table: str):
     """Service reports to a table of current rows: each micro-batch merges into ``table`` (a folder).
 

@@ -14,7 +14,7 @@ from pactlake.functions import (
     utf16_clamp,
     violation_fingerprint,
 )
-from pactlake.functions.columns import _overlap, _spell_type, has_wildcard_word
+from pactlake.functions.columns import _overlap, generic_subject, has_wildcard_word
 
 WORDS = st.lists(st.sampled_from(["a", "b", "*", "#", "x-y", ""]), min_size=1, max_size=5)
 
@@ -60,17 +60,19 @@ def test_subject_texts(spark):
     assert {r.s: r.t for r in got} == plain
 
 
-def test_generic_spelling():
-    assert _spell_type("N.Box`1[[N.Item, Asm]], Core") == "N.Box_of_N.Item"
-    assert _spell_type("N.Pair`2[[N.L, A],[N.R, B]]") == "N.Pair_of_N.L_and_N.R"
-    assert _spell_type("N.Outer`1[[N.Inner`1[[N.X, A]], A]]") == "N.Outer_of_N.Inner_of_N.X"
-    assert _spell_type("N.Open`1") == "N.Open`1"
-    assert _spell_type("N.Torn`1[[N.X") == "N.Torn`1[[N.X"
+def test_generic_spelling(spark):
+    spelled = {
+        "N.Box`1[[N.Item, Asm]], Core": "N.Box_of_N.Item", "N.Pair`2[[N.L, A],[N.R, B]]": "N.Pair_of_N.L_and_N.R",
+        "N.Outer`1[[N.Inner`1[[N.X, A]], A]]": "N.Outer_of_N.Inner_of_N.X", "N.Open`1": "N.Open`1", "N.Torn`1[[N.X": "N.Torn`1[[N.X",
+        "M`2[[K, A],[L`1[[P+Q, A]][], A]], A": "M_of_K_and_L_of_P.Q", "U`2[A, B]": "U_of_A_and_B", "E`1[]": "E`1[]",
+    }
+    got = spark.createDataFrame([(c,) for c in spelled], "s string").select("s", generic_subject("s").alias("t")).collect()
+    assert {r.s: r.t for r in got} == spelled
 
 
 def test_selectors(spark):
     cases = {"latest": ("latest", None), " LATEST ": ("latest", None), "7": ("pinned", 7), ">= 3": ("range", 3), "0": None,
-             ">=0": None, "3.1": None, "": None, None: None, "99999999999": None}
+             ">=0": None, "3.1": None, "": None, None: None, "99999999999": None, ">=" + "0" * 99 + "1junk": None, ">=" + "0" * 99 + "1": ("range", 1)}
     got = spark.createDataFrame([(c,) for c in cases], "s string").select("s", parse_selector("s").alias("p")).collect()
     assert {r.s: tuple(r.p) if r.p else None for r in got} == cases
     rows = [("latest", 2, 2, True), ("latest", 1, 2, False), ("latest", 1, None, False), ("2", 2, 9, True), (">=2", 3, None, True), (">=2", 1, 1, False)]

@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
-from pactlake.operators import conformance, governance, replay, violations
+from pactlake.operators import conformance, governance, violations
 from pactlake.plans.queries import _registry, _service_reports
 from pactlake.sources.derived import Views
-from pactlake.streaming import quarantine_sink, stream_conformance, stream_replay, stream_service_state, stream_violation_rollup
+from pactlake.streaming import quarantine_sink, stream_conformance, stream_service_state, stream_violation_rollup
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,42 +54,3 @@ def test_service_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{table}/version={versions[-1]}").select("environment_id", "service", "newest.produces", "newest.consumes", "first_seen_at", "last_seen_at")
     batch = governance.service_registry_state(reports).drop("reports")
     assert len(versions) > 1 and got.count() == batch.count() and got.exceptAll(batch).count() == 0
-
-
-def test_replay_stream_equals_batch_and_marks_late_events(spark, tmp_path):
-    events = Views(spark, SF).registration_rows
-    batch = replay.replay_registrations(events)
-    early = events.where("seq < 500").coalesce(1)
-    late = events.where("seq >= 500").unionByName(events.where("seq = 3")).coalesce(1)
-    stream = as_stream(spark, early, tmp_path / "in", 1, 1)
-    late.write.mode("append").parquet(str(tmp_path / "in"))
-    run(stream_replay(stream).writeStream.outputMode("append").format("memory").queryName("changes"), tmp_path)
-    got = spark.table("changes")
-    assert got.where("result = 'late'").count() == 1
-    rest = got.where("result <> 'late'")
-    assert rest.count() == batch.count() and rest.exceptAll(batch).count() == 0
-
-
-EVENTS = "environment_id string, subject string, seq long, ts timestamp, action string, format string, schema_id string, is_breaking boolean, ordinal int"
-
-
-def test_replay_rules(spark):
-    import datetime as dt
-
-    steps = [
-        ("register", "json", "A", True, None), ("register", "json", "A", False, None), ("register", "json", "B", True, None),
-        ("register", "json", "C", True, None), ("reject", None, None, None, 2), ("approve", None, None, None, 2), ("approve", None, None, None, 3),
-        ("register", "json", "D", True, None), ("register", "json", "C", False, None), ("register", "avro", "E", False, None), ("approve", None, None, None, 9),
-        ("retire", None, None, None, None), ("register", "json", "F", False, None),
-    ]
-    rows = [("e", "s", i, dt.datetime(2024, 1, 1), *s) for i, s in enumerate(steps)]
-    changes = replay.replay_registrations(spark.createDataFrame(rows, EVENTS))
-    got = [(r.result, r.code, r.ordinal, r.latest_ordinal, r.dismissed) for r in changes.orderBy("seq").collect()]
-    assert got == [
-        ("refused", "first_version_cannot_break", None, None, None), ("created", None, 1, 1, None), ("created", None, 2, 1, None), ("created", None, 3, 1, None),
-        ("rejected", None, 2, 1, None), ("refused", "version_not_awaiting_approval", 2, 1, None), ("approved", None, 3, 3, None),
-        ("created", None, 4, 3, None), ("unchanged", None, 3, 3, [4]), ("refused", "format_mismatch", None, 3, None), ("refused", "version_not_found", 9, 3, None),
-        ("retired", None, None, 3, None), ("refused", "subject_retired", None, 3, None),
-    ]
-    states = {r.ordinal: (r.schema_id, r.status) for r in replay.version_states(changes).collect()}
-    assert states == {1: ("A", "Active"), 2: ("B", "Rejected"), 3: ("C", "Active"), 4: ("D", "Dismissed")}
