@@ -15,7 +15,6 @@ from .nodes import MAX_DEPTH, documents_depth, json_depth, payload_nodes
 # Evidence thresholds.
 THIN_EVIDENCE = 10
 MAX_ENUM = 12
-STRING_CAP = 256
 ENUM_REPEATS = 3
 
 _WS = WHITESPACE.strip("[]")
@@ -29,10 +28,12 @@ FORMATS = {
 HIGH, MEDIUM, LOW = 1, 2, 3
 
 
-def infer_path_stats(docs: DataFrame, by: str = "subject", document: str = "body") -> DataFrame:
+def infer_path_stats(docs: DataFrame, by: str = "subject", document: str = "body", string_cap: int | None = None) -> DataFrame:
     """One row per (by, schema_path): how often it occurs, with which kinds, and what its strings look like.
 
-    Documents that are not JSON, or nest deeper than a reader accepts, are skipped.
+    Documents that are not JSON, or nest deeper than a reader accepts, are skipped; see :func:`skipped_documents`.
+    All strings count. With ``string_cap``, a path with that many distinct strings, of more than that many,
+    is marked ``truncated``, and neither a format nor an enum is inferred for it.
     """
     text = F.col(document)
     usable = docs.select(by, F.when(json_depth(text) <= MAX_DEPTH, text).alias("document"))
@@ -70,10 +71,17 @@ def infer_path_stats(docs: DataFrame, by: str = "subject", document: str = "body
     few = stats.where(F.col("distinct_strings").between(1, MAX_ENUM)).select(*place)
     values = texts.where(is_text).join(few, place).groupBy(*place).agg(F.array_sort(F.collect_list("str")).alias("strings"))
     return stats.join(values, place, "left").withColumn(
-        "truncated", (F.col("distinct_strings") >= STRING_CAP) & (F.col("n_string") > STRING_CAP)
+        "truncated", F.lit(False) if string_cap is None else (F.col("distinct_strings") >= string_cap) & (F.col("n_string") > string_cap)
     )
 
 
+def skipped_documents(docs: DataFrame, by: str = "subject", document: str = "body") -> DataFrame:
+    """(by, code, documents): what the statistics leave out, malformed_json or nested_too_deep."""
+    text = F.col(document)
+    code = F.when(text.isNotNull() & F.try_parse_json(text).isNull(), "malformed_json").when(json_depth(text) > MAX_DEPTH, "nested_too_deep")
+    return docs.select(by, code.alias("code")).where("code is not null").groupBy(by, "code").agg(F.count("*").alias("documents"))
+
+
 def detect_format() -> Column:
     """The first format every string of the path matches; none for truncated paths or empty strings."""
     found = None

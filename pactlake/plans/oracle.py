@@ -337,7 +337,7 @@ _STATS = """
            count(*) filter (kind = 'f') as n_false, count(*) filter (kind = 's') as n_string, count(*) filter (kind = 'n') as n_number,
            count(*) filter (kind = 'n' and whole) as n_int64, count(*) filter (kind = 'o') as n_object, count(*) filter (kind = 'a') as n_array,
            bool_or(kind = 'a' and filled) as non_empty, count(distinct val) filter (kind = 's') as distinct_strings,
-           count(distinct val) filter (kind = 's') >= 256 and count(*) filter (kind = 's') > 256 as truncated
+           false as truncated
     from {0} group by subject, schema_path"""
 
 # Divergences between two schemas of version rules; pairs are given as (prev_id, next_id).
@@ -875,3 +875,6 @@ oracle(
     "flagship_publish_report",
     "select outcome, code, mode, count(*) as messages from publish_result group by all",
 )
+# --- streams: what a stream has written when all has arrived is what the batch gives ----------------
+ORACLES["h1_stream_conformance"] = ORACLES["c7_consume_conformance"]
+ORACLES["h2_stream_violation_rollup"] = ORACLES["g8_violation_rollup"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -23,9 +24,10 @@ from ..operators.canonical import catalog_canonical_audit
 from ..operators.json_diff import diff_json_pairs, json_schema_diff
 from ..operators.nodes import schema_nodes
 from ..operators.proto_diff import protobuf_diff
-from ..session import configure, materialize
+from ..session import configure, materialize, shared_dir
 from ..sources import contract_files, latest_export, read_messages, sample_queue
-from ..sources.derived import Views
+from ..sources.derived import ArrivingViews, Views
+from ..streaming import ROCKSDB, stream_conformance, stream_violation_rollup
 from ..wire import MONITOR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,6 +655,43 @@ def _(v: Views) -> DataFrame:
     return notifications.outbox_retry_state(v.attempt_rows)
 
 
+def _arrived(v: Views, writer, name: str) -> str:
+    """Run a stream writer over all that is there, writing each micro-batch to a folder; the folder."""
+    folder = f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+    query = writer(keep).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return folder
+
+
+@query("h1_stream_conformance")
+def _(v: Views) -> DataFrame:
+    arriving, registry = ArrivingViews(v.spark, v.dir, v.wire), _registry(v)
+    columns = ["message_id", "outcome", "code", "mode", "judged_subject", "judged_schema_id"]
+
+    def writer(keep):
+        sink = lambda classified, n: keep(classified.select(*columns), n)
+        return stream_conformance(arriving.messages, lambda: registry, sink, side="consume", wire=v.wire)
+
+    return v.spark.read.parquet(_arrived(v, writer, "h1")).select(*columns)
+
+
+@query("h2_stream_violation_rollup")
+def _(v: Views) -> DataFrame:
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(setting)
+    v.spark.conf.set(setting, ROCKSDB)
+    try:
+        updates = stream_violation_rollup(ArrivingViews(v.spark, v.dir, v.wire).violation_reports)
+        folder = _arrived(v, lambda keep: updates.writeStream.outputMode("update").foreachBatch(keep), "h2")
+    finally:
+        v.spark.conf.set(setting, before)
+    rows = v.spark.read.parquet(folder)
+    columns = [c for c in rows.columns if c not in ("batch", "opened", "fingerprint")]
+    newest = rows.groupBy("fingerprint").agg(F.max_by(F.struct(*columns), "batch").alias("r"))
+    return newest.select("fingerprint", "r.*")
+
+
 @query("h3_violation_flush_windows")
 def _(v: Views) -> DataFrame:
     return violations.violation_flush_windows(_flushes(v), "30 days")[0]

@@ -457,3 +457,18 @@ class Views:
             "k", "environment_id", "subject", F.lit(1).alias("ordinal"), F.lit("json").alias("format"), body.alias("body"),
             F.concat(F.lit("s"), F.col("k").cast("string")).alias("schema_id"),
         )
+
+
+class ArrivingViews(Views):
+    """The same views with messages and violation reports as streams of the files of ``events``."""
+
+    STREAMS = ("events", "message_base", "messages", "violation_reports")
+
+    def _build(self, name: str) -> DataFrame:
+        if name not in self.STREAMS:
+            return Views(self.spark, self.dir, self.wire)._build(name)
+        if name != "events":
+            return super()._build(name)
+        # As a pattern the path may be a file or a folder of files.
+        schema = self._read(name).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.dir}/{name}.parque[t]")
