@@ -11,9 +11,10 @@ from ..wire import Wire
 
 # Keywords that validate but are not compared between versions.
 NOT_COMPARED = (
-    "$dynamicAnchor $dynamicRef allOf anyOf contains dependentRequired dependentSchemas else if maxContains "
-    "minContains not oneOf patternProperties prefixItems propertyNames then unevaluatedItems unevaluatedProperties"
-).split()
+    "$dynamicAnchor", "$dynamicRef", "allOf", "anyOf", "contains", "dependentRequired", "dependentSchemas", "else",
+    "if", "maxContains", "minContains", "not", "oneOf", "patternProperties", "prefixItems", "propertyNames", "then",
+    "unevaluatedItems", "unevaluatedProperties",
+)
 # The dialect that is supported, and regular-expression constructs not every engine has.
 DIALECTS = ("https://json-schema.org/draft/2020-12/schema", "https://json-schema.org/draft/2020-12/schema#")
 LOOKAROUND = ("(?=", "(?!", "(?<=", "(?<!")

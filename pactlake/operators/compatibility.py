@@ -96,10 +96,10 @@ def compatibility_check(proposals: DataFrame, versions: DataFrame, policies: Dat
     wanted = proposals.select(*SUBJECT, F.col("schema_id").alias("next_id")).distinct()
     judged = wanted.join(policies, SUBJECT)
     active = versions.where("status = 'Active'").select(*SUBJECT, "ordinal", F.col("schema_id").alias("prev_id"))
-    tips = active.groupBy(*SUBJECT).agg(F.max("ordinal").alias("tip"))
-    priors = judged.where("mode <> 'NONE'").join(active, SUBJECT).join(tips, SUBJECT).where(
-        is_transitive(F.col("mode")) | (F.col("ordinal") == F.col("tip"))
-    )
+    # One-step modes meet the tip only, so histories are joined for transitive subjects alone.
+    tips = active.groupBy(*SUBJECT).agg(F.max(F.struct("ordinal", "prev_id")).alias("tip")).select(*SUBJECT, "tip.ordinal", "tip.prev_id")
+    on = judged.where("mode <> 'NONE'")
+    priors = on.where(~is_transitive(F.col("mode"))).join(tips, SUBJECT).unionByName(on.where(is_transitive(F.col("mode"))).join(active, SUBJECT))
     compared = priors.join(differ(priors), PAIR, "left")
     divergences = applicable(F.col("findings"), F.col("mode"))
     changes = compared.select(

@@ -200,8 +200,8 @@ def subject_inventory(resolved: DataFrame) -> DataFrame:
         F.count("*").alias("exchanges"),
     )
     per_subject = materialize(per_subject, "subjects")
-    total = per_subject.agg(F.sum("messages").alias("total")).first()["total"]
-    return per_subject.select(
+    total = per_subject.agg(F.sum("messages").alias("total"))
+    return per_subject.join(F.broadcast(total)).select(
         "subject", "subject_outcome", "messages", "first_seen", "last_seen", "exchanges",
-        (F.col("messages") / F.lit(total)).alias("share"),
+        (F.col("messages") / F.col("total")).alias("share"),
     )

@@ -16,32 +16,23 @@ from .json_diff import B, FINDING, FWD, _one
 
 # Wire class of each scalar type.
 WIRE_CLASS = {
-    "varint": "int32 int64 uint32 uint64 sint32 sint64 bool",
-    "fixed64": "fixed64 sfixed64 double",
-    "fixed32": "fixed32 sfixed32 float",
-    "length": "string bytes",
-}
-# How a varint's number is written.
-VARINT_ENCODING = {
-    "twos-complement": "int32 int64",
-    "unsigned": "uint32 uint64",
-    "zigzag": "sint32 sint64",
-    "boolean": "bool",
+    "double": "fixed64", "float": "fixed32", "int32": "varint", "int64": "varint", "uint32": "varint", "uint64": "varint",
+    "sint32": "varint", "sint64": "varint", "fixed32": "fixed32", "fixed64": "fixed64", "sfixed32": "fixed32",
+    "sfixed64": "fixed64", "bool": "varint", "string": "length", "bytes": "length",
 }
 # How the JSON mapping shows each scalar type.
 JSON_KIND = {
-    "number": "int32 uint32 sint32 fixed32 sfixed32 float double",
-    "quoted number": "int64 uint64 sint64 fixed64 sfixed64",
-    "boolean": "bool",
-    "string": "string",
-    "base64": "bytes",
+    "double": "number", "float": "number", "int32": "number", "int64": "quoted number", "uint32": "number",
+    "uint64": "quoted number", "sint32": "number", "sint64": "quoted number", "fixed32": "number",
+    "fixed64": "quoted number", "sfixed32": "number", "sfixed64": "quoted number", "bool": "boolean",
+    "string": "string", "bytes": "base64",
 }
+# How a varint's number is written follows from its type's name.
+VARINT_ENCODING = {t: {"b": "truth", "u": "plain", "s": "zigzag"}.get(t[0], "signed") for t, wire in WIRE_CLASS.items() if wire == "varint"}
 
 
 def _lookup(table: dict[str, str], name: str) -> str:
-    arms = " ".join(
-        "when " + name + " in (" + ", ".join(f"'{t}'" for t in types.split()) + f") then '{value}'" for value, types in table.items()
-    )
+    arms = " ".join(f"when {name} = '{kind}' then '{value}'" for kind, value in table.items())
     return f"case {arms} end"
 
 

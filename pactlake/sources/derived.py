@@ -14,10 +14,9 @@ from ..session import materialize
 from ..wire import Wire
 
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
-
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 # Each text may name driver tables and earlier entries.
 SHARED: dict[str, str] = {
     # one row per message; h is the header case, sid the id its publisher would write
