@@ -673,9 +673,9 @@ oracle(
 oracle("f5_compatibility_audit", "select * from version_audit")
 oracle(
     "f6_diff_versions",
-    """select x.environment_id, x.subject, 1 as a, 3 as b, x.schema_id = y.schema_id as identical, f.path, f.kind, f.direction, f.surface, f.member
-       from reg x join reg y on y.environment_id = x.environment_id and y.subject = x.subject and x.ordinal = 1 and y.ordinal = 3
-       left join ({findings:select distinct x.schema_id as prev_id, y.schema_id as next_id from reg x join reg y on y.environment_id = x.environment_id and y.subject = x.subject and x.ordinal = 1 and y.ordinal = 3}) f
+    """select x.environment_id, x.subject, x.ordinal as a, y.ordinal as b, x.schema_id = y.schema_id as identical, f.path, f.kind, f.direction, f.surface, f.member
+       from reg x join reg y on y.environment_id = x.environment_id and y.subject = x.subject and y.ordinal = x.ordinal + 2
+       left join ({findings:select distinct x.schema_id as prev_id, y.schema_id as next_id from reg x join reg y on y.environment_id = x.environment_id and y.subject = x.subject and y.ordinal = x.ordinal + 2}) f
          on f.prev_id = x.schema_id and f.next_id = y.schema_id""",
 )
 oracle("f7_effective_policy", "select environment_id, subject, content_model, mode, surface from policies")
@@ -761,8 +761,7 @@ oracle(
 oracle(
     "g5_lineage_pairs",
     """select distinct p.environment_id, p.service as producer, p.subject, c.service as consumer from uses p join uses c
-         on c.environment_id = p.environment_id and c.subject = p.subject and p.role = 'produces' and c.role = 'consumes'
-       where p.subject in (select 'acme.part.P' || p_partkey from part where p_size = 7)""",
+         on c.environment_id = p.environment_id and c.subject = p.subject and p.role = 'produces' and c.role = 'consumes'""",
 )
 oracle(
     "g6_promotion_plan",
