@@ -10,7 +10,7 @@ import json
 import os
 import time
 
-from pactlake import local_session
+from pactlake import local_session, release
 from pactlake.plans.queries import REGISTERED
 
 HEADLINE = [
@@ -41,6 +41,7 @@ def main() -> None:
         REGISTERED[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     total = round(sum(times.values()), 3)
+    release(spark)
     print(json.dumps({"metric": "headline_queries_wall", "value": total, "unit": "sec", "queries": times, "sf": folder.rsplit("sf", 1)[-1]}))
 
 

@@ -257,13 +257,13 @@ def schema_nodes(schemas: DataFrame) -> DataFrame:
 # Assertion keywords the payload check does not evaluate.
 UNCHECKED = (
     "$dynamicAnchor", "$dynamicRef", "$ref", "allOf", "anyOf", "contains", "dependentRequired", "dependentSchemas",
-    "else", "if", "maxContains", "maxProperties", "minContains", "minProperties", "not", "oneOf", "patternProperties",
+    "else", "if", "maxContains", "minContains", "not", "oneOf", "patternProperties",
     "prefixItems", "propertyNames", "then", "unevaluatedItems", "unevaluatedProperties",
 )
 # Constructs that Java and other regular-expression engines do not read alike.
 _UNPORTABLE = r"\(\?|(?<!\\)\{(?!\d+(,\d*)?\})|\\[^dDsSwWbBnrtf.\-\\/\[\]{}()*+?^$|]|\{,|\[[^\]]*\[|&&|\[\]|\[\^\]"
 
-_BOUNDS = ("maximum", "exclusiveMaximum", "minimum", "exclusiveMinimum", "maxLength", "minLength", "maxItems", "minItems", "multipleOf")
+_BOUNDS = ("maximum", "exclusiveMaximum", "minimum", "exclusiveMinimum", "maxLength", "minLength", "maxItems", "minItems", "maxProperties", "minProperties", "multipleOf")
 
 
 def compile_rules(nodes: DataFrame) -> DataFrame:

@@ -45,6 +45,8 @@ _COMMON = [
 ]
 _BY_KIND = {
     "object": [
+        _finding("size(n.m) > r.maxProperties", "'TooManyProperties'"),
+        _finding("size(n.m) < r.minProperties", "'TooFewProperties'"),
         f"case when r.required is not null then {_at('array_except(r.required, map_keys(n.m))', 'PropertyRequired')} end",
         f"case when r.additional = 'false' then "
         f"{_at(f'array_except(map_keys(n.m), coalesce(r.props, {_NO_NAMES}))', 'NoAdditionalPropertiesAllowed')} end",

@@ -24,7 +24,7 @@ from ..operators.canonical import catalog_canonical_audit
 from ..operators.json_diff import diff_json_pairs, json_schema_diff
 from ..operators.nodes import schema_nodes
 from ..operators.proto_diff import protobuf_diff
-from ..session import configure, materialize, shared_dir
+from ..session import configure, materialize, run_dir
 from ..sources import contract_files, latest_export, read_messages, sample_queue
 from ..sources.derived import ArrivingViews, Views
 from ..streaming import ROCKSDB, stream_conformance, stream_violation_rollup
@@ -655,7 +655,7 @@ def _(v: Views) -> DataFrame:
 
 def _arrived(v: Views, writer, name: str) -> str:
     """Run a stream writer over all that is there, writing each micro-batch to a folder; the folder."""
-    folder = f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{run_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
     keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
     query = writer(keep).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
     query.awaitTermination()

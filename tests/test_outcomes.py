@@ -15,6 +15,17 @@ SCHEMAS = [
 VERSIONS = "environment_id string, subject string, ordinal int, schema_id string, semver string, status string"
 
 
+def test_a_run_cleans_up_after_itself(spark):
+    from pathlib import Path
+
+    from pactlake import materialize
+    from pactlake.session import run_dir
+
+    kept = materialize(spark.range(3), "some")
+    path = Path(run_dir(spark))
+    assert kept.count() == 3 and any(path.iterdir())
+
+
 def registry(spark):
     schemas = spark.createDataFrame(SCHEMAS, CATALOG)
     rows = [("e", s, o, i, "1.0.0", "Active") for s, ids in (("avro", ["a1", "a2"]), ("json", ["j1", "j1"]), ("torn", ["j1", "bad"]), ("gone", ["j1", "nowhere"])) for o, i in enumerate(ids, 1)]
@@ -63,6 +74,14 @@ def test_numbers_of_any_size(spark):
     assert found == {(1, "NumberTooBig"), (2, "NumberTooBig"), (5, "IntegerExpected"), (6, "NumberTooSmall")}
 
 
+def test_numbers_of_properties(spark):
+    schemas = spark.createDataFrame([("p", "json", '{"maxProperties":2,"minProperties":1}')], CATALOG)
+    rows = [(1, "p", "{}"), (2, "p", '{"a":1}'), (3, "p", '{"a":1,"b":2,"c":3}'), (4, "p", "[1,2,3]")]
+    messages = spark.createDataFrame(rows, "message_id long, schema_id string, text string").withColumn("body", F.col("text").cast("binary")).drop("text")
+    found = {(r.message_id, r.kind) for r in validate_payloads(messages, schemas).collect()}
+    assert found == {(1, "TooFewProperties"), (3, "TooManyProperties")}
+
+
 def test_bounds_of_any_size_and_a_member_without_name(spark):
     schemas = spark.createDataFrame([("a", "json", '{"type":"object","maximum":1e25,"":{"x":1}}'), ("b", "json", '{"type":"object","maximum":1e24,"":2}')], CATALOG)
     pairs = spark.createDataFrame([("a", "b", "Open")], "prev_id string, next_id string, content_model string")
