@@ -257,12 +257,12 @@ def read_spec(path: str) -> dict:
 
 
 def encoder(path: str) -> WordBpe:
-    return process_cache(f"bpe:{path}", lambda: WordBpe(path))
+    return process_cache(f"bpe:{path}", lambda: WordBpe(path), "bpe")
 
 
 def words_of(path: str) -> dict[str, tuple[bytes, str]]:
     """word -> its ids as 32-bit integers, its labels joined by a space; remembered by the worker."""
-    return process_cache(f"words:{path}", lambda: Remembering(encoder(path).encode))
+    return process_cache(f"words:{path}", lambda: Remembering(encoder(path).encode), "bpe")
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -8,22 +8,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows in an Arrow batch at most: texts can be long, and a batch is held whole.
+BATCH_ROWS = 2000
 #: Bytes of text that a kernel works on at once; one longer text is taken alone.
 CHUNK = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def process_cache(name: str, make: Callable[[], object]) -> object:
-    """A value kept for the life of a Python worker, so that a reused worker doesn't build tables again."""
+def process_cache(name: str, make: Callable[[], object], group: str = "") -> object:
+    """A value kept for the life of a Python worker, so that a reused worker doesn't build tables again.
+
+    Values of one named group are kept at a time: a worker that goes on to another operator gives up what
+    it remembers for the last one.
+    """
     holder = sys.modules.setdefault("_pactlake_process_cache", types.ModuleType("_pactlake_process_cache"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    held = holder.__dict__.setdefault("held", {})
+    if group and holder.__dict__.get("group") != group:
+        for other in [k for k, (g, _) in held.items() if g]:
+            del held[other]
+        holder.group = group
+    if name not in held:
+        held[name] = (group, make())
+    return held[name][1]
 
 
 class TextChunk:
@@ -137,30 +148,40 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return spans_hash(words.hash, start, start + n), start, row[start]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches no larger than ``BATCH_ROWS`` rows; smaller ones stay."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, text: str, kernel: Callable[[TextChunk], dict[str, object]], results: dict[str, str]) -> DataFrame:
     """Every row with the columns that ``kernel`` computes from its whole text.
 
     The rows' own columns travel untouched; one with the name of a result is replaced by it.
     """
+    bound_batches(df.sparkSession)
     own = [c for c in df.columns if c.lower() not in {r.lower() for r in results}]
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{text}`").alias("text"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    place = [c.lower() for c in df.columns].index(text.lower())
     schema = T.StructType([packed.schema["row"], *T._parse_datatype_string(", ".join(f"`{k}` {v}" for k, v in results.items())).fields])
     names = list(results)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = batch.column(0), batch.column(1)
-            for at, chunk in chunks(texts):
+            rows = batch.column(0)
+            for at, chunk in chunks(rows.field(place)):
                 made = kernel(chunk)
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in (made[k] for k in names)]
                 yield pa.RecordBatch.from_arrays([rows.slice(at, chunk.rows), *arrays], ["row", *names])
 
     mapped = packed.mapInArrow(run, schema)
-    return mapped.select("row.*", *names) if own else mapped.select(*names)
+    return mapped.select(*[F.col(f"row.`{c}`") for c in own], *names)
 
 
 def explode_texts(df: DataFrame, keys: list[str], text: str, kernel: Callable[[TextChunk], tuple[np.ndarray, dict[str, object]]], results: dict[str, str]) -> DataFrame:
     """Rows that ``kernel`` makes from each text: it returns the row numbers in the chunk and the new columns; ``keys`` are repeated."""
+    bound_batches(df.sparkSession)
     packed = df.select(*keys, F.col(f"`{text}`").alias("_text_"))
     schema = T.StructType([*[packed.schema[k] for k in keys], *T._parse_datatype_string(", ".join(f"`{k}` {v}" for k, v in results.items())).fields])
     names = list(results)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ENTRIES, REMEMBERED, Splitter, read_spec
-from .kernels import chunks, process_cache
+from .kernels import bound_batches, chunks, process_cache
 
 #: Labels that end a sentence, in the tokenizer's own spelling without its word end.
 STOPS = frozenset({".", "!", "?", "...", "!!", "??", "。", "!\"", ".\"", "?\""})
@@ -178,11 +178,12 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     length are cut into as many pieces as needed; repeated rows are packed each; an empty table gives an
     empty table; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T._parse_datatype_string("start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = process_cache(f"library:{path}", lambda: LibraryIds(path))
+        library = process_cache(f"library:{path}", lambda: LibraryIds(path), "packing")
         packer = Packer(limit, block, sentence_penalty)
         sequence = TaskContext.get().partitionId() << 40
         out: list[tuple] = []

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ENTRIES
 from .kernels import WHITE, TextChunk, Words, grams, map_texts, process_cache
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+#: Words a worker remembers before it gives up the older half.
+REMEMBERED_WORDS = 200_000
 BLANK = " \t\n\x0b\x0c\r"
 RESULTS = {
     "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint",
@@ -72,7 +73,7 @@ class Fertility:
                 if len(w) <= 64:
                     known[w] = ids
             out.append(ids)
-        if len(known) > ENTRIES:
+        if len(known) > REMEMBERED_WORDS:
             self.old, self.known = known, {}
         return out
 
@@ -149,7 +150,7 @@ def judge_quality(docs: DataFrame, path: str, text: str = "text", lang: str = "l
 
     def kernel(chunk: TextChunk) -> dict[str, object]:
         words = Words(chunk)
-        cutter = process_cache(f"fertility:{path}", lambda: Fertility(path))
+        cutter = process_cache(f"fertility:{path}", lambda: Fertility(path), "quality")
         made = {**base_counts(chunk, words), **fertility_counts(chunk, words, cutter)}
         return {k: pa.array(v, pa.float64() if k == "entropy" else pa.int64()) for k, v in made.items()}
 

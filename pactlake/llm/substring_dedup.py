@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from pactlake import materialize
 
-from .kernels import TextChunk, Words, chunks, explode_texts, grams, mix, spans_hash
+from .kernels import TextChunk, Words, bound_batches, chunks, explode_texts, grams, mix, spans_hash
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -113,6 +113,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 12, text: str
     others; the rows' other columns are kept, and one named like a result is replaced; an empty table gives
     an empty table. Hashes have 64 bits; equal ones are taken as equal words.
     """
+    bound_batches(docs.sparkSession)
     results = {"n_words": "bigint", "n_removed": "bigint", "removed": "array<struct<start:int,length:int>>", "kept_text": "string"}
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(F.col(f"`{key}`"), body).alias("uid"), body.alias("text"))

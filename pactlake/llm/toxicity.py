@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pactlake import materialize
 
-from .kernels import BASE, TextChunk, Words, explode_texts, grams, map_texts, mix
+from .kernels import BASE, TextChunk, Words, explode_texts, grams, map_texts, mix, process_cache
 
 #: Words are runs of letters, digits and bytes beyond ASCII.
 BREAKS = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
         examples: list[tuple[int, np.ndarray]] = []
         for batch in batches:
             flat, ends = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
-            examples += [(y, flat[a:b].astype(np.int64)) for y, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True)]
+            examples += [(y, flat[a:b]) for y, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True)]
         repeated = (e for _ in range(settings.passes) for e in examples)
         weights, constant = fit(repeated, len(examples), settings)
         kept = np.flatnonzero(weights)
@@ -136,6 +136,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     constant, bits = model.constant, model.bits
 
     def kernel(chunk: TextChunk) -> dict[str, object]:
+        process_cache("none", dict, "toxicity")
         total = np.full(chunk.rows, constant)
         if light is not None:
             rows, features = features_of(chunk, bits)
