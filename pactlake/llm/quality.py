@@ -37,7 +37,7 @@ class Band(NamedTuple):
 
 #: By language; ``None`` for every other one. The vocabulary is mostly English, so others are cut finer.
 BANDS: dict[str | None, Band] = {
-    "en": Band(1.5, 6.5, 0.05, 0.68),
+    "en": Band(1.2, 6.5, 0.05, 0.68),
     "de": Band(1.2, 6.5, 0.05, 0.67),
     "fr": Band(1.2, 6.5, 0.05, 0.66),
     "es": Band(1.2, 6.5, 0.05, 0.66),
