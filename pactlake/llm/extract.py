@@ -15,27 +15,35 @@ MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 
 RAW = frozenset({"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "noframes", "xmp"})
-BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
-    "td tfoot th thead tr ul".split()
-)
+BLOCKS = frozenset({
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl",
+    "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header",
+    "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section",
+    "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset({
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+})
 #: Elements that never hold main text.
 OUTSIDE = frozenset({"nav", "header", "footer", "aside", "form", "menu", "head", "button", "select", "dialog", "fieldset", "label", "datalist", "audio", "video", "canvas", "map"})
 ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form", "toolbar", "tablist"})
 #: Words in a class or id that mark menus, notices, adverts, comments and the like.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion promotions "
-    "sidebar sidebars aside menu menus nav navbar navigation navigations breadcrumb breadcrumbs crumbs footer footers header headers "
-    "masthead topbar toolbar cookie cookies consent gdpr notice notices notification notifications alert alerts banner banners popup popups "
-    "modal modals overlay newsletter newsletters subscribe subscription signup login signin search comment comments commentlist disqus "
-    "reply replies respond discussion related recommended recommendations share sharing social pagination pager paging "
-    "widget widgets skip copyright colophon form forms paywall".split()
-)
+MARKS = frozenset({
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "advertorial", "sponsor", "sponsored",
+    "sponsors", "promo", "promos", "promotion", "promotions", "sidebar", "sidebars", "aside", "menu", "menus", "nav",
+    "navbar", "navigation", "navigations", "breadcrumb", "breadcrumbs", "crumbs", "footer", "footers", "header",
+    "headers", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
+    "notification", "notifications", "alert", "alerts", "banner", "banners", "popup", "popups", "modal", "modals",
+    "overlay", "newsletter", "newsletters", "subscribe", "subscription", "signup", "login", "signin", "search",
+    "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "related",
+    "recommended", "recommendations", "share", "sharing", "social", "pagination", "pager", "paging", "widget",
+    "widgets", "skip", "copyright", "colophon", "form", "forms", "paywall",
+})
 #: Beside one of these a mark describes a page's layout, as in "content-with-sidebar", and removes nothing.
-LAYOUT = frozenset("article main content body wrapper container layout has no with without page".split())
+LAYOUT = frozenset({
+    "article", "main", "content", "body", "wrapper", "container", "layout", "has", "no", "with", "without", "page",
+})
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SKIPS_CLOSED_BY = frozenset({"article", "main", "body", "html"})
 
