@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pactlake import materialize
 
 from .components import connected_components
+from .kernels import mix
 
 #: Rows of a bucket that one task holds; larger buckets are compared block by block.
 BLOCK = 1024
@@ -24,9 +25,9 @@ class Hashing(NamedTuple):
     A vector is put into its own bucket and into those of its ``probes`` next nearest cross-polytope corners.
     """
 
-    tables: int = 8
-    width: int = 2
-    probes: int = 2
+    tables: int = 10
+    width: int = 3
+    probes: int = 3
     seed: int = 17
 
 
@@ -87,9 +88,12 @@ def _join(codes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def _bucketed(vectors: DataFrame, hashing: Hashing) -> DataFrame:
-    """(label, size, table, bucket, node, embedding, buckets): a row for every bucket a vector lies in."""
-    schema = "label string, size int, node bigint, embedding array<double>, buckets array<bigint>"
+def _with_buckets(vectors: DataFrame, hashing: Hashing) -> DataFrame:
+    """The rows (label, size, node, rows, embedding) with unit vectors and ``buckets``, all that a vector lies in.
+
+    A bucket's number holds its table, the label and the length, so equal numbers mean the same bucket.
+    """
+    schema = "node bigint, rows bigint, unit array<double>, buckets array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,32 +102,84 @@ def _bucketed(vectors: DataFrame, hashing: Hashing) -> DataFrame:
                 part = batch.filter(pa.array(sizes == d))
                 flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
-                codes = corners(unit, hashing)
-                listed = codes.transpose(2, 0, 1).reshape(len(unit), -1)
+                codes = corners(unit, hashing).view(np.uint64)
+                label = part.column("label").to_numpy().view(np.uint64) + np.uint64(d)
+                table = np.arange(hashing.tables, dtype=np.uint64)[:, None, None]
+                listed = mix(mix(codes * np.uint64(64) + table) ^ mix(label)[None, None, :]).view(np.int64).transpose(2, 0, 1).reshape(len(unit), -1)
                 ends = pa.array(np.arange(len(unit) + 1) * listed.shape[1], pa.int32())
-                rows = pa.array(np.arange(len(unit) + 1) * d, pa.int32())
+                each = pa.array(np.arange(len(unit) + 1) * d, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("label"), part.column("size"), part.column("node"), pa.ListArray.from_arrays(rows, pa.array(unit.ravel())), pa.ListArray.from_arrays(ends, pa.array(listed.ravel()))],
-                    ["label", "size", "node", "embedding", "buckets"],
+                    [part.column("node"), part.column("rows"), pa.ListArray.from_arrays(each, pa.array(unit.ravel())), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(listed).ravel()))],
+                    ["node", "rows", "unit", "buckets"],
                 )
 
-    return vectors.mapInArrow(run, schema)
+    return vectors.select("label", "size", "node", "rows", "embedding").mapInArrow(run, schema)
+
 
+def _least_shared(bucket: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of bucket lists: whether ``bucket`` is the least that both have."""
+    shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
+    return np.where(shared, a, np.iinfo(np.int64).max).min(axis=1) == bucket
 
-def _compare(bucket: int, left: np.ndarray, right: np.ndarray, table: int, per_table: int, threshold: float, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i of left, j of right) at ``threshold`` or above that no earlier table has put together too."""
+
+def _links(bucket: int, left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) at ``threshold`` or above that count in this bucket."""
     i, j = np.nonzero(left @ right.T >= threshold)
-    if not len(i):
-        return i, j
-    first = np.ones(len(i), bool)
-    for t in range(table):
-        mine, other = a[i, t * per_table : (t + 1) * per_table], b[j, t * per_table : (t + 1) * per_table]
-        first &= ~(mine[:, :, None] == other[:, None, :]).any(axis=(1, 2))
-    # Within the table, the least bucket that both lie in counts.
-    mine, other = a[i, table * per_table : (table + 1) * per_table], b[j, table * per_table : (table + 1) * per_table]
-    shared = np.where((mine[:, :, None] == other[:, None, :]).any(axis=2), mine, np.iinfo(np.int64).max).min(axis=1)
-    first &= shared == bucket
-    return i[first], j[first]
+    counts = np.zeros(len(i), bool)
+    for at in range(0, len(i), 4096):
+        counts[at : at + 4096] = _least_shared(bucket, a[i[at : at + 4096]], b[j[at : at + 4096]])
+    return i[counts], j[counts]
+
+
+def _compare(dealt: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(node, links, root) of each task of ``dealt`` (task, bucket, low, high, block, node, rows, unit, buckets)."""
+
+    def emit(t: pa.Table) -> pa.RecordBatch:
+        node, weight = t["node"].to_numpy(), t["rows"].to_numpy()
+        task, bucket = t["task"].to_numpy(), t["bucket"].to_numpy()
+        block, low, high = t["block"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy()
+        n = len(node)
+        unit_lists = t["unit"].combine_chunks()
+        lengths = np.diff(unit_lists.offsets.to_numpy())
+        flat, starts = unit_lists.flatten().to_numpy(), np.cumsum(lengths) - lengths
+        buckets = t["buckets"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        links, parent = np.zeros(n, np.int64), np.arange(n)
+        new = (task[1:] != task[:-1]) | (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        head = np.flatnonzero(np.append(True, new))
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), n], strict=True):
+            if b - a < 2:
+                continue
+            units = flat[starts[a] : starts[b - 1] + lengths[b - 1]].reshape(b - a, -1)
+            within = low[a] == high[a]
+            one = np.arange(a, b) if within else a + np.flatnonzero(block[a:b] == low[a])
+            two = one if within else a + np.flatnonzero(block[a:b] == high[a])
+            i, j = _links(int(bucket[a]), units[one - a], units[two - a], buckets[one], buckets[two], threshold)
+            i, j = one[i], two[j]
+            if within:
+                i, j = i[i < j], j[i < j]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            _unite(parent[a:b], node[a:b], i - a, j - a, a)
+        hit = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[parent[hit]])], ["node", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            task = held["task"].to_numpy()
+            whole = int(np.flatnonzero(task != task[-1])[-1]) + 1 if task[0] != task[-1] else 0  # the last may go on
+            if whole:
+                yield emit(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield emit(held)
+
+    ordered = dealt.repartition(parts, "task").sortWithinPartitions("task", "bucket", "low", "high")
+    return ordered.mapInArrow(run, "node bigint, links bigint, root bigint")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, hashing: Hashing = Hashing(), key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -132,7 +188,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, hashing: Hashing =
     Rows with equal, non-null labels whose cosine, in double precision, is at least ``threshold`` are linked.
     Equal vectors of a label are one node, which knows how many rows it stands for, so copies are never
     paired with each other. Nodes are put into buckets; in each bucket they are compared, block by block,
-    and a pair counts in the first bucket that both share, so each link is counted once. What leaves a task
+    and a pair counts in the least bucket that both share, so each link is counted once. What leaves a task
     is the number of links of each node and one edge to the least node it hangs together with, not the pairs.
     Buckets larger than a block are dealt to as many tasks as they have pairs of blocks.
 
@@ -151,46 +207,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, hashing: Hashing =
     marked = materialize(rows.select("key", "label", "embedding", sound.alias("sound"), code.alias("code")), "vectors")
     nodes = marked.where("sound").groupBy("code").agg(F.count("*").alias("rows"), F.min("key").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     nodes = materialize(nodes.withColumn("node", F.xxhash64("code")).withColumn("size", F.size("embedding")), "nodes")
-
-    per_table = 1 + hashing.probes
-    placed = _bucketed(nodes.select("label", "size", "node", "embedding"), hashing)
-    placed = placed.join(nodes.select("node", "rows"), "node")
-    placed = placed.select("*", F.posexplode("buckets").alias("slot", "bucket")).withColumn("table", F.floor(F.col("slot") / per_table).cast("int"))
-    placed = placed.dropDuplicates(["node", "table", "bucket"]).drop("slot")
-    group = ["label", "size", "table", "bucket"]
-    placed = materialize(placed, "placed")
-    crowds = materialize(placed.groupBy(*group).agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "crowds")
-    dealt = placed.join(crowds, group).withColumn("block", F.pmod(F.xxhash64("node", "table"), F.col("blocks")).cast("int"))
-    # Block b meets every block: the pair (low, high) is the task.
+    hashed = materialize(_with_buckets(nodes.withColumn("label", F.xxhash64("label")), hashing), "hashed")
+    placed = hashed.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    crowds = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    crowds = materialize(crowds.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "crowds")
+    dealt = placed.join(crowds, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    # Block b meets every block: a pair (low, high) is a task.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
-    dealt = dealt.select(*group, "node", "rows", "embedding", "buckets", "block", F.explode(meets).alias("m")).select("*", "m.low", "m.high").drop("m")
-
-    def compare(t: pa.Table) -> pa.Table:
-        table, bucket = t["table"][0].as_py(), t["bucket"][0].as_py()
-        low, high = t["low"][0].as_py(), t["high"][0].as_py()
-        block = t["block"].to_numpy()
-        node, weight = t["node"].to_numpy(), t["rows"].to_numpy()
-        unit = t["embedding"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        buckets = t["buckets"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        a = np.flatnonzero(block == low)
-        b = a if low == high else np.flatnonzero(block == high)
-        links = np.zeros(len(node), np.int64)
-        parent = np.arange(len(node))
-        for start in range(0, len(a), 512):
-            part = a[start : start + 512]
-            i, j = _compare(bucket, unit[part], unit[b], table, per_table, threshold, buckets[part], buckets[b])
-            i, j = part[i], b[j]
-            if low == high:
-                once = i < j
-                i, j = i[once], j[once]
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            _unite(parent, node, i, j)
-        hit = links > 0
-        return pa.table({"node": node[hit], "links": links[hit], "root": node[parent[hit]]})
-
-    found = dealt.groupBy(*group, "low", "high").applyInArrow(compare, "node bigint, links bigint, root bigint")
-    found = materialize(found, "found")
+    dealt = materialize(dealt.select("bucket", "node", "block", F.explode(meets).alias("m")).select("bucket", "node", "block", "m.low", "m.high"), "dealt")
+    dealt = dealt.join(hashed, "node").withColumn("task", F.xxhash64("bucket", "low", "high"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(_compare(dealt.select("task", "bucket", "low", "high", "block", "node", "rows", "unit", "buckets"), threshold, parts), "found")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     members = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     facts = nodes.join(linked, "node", "left").join(members, "node", "left")
@@ -203,19 +230,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, hashing: Hashing =
     return judged.select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _unite(parent: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Hang the ends of every pair on the one with the least node; in place."""
+def _unite(parent: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray, base: int) -> None:
+    """Hang the ends of every pair on the one with the least node; in place. ``parent`` counts from ``base``."""
+    up = parent - base
     while len(i):
-        a, b = parent[i], parent[j]
+        a, b = up[i], up[j]
         swap = node[a] < node[b]
         low, high = np.where(swap, a, b), np.where(swap, b, a)
         open_ = low != high
         i, j, low, high = i[open_], j[open_], low[open_], high[open_]
         # Of several that want the same root the least wins; the others come round again.
         order = np.argsort(-node[low], kind="stable")
-        parent[high[order]] = low[order]
+        up[high[order]] = low[order]
         while True:
-            above = parent[parent]
-            if (above == parent).all():
+            above = up[up]
+            if (above == up).all():
                 break
-            parent[:] = above
+            up = above
+    parent[:] = up + base
