@@ -22,7 +22,9 @@ class Forest(NamedTuple):
 
     Documents are neighbours where they share the first ``least_depth`` values of an order. A region of more
     than ``crowd`` neighbours is looked at deeper, twice as deep each time. Neighbours whose signatures agree
-    in a share of ``floor`` are candidates: at a similarity of 0.8 that is 4.5 standard deviations below.
+    in a share of ``floor`` are candidates: at a similarity of 0.8 that is 4.5 standard deviations below. Each
+    gives its ``nearest`` ones; one whose best agrees in less than ``sure`` may hang on any of several, and
+    gives ``unsure`` of them.
     """
 
     trees: int = 32
@@ -30,6 +32,8 @@ class Forest(NamedTuple):
     crowd: int = 512
     floor: float = 0.64
     nearest: int = 3
+    sure: float = 0.88
+    unsure: int = 24
 
     @property
     def values(self) -> int:
@@ -71,7 +75,7 @@ def sketches(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
     """(doc_id, uid, n_shingles, f1, f2, keys, sketch) of ``docs`` (doc_id, uid, text).
 
     ``f1`` and ``f2`` together tell sets apart; ``keys`` has for each tree a hash of its first values;
-    ``sketch`` keeps eight bits of each value.
+    ``sketch`` keeps the low eight bits of each value (the high ones of a minimum are mostly zero).
     """
     trees, depth, values = forest.trees, forest.least_depth, forest.values
 
@@ -90,7 +94,7 @@ def sketches(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
             flat = sign.reshape(-1).astype(np.uint64)
             begin = (np.arange(len(have))[:, None] * values + at[None, :]).ravel()
             keys[have] = mix(spans_hash(flat, begin, begin + depth).reshape(-1, trees) ^ np.arange(1, trees + 1, dtype=np.uint64)[None, :])
-            sketch[have] = (sign >> np.uint32(24)).astype(np.uint8)
+            sketch[have] = (sign & np.uint32(0xFF)).astype(np.uint8)
         ends = pa.array(np.arange(chunk.rows + 1) * trees, pa.int32())
         return np.arange(chunk.rows), {
             "n_shingles": n,
@@ -134,16 +138,17 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1)
 
 
-def _edges_of_region(node: np.ndarray, sketch: np.ndarray, least: int, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _edges_of_region(node: np.ndarray, sketch: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates of a region: each member's nearest ones, and a spanning forest of greatest agreement."""
     m = len(node)
     agree = np.zeros((m, m), np.int16)
     for k in range(sketch.shape[1]):
         agree += sketch[:, k][:, None] == sketch[:, k][None, :]
     np.fill_diagonal(agree, -1)
-    close = min(nearest, m - 1)
-    best = np.argpartition(-agree, close - 1, axis=1)[:, :close]
-    i, j = np.repeat(np.arange(m), close), best.ravel()
+    best = np.argsort(-agree, axis=1, kind="stable")[:, : min(forest.unsure, m - 1)]
+    many = agree.max(axis=1) < forest.sure * forest.values
+    wanted = many[:, None] | (np.arange(best.shape[1]) < forest.nearest)[None, :]
+    i, j = np.nonzero(wanted)[0], best[wanted]
     # Prim's algorithm over the dense matrix.
     reach, by, left = agree[0].copy(), np.zeros(m, np.int64), np.ones(m, bool)
     left[0] = False
@@ -157,14 +162,13 @@ def _edges_of_region(node: np.ndarray, sketch: np.ndarray, least: int, nearest:
         reach[better], by[better] = agree[x][better], x
     i, j = np.append(i, more_i), np.append(j, more_j)
     value = agree[i, j]
-    keep = value >= least
+    keep = value >= forest.floor * forest.values
     return i[keep], j[keep], value[keep]
 
 
 def candidates(regions: DataFrame, forest: Forest, parts: int) -> DataFrame:
     """(a, b, agree) with a < b: pairs of near neighbours, each once."""
     least = int(np.ceil(forest.floor * forest.values))
-    nearest = forest.nearest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_key, kept_node, kept_sketch = np.zeros(0, np.int64), np.zeros(0, np.int64), None
@@ -181,7 +185,7 @@ def candidates(regions: DataFrame, forest: Forest, parts: int) -> DataFrame:
                         near = agree >= least
                         out.append((node[at[near] + x], node[at[near] + y], agree[near]))
             for a, n in zip(head[size > 4].tolist(), size[size > 4].tolist(), strict=True):
-                i, j, agree = _edges_of_region(node[a : a + n], sketch[a : a + n], least, nearest)
+                i, j, agree = _edges_of_region(node[a : a + n], sketch[a : a + n], forest)
                 out.append((node[a + i], node[a + j], agree))
             a, b, agree = (np.concatenate([o[k] for o in out]) for k in range(3))
             low, high = np.minimum(a, b), np.maximum(a, b)
