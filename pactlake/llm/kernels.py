@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: Rows in an Arrow batch at most: texts can be long, and a batch is held whole.
 BATCH_ROWS = 2000
 #: Bytes of text that a kernel works on at once; one longer text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 

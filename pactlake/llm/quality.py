@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -53,16 +54,17 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
+        # word -> its pieces, as 32-bit integers
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def cut(self, words: list[bytes]) -> list[np.ndarray]:
+    def cut(self, words: list[bytes]) -> list[bytes]:
         known, old = self.known, self.old
         missing = [w for w in words if w not in known and w not in old]
-        fresh: dict[bytes, np.ndarray] = {}
+        fresh: dict[bytes, bytes] = {}
         if missing:
             texts = [w.decode("utf-8", "replace") for w in missing]
-            fresh = {w: np.array(ids, np.int32) for w, ids in zip(missing, self.model.encode(texts, num_threads=1), strict=True)}
+            fresh = {w: array("i", ids).tobytes() for w, ids in zip(missing, self.model.encode(texts, num_threads=1), strict=True)}
         out = []
         for w in words:
             ids = known.get(w)
@@ -115,8 +117,8 @@ def fertility_counts(chunk: TextChunk, words: Words, cutter: Fertility) -> dict[
     distinct, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
     raw = chunk.data.tobytes()
     cuts = cutter.cut([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])
-    length = np.array([len(c) for c in cuts], np.int64)
-    flat = np.concatenate(cuts) if cuts else np.zeros(0, np.int32)
+    length = np.array([len(c) for c in cuts], np.int64) // 4
+    flat = np.frombuffer(b"".join(cuts), np.int32)
     begin = np.cumsum(length) - length
     per_word = length[inverse]
     row = np.repeat(words.rows(), per_word)
