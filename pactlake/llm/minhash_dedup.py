@@ -243,7 +243,8 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, forest: Fo
     pairs = materialize(candidates(neighbourhoods(nodes, forest), forest, parts), "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     involved = materialize(nodes.select("node", F.col("uid").alias("u")).join(involved, "node"), "involved")
-    texts = rows.select("uid", "text").join(involved, F.col("uid") == F.col("u")).select("node", "text")
+    # What is involved grows with the corpus, so this join is never a broadcast.
+    texts = rows.select("uid", "text").join(involved.hint("merge"), F.col("uid") == F.col("u")).select("node", "text")
 
     def whole_sets(chunk: TextChunk) -> tuple[np.ndarray, dict[str, object]]:
         row, hashes = shingle_sets(chunk, size)
