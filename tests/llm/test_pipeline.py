@@ -30,9 +30,10 @@ def test_stages_in_order(spark):
 def test_odd_rows(spark, name, stage):
     text = "the quick brown fox jumps over a lazy dog and then some more of it"
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, text, "en", "s", 3), (3, text, "xx", "s", 3), (3, text, "xx", "s", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("mine"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("mine")).withColumn("score", F.lit(7)).withColumn("removed", F.lit("x"))
     out = stage(spark, docs, SF)
     assert out.count() <= 2 * len(rows)
     if name != "packing":
         assert out.columns == docs.columns
+        assert {r.kept for r in out.collect()} <= {"mine"} and {r.score for r in out.collect()} <= {7} and {r.removed for r in out.collect()} <= {"x"}
     assert stage(spark, docs.limit(0), SF).count() == 0
