@@ -10,16 +10,24 @@ from pactlake.llm import minhash_dedup, packing, quality, substring_dedup, toxic
 from pactlake.llm.queries import PIECES, WORD_BPE, table
 
 
+def _aside(docs: DataFrame, *results: str) -> tuple[DataFrame, list]:
+    """Documents with columns named like an operator's results set aside, and how to select all as they were."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower() in results}
+    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside their language's bands of tokeniser fertility and the base rules."""
-    return quality.judge_quality(docs, PIECES).where("kept").select(*docs.columns)
+    docs, own = _aside(docs, *quality.RESULTS, "base_failed", "kept")
+    return quality.judge_quality(docs, PIECES).where("kept").select(*own)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half by a model fitted on the labelled ones among them."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out(F.col("doc_id")))
     model = toxicity.train(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    docs, own = _aside(docs, "score")
+    return toxicity.score(docs, model).where("score < 0.5").select(*own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words or more that occur again. A text may come out empty."""
-    cut = substring_dedup.remove_repeats(docs)
-    own = {"text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
-    return cut.select(*[own.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    renamed, own = _aside(docs, "n_words", "n_removed", "removed", "kept_text")
+    new = {"text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
+    return substring_dedup.remove_repeats(renamed).select(*[new.get(c, o) for c, o in zip(docs.columns, own, strict=True)])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
