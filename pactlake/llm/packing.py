@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ENTRIES, REMEMBERED, Splitter, read_spec
-from .kernels import bound_batches, chunks, process_cache
+from .kernels import CHUNK, bound_batches, chunks, process_cache
 
 #: Labels that end a sentence, in the tokenizer's own spelling without its word end.
 STOPS = frozenset({".", "!", "?", "...", "!!", "??", "。", "!\"", ".\"", "?\""})
@@ -200,7 +200,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
 
         for batch in batches:
             key_type = batch.column(0).type
-            for at, chunk in chunks(batch.column(1)):
+            for at, chunk in chunks(batch.column(1), 2 * CHUNK):
                 mine = batch.column(0).slice(at, chunk.rows).to_pylist()
                 for one, ids in zip(mine, library.encode(chunk.texts.to_pylist()), strict=True):
                     stops = np.flatnonzero(library.stops[ids]) + 1
