@@ -107,10 +107,11 @@ def sketches(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
     return explode_texts(docs, ["doc_id", "uid"], "text", kernel, {"n_shingles": "bigint", "f1": "bigint", "f2": "bigint", "keys": "array<bigint>", "sketch": "binary"})
 
 
-def neighbourhoods(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """(key, node, sketch): documents of a region of at most ``crowd``, and all of a region that can't be parted.
+def neighbourhoods(nodes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame | None]:
+    """(key, node, sketch) of regions of at most ``crowd``, and of crowded ones that need a hub (None: there are none).
 
-    Depth adapts: only the regions that are still too large are looked at one step deeper.
+    Depth adapts: only the regions that are still too large are looked at one step deeper. One that is too
+    large at full depth is dealt out to regions of about half a crowd, which its hub holds together.
     """
     placed = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
 
@@ -123,21 +124,42 @@ def neighbourhoods(nodes: DataFrame, forest: Forest) -> DataFrame:
     while depth < forest.values:
         crowded = held.where(F.col("members") > forest.crowd)
         if crowded.isEmpty():
-            return done
+            return done, None
         depth *= 2
         doubled = F.concat("sketch", "sketch")
         deeper = F.xxhash64("tree", F.lit(depth), "key", F.substring(doubled, F.col("tree") * forest.least_depth + 1, F.lit(min(depth, forest.values))))
         rows = materialize(crowded.select("tree", deeper.alias("key"), "node", "sketch"), "deeper")
         held = materialize(rows.join(shared(rows), "key").select("tree", "key", "node", "sketch", "members"), "held")
         done = done.unionByName(held.where(F.col("members") <= forest.crowd).select("key", "node", "sketch"))
-    # Whole signatures that agree: neighbours in the order of their numbers are candidates enough.
-    return done.unionByName(held.where(F.col("members") > forest.crowd).select(F.xxhash64("key", F.floor(F.col("node") / (1 << 54))).alias("key"), "node", "sketch"))
+    crowded = held.where(F.col("members") > forest.crowd)
+    if crowded.isEmpty():
+        return done, None
+    dealt = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("members") / forest.crowd)))
+    return done.unionByName(crowded.select(dealt.alias("key"), "node", "sketch")), crowded.select("key", "node", "sketch")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1)
 
 
+def spokes(crowded: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b, agree) with a < b: each member of a crowded region with the region's hub, its least node."""
+    least = int(np.ceil(forest.floor * forest.values))
+    hubs = materialize(crowded.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("hub")), "hubs")
+    rows = crowded.join(hubs, "key").where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.sketch").alias("x"), F.col("sketch").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            agree = _agreement(x, y)
+            near = pa.array(agree >= least)
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in (batch.column(0), batch.column(1), pa.array(agree.astype(np.int32)))], ["a", "b", "agree"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint, agree int")
+
+
 def _edges_of_region(node: np.ndarray, sketch: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates of a region: each member's nearest ones, and a spanning forest of greatest agreement."""
     m = len(node)
@@ -166,8 +188,8 @@ def _edges_of_region(node: np.ndarray, sketch: np.ndarray, forest: Forest) -> tu
     return i[keep], j[keep], value[keep]
 
 
-def candidates(regions: DataFrame, forest: Forest, parts: int) -> DataFrame:
-    """(a, b, agree) with a < b: pairs of near neighbours, each once."""
+def candidates(regions: DataFrame, crowded: DataFrame | None, forest: Forest, parts: int) -> DataFrame:
+    """(a, b, agree) with a < b: pairs of near neighbours, and of crowded regions those with the hub, each once."""
     least = int(np.ceil(forest.floor * forest.values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +229,7 @@ def candidates(regions: DataFrame, forest: Forest, parts: int) -> DataFrame:
 
     ordered = regions.repartition(parts, "key").sortWithinPartitions("key", "node")
     pairs = ordered.mapInArrow(run, "a bigint, b bigint, agree int")
+    pairs = pairs if crowded is None else pairs.unionByName(spokes(crowded, forest))
     return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
@@ -240,7 +263,7 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, forest: Fo
     classes = sketched.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = materialize(classes.withColumn("node", F.xxhash64("f1", "f2", "n_shingles")), "nodes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialize(candidates(neighbourhoods(nodes, forest), forest, parts), "pairs")
+    pairs = materialize(candidates(*neighbourhoods(nodes, forest), forest, parts), "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     involved = materialize(nodes.select("node", F.col("uid").alias("u")).join(involved, "node"), "involved")
     # What is involved grows with the corpus, so this join is never a broadcast.

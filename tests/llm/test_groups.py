@@ -95,6 +95,26 @@ def test_near_documents_in_crowds(spark):
     assert got == brute.least_reachable(sets, links)
 
 
+def test_near_documents_that_cannot_be_parted(spark):
+    """More than a crowd of long texts with one word changed, and with the same sketch, are one group."""
+    draw = random.Random(3)
+    base = prose(draw, 3000, 100_000).split(" ")
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[draw.randrange(len(w))] = f"serial{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forest = minhash_dedup.Forest(crowd=16)
+    alike = {}
+    for r in minhash_dedup.sketches(docs.withColumn("uid", F.col("doc_id")), 5, forest).collect():
+        alike.setdefault(bytes(r.sketch), []).append(r.doc_id)
+    alike = max(alike.values(), key=len)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_documents(docs, forest=forest).collect()}
+    assert len(alike) > 2 * forest.crowd
+    assert len({got[k] for k in alike}) == 1
+
+
 def test_null_keys_and_one_of_each(spark):
     text = prose(random.Random(1), 80)
     docs = spark.createDataFrame([(None, text, 1), (None, text, 1), (3, text, 1), (3, text, 1), (4, text + " x", 2), (None, "alone here", 1), (5, None, 1), (6, "", 1)], "doc_id long, text string, component_id int")
