@@ -115,6 +115,20 @@ def test_near_documents_that_cannot_be_parted(spark):
     assert len({got[k] for k in alike}) == 1
 
 
+def test_near_documents_alone_at_the_next_depth(spark):
+    """Who shares nothing deeper with others of a crowded region is still compared."""
+    draw = random.Random(4)
+    base = prose(draw, 300, 100_000).split(" ")
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[draw.randrange(len(w))] = f"serial{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_documents(docs, size=2, forest=minhash_dedup.Forest(crowd=16)).collect()}
+    assert got == dict.fromkeys(range(120), 0)
+
+
 def test_null_keys_and_one_of_each(spark):
     text = prose(random.Random(1), 80)
     docs = spark.createDataFrame([(None, text, 1), (None, text, 1), (3, text, 1), (3, text, 1), (4, text + " x", 2), (None, "alone here", 1), (5, None, 1), (6, "", 1)], "doc_id long, text string, component_id int")
