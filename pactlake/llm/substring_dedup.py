@@ -118,7 +118,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 12, text: str
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(F.col(f"`{key}`"), body).alias("uid"), body.alias("text"))
     ranges = repeated_windows(keyed, window, seed)
-    ranges = materialize(ranges.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "ranges")
+    # Each occurrence of a repeated row has given its ranges; they are the same ones.
+    ranges = materialize(ranges.distinct().groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "ranges")
     own = [c for c in docs.columns if c.lower() not in results]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{key}`").alias("d"), F.xxhash64(F.col(f"`{key}`"), body).alias("u"), body.alias("text"))
     rows = rows.join(ranges, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("u") == F.col("uid")), "left").select("row", "text", "ranges")

@@ -61,6 +61,24 @@ def test_substrings(docs, corpus):
     assert sum(map(sum, (g for _, g in want))) > 1000
 
 
+def test_substrings_of_many_repeated_rows(spark, monkeypatch):
+    """What is known of a row that occurs often is listed once, not once per occurrence."""
+    listed = []
+
+    def kept(df, label, materialize=substring_dedup.materialize):
+        out = materialize(df, label)
+        if label == "ranges":
+            listed.append(out)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", kept)
+    text = prose(random.Random(5), 200, 5000)
+    docs = spark.createDataFrame([(1, text)] * 50 + [(2, "other words")], "doc_id long, text string").repartition(4)
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 200, 200)] * 50 + [(2, 2, 0)]
+    assert listed[0].agg(F.max(F.size("ranges"))).first()[0] <= 200
+
+
 def test_substrings_of_other_lengths(docs, corpus):
     got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, window=9, seed=4).collect()}
     for (k, _), (_, gone) in zip(corpus, brute.repeats_removed([t for _, t in corpus], 9), strict=True):
