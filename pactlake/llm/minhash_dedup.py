@@ -107,8 +107,9 @@ def sketches(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
     return explode_texts(docs, ["doc_id", "uid"], "text", kernel, {"n_shingles": "bigint", "f1": "bigint", "f2": "bigint", "keys": "array<bigint>", "sketch": "binary"})
 
 
-def neighbourhoods(nodes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame | None]:
-    """(key, node, sketch) of regions of at most ``crowd`` at any depth, and of all crowded ones (None: there are none).
+def neighbourhoods(nodes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(key, node, sketch) three times: of all regions of five or more at the least depth, of regions of at
+    most ``crowd`` at any depth, and of all crowded regions (None: there are none).
 
     Depth adapts: only the regions that are still too large are looked at one step deeper. One that is too
     large at full depth is dealt out to regions of about half a crowd. A crowded region at any depth has a
@@ -121,20 +122,20 @@ def neighbourhoods(nodes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFra
 
     held = materialize(placed.join(shared(placed), "key").join(nodes.select("node", "sketch"), "node").select("tree", "key", "node", "sketch", "members"), "held")
     region = ["key", "node", "sketch"]
-    done = held.where(F.col("members") <= forest.crowd).select(region)
+    whole, done = held.where("members > 4").select(region), held.where(F.col("members") <= forest.crowd).select(region)
     hubs, depth = None, forest.least_depth
     while not (crowded := held.where(F.col("members") > forest.crowd)).isEmpty():
         hubs = crowded.select(region) if hubs is None else hubs.unionByName(crowded.select(region))
         if depth >= forest.values:
             dealt = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("members") / forest.crowd)))
-            return done.unionByName(crowded.select(dealt.alias("key"), "node", "sketch")), hubs
+            return whole, done.unionByName(crowded.select(dealt.alias("key"), "node", "sketch")), hubs
         depth *= 2
         doubled = F.concat("sketch", "sketch")
         deeper = F.xxhash64("tree", F.lit(depth), "key", F.substring(doubled, F.col("tree") * forest.least_depth + 1, F.lit(min(depth, forest.values))))
         rows = materialize(crowded.select("tree", deeper.alias("key"), "node", "sketch"), "deeper")
         held = materialize(rows.join(shared(rows), "key").select("tree", "key", "node", "sketch", "members"), "held")
         done = done.unionByName(held.where(F.col("members") <= forest.crowd).select(region))
-    return done, hubs
+    return whole, done, hubs
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,6 +233,71 @@ def candidates(regions: DataFrame, crowded: DataFrame | None, forest: Forest, pa
     return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def between(whole: DataFrame, members: DataFrame, nodes: DataFrame, percent: int, forest: Forest, parts: int) -> DataFrame:
+    """(a, b, agree) with a < b: all pairs of a region that lie between different components, each once.
+
+    Left out are those whose signatures agree in less than ``floor`` or whose sets differ too much in size to
+    overlap by ``percent``. Regions of one component have none. In the others blocks meet blocks; a component
+    of more than half a block has blocks of its own, which need not meet each other.
+    """
+    least, block = int(np.ceil(forest.floor * forest.values)), max(2, forest.crowd)
+    placed = whole.select("key", "node").join(members, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = materialize(placed, "placed")
+    counts = materialize(placed.groupBy("key", "component").agg(F.count("*").alias("n")), "counts")
+    small = F.col("n") <= block // 2
+    open_ = counts.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(small, F.col("n")).otherwise(0)).alias("rest")).where("components > 1")
+    counts = materialize(counts.join(materialize(open_, "open"), "key"), "split")
+    if counts.isEmpty():
+        return counts.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0).alias("agree"))
+    own = F.xxhash64(F.lit(1), "component", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / block)))
+    shared = F.xxhash64(F.lit(0), F.pmod(F.xxhash64("component", F.lit(7)), F.ceil(2 * F.col("rest") / block)))
+    dealt = placed.join(counts, ["key", "component"]).select("key", "node", "component", F.when(small, shared).otherwise(own).alias("block"), F.when(~small, F.col("component")).alias("of"))
+    dealt = materialize(dealt, "dealt")
+    blocks = materialize(dealt.select("key", "block", "of").distinct(), "blocks")
+    other = blocks.select("key", F.col("block").alias("two"), F.col("of").alias("with"))
+    meets = blocks.withColumnRenamed("block", "one").join(other, "key").where("one <= two and (of is null or with is null or of <> with)")
+    meets = materialize(meets.select("key", "one", "two"), "meets")
+    sides = meets.select("key", F.col("one").alias("block"), F.xxhash64("key", "one", "two").alias("meet"), F.lit(0).alias("side"))
+    sides = sides.unionByName(meets.where("one <> two").select("key", F.col("two").alias("block"), F.xxhash64("key", "one", "two").alias("meet"), F.lit(1).alias("side")))
+    rows = dealt.join(sides, ["key", "block"]).select("meet", "side", "node", "component").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = rows.select("meet", "side", "node", "component", "n_shingles", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(side: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+            x = np.flatnonzero(side == 0)
+            y = np.flatnonzero(side == 1) if side.any() else x
+            may = component[x][:, None] != component[y][None, :]
+            may &= 100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :])
+            may = np.triu(may, 1) if y is x else may
+            i, j = np.nonzero(may)
+            if 8 * len(i) < may.size:
+                agree = np.concatenate([np.zeros(0, np.int64), *[_agreement(sketch[x[i[k : k + 65536]]], sketch[y[j[k : k + 65536]]]) for k in range(0, len(i), 65536)]])
+            else:
+                full = np.zeros(may.shape, np.int16)
+                for k in range(sketch.shape[1]):
+                    full += sketch[x, k][:, None] == sketch[y, k][None, :]
+                agree = full[i, j]
+            near = agree >= least
+            a, b = node[x[i[near]]], node[y[j[near]]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree[near].astype(np.int32))], ["a", "b", "agree"])
+
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(5)] + [np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)]
+            columns = columns if kept is None else [np.concatenate(c) for c in zip(kept, columns, strict=True)]
+            head = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
+            for a, b in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
+                yield emit(*[c[a:b] for c in columns[1:]])
+            kept = [c[head[-1] :] for c in columns]  # the last meeting may go on
+        if kept is not None:
+            yield emit(*kept[1:])
+
+    ordered = rows.repartition(parts, "meet").sortWithinPartitions("meet")
+    return ordered.mapInArrow(run, "a bigint, b bigint, agree int").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets overlap by ``percent`` or more."""
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -247,15 +313,17 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, forest: Fo
     Documents are linked where their sets of ``size``-word shingles (A-Z lower-cased) overlap by ``percent``
     of their union or more; links are confirmed on full sets of 64-bit hashes. Equal sets are one node. A
     region of the forest gives candidates that keep its connections (nearest neighbours and a spanning
-    forest), not all its pairs. They are confirmed in two rounds: first each node's best, then all that still
-    lie between different components, so what is linked already costs nothing more.
+    forest), not all its pairs, and a crowded one its members with its hub. They are confirmed in two rounds, each
+    node's best first. They only order the work: then all pairs of a region of the least depth, however large,
+    whose signatures agree in ``floor`` and that still lie between different components are confirmed in rounds,
+    the likeliest first, until none is left. What is linked already costs nothing more; a large family just
+    below the threshold costs all its pairs.
 
     Defined cases: documents without words (or null) have no shingles and link with nothing; fewer words than
     a shingle are one shingle; repeated rows are copies; a null key is linked like others but names no
     component (a component of null keys only has null) and is kept only if its component has no key at all;
     other columns are ignored; an empty table gives an empty table. Nothing is capped; the chance to miss a
-    pair at exactly 0.8 is about 5e-8 in open regions; by itself each parting raises it, to 0.28 % at depth 8,
-    40 % at 16 and 97 % at 32, so every crowded region also compares all its members with its hub.
+    pair at exactly 0.8 is about 5e-8 for want of a common region and 8.7e-6 for signatures below ``floor``.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(F.col(f"`{key}`"), body).alias("uid"), body.alias("text"))
@@ -263,29 +331,53 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, forest: Fo
     classes = sketched.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = materialize(classes.withColumn("node", F.xxhash64("f1", "f2", "n_shingles")), "nodes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialize(candidates(*neighbourhoods(nodes, forest), forest, parts), "pairs")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    involved = materialize(nodes.select("node", F.col("uid").alias("u")).join(involved, "node"), "involved")
-    # What is involved grows with the corpus, so this join is never a broadcast.
-    texts = rows.select("uid", "text").join(involved.hint("merge"), F.col("uid") == F.col("u")).select("node", "text")
+    whole, regions, crowded = neighbourhoods(nodes, forest)
+    pairs = materialize(candidates(regions, crowded, forest, parts), "pairs")
 
     def whole_sets(chunk: TextChunk) -> tuple[np.ndarray, dict[str, object]]:
         row, hashes = shingle_sets(chunk, size)
         ends = np.searchsorted(row, np.arange(chunk.rows + 1))
         return np.arange(chunk.rows), {"shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))}
 
-    sets = explode_texts(texts, ["node"], "text", whole_sets, {"shingles": "array<bigint>"}).dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    def sets_of(involved: DataFrame) -> DataFrame:
+        involved = materialize(nodes.select("node", F.col("uid").alias("u")).join(involved, "node"), "involved")
+        # What is involved grows with the corpus, so this join is never a broadcast.
+        texts = rows.select("uid", "text").join(involved.hint("merge"), F.col("uid") == F.col("u")).select("node", "text")
+        sets = explode_texts(texts, ["node"], "text", whole_sets, {"shingles": "array<bigint>"}).dropDuplicates(["node"])
+        return materialize(sets, "sets")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def apart(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        held = pairs.join(members.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(members.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        return held.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
+
+    sets = sets_of(ends(pairs))
     either = pairs.select(F.col("a").alias("node"), "agree", F.col("b").alias("other")).union(pairs.select("b", "agree", "a"))
     best = either.groupBy("node").agg(F.max(F.struct("agree", "other")).alias("o"))
     best = materialize(best.select(F.least("node", "o.other").alias("a"), F.greatest("node", "o.other").alias("b")).distinct(), "best")
     links = materialize(confirmed(best, sets, percent), "links")
     members = materialize(connected_components(links), "members")
-    apart = pairs.join(members.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(members.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    rest = materialize(apart.join(best, ["a", "b"], "left_anti"), "apart")
+    rest = materialize(apart(pairs, members).join(best, ["a", "b"], "left_anti"), "apart")
     links = materialize(links.unionByName(confirmed(rest, sets, percent)), "links")
     members = materialize(connected_components(links), "members")
+    # The pairs above only order the work: all others between different components follow, the likeliest first.
+    left = materialize(between(whole, members, nodes, percent, forest, parts).join(pairs, ["a", "b"], "left_anti"), "left")
+    if not left.isEmpty():
+        fresh = materialize(ends(left).join(ends(pairs), "node", "left_anti"), "fresh")
+        sets = sets if fresh.isEmpty() else sets.unionByName(sets_of(fresh))
+        high = forest.values + 1
+        for share in (percent / 100 + 0.04, percent / 100, percent / 100 - 0.05, forest.floor):
+            low = min(high, max(forest.floor, share) * forest.values)
+            tried = materialize(apart(left.where((F.col("agree") >= low) & (F.col("agree") < high)), members), "apart")
+            high = low
+            if tried.isEmpty():
+                continue
+            more = materialize(confirmed(tried, sets, percent), "more")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                members = materialize(connected_components(links), "members")
     named = nodes.select("f1", "f2", "n_shingles", "node", "least").join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.select("f1", "f2", "n_shingles", "component", "least"), "named")
     names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")

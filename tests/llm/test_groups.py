@@ -147,6 +147,20 @@ def test_near_documents_alone_at_the_next_depth(spark):
     assert got == dict.fromkeys(range(120), 0)
 
 
+@pytest.mark.parametrize("crowd", [512, 32])
+def test_near_documents_around_the_threshold(spark, crowd):
+    """A family whose similarities scatter around the threshold: every link counts, whatever ranks before it."""
+    draw = random.Random(6)
+    rows = [(i, " ".join(f"b{k}" if draw.random() < 0.9355 else f"x{i}-{k}" for k in range(400))) for i in range(200)]
+    sets = {k: brute.shingles(t, 1) for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_documents(docs, size=1, forest=minhash_dedup.Forest(crowd=crowd)).collect()}
+    want = brute.least_reachable(sets, links)
+    assert 20 < len(set(want.values())) < 190
+    assert got == want
+
+
 def test_null_keys_and_one_of_each(spark):
     text = prose(random.Random(1), 80)
     docs = spark.createDataFrame([(None, text, 1), (None, text, 1), (3, text, 1), (3, text, 1), (4, text + " x", 2), (None, "alone here", 1), (5, None, 1), (6, "", 1)], "doc_id long, text string, component_id int")
