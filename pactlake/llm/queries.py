@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, extract, minhash_dedup, packing, quality, substring_dedup, toxicity, url_filters, vector_dedup
+from . import bpe, chat_format, extract, feast_whitening, hard_negatives, minhash_dedup, packing, quality, secret_ownership, substring_dedup, toxicity, url_filters, vector_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -98,6 +98,35 @@ def op10_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The source is the owner; its documents of one language are a repository of that owner."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("source").alias("owner"), F.struct("source", "lang").alias("repository"))
+    made = secret_ownership.scan_secrets(docs)
+    text = secret_ownership.spans_text
+    return made.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(text("base"), 256).alias("base_sha256"),
+        text("spans").alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"] & ~s["shared"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: s["shared"])).cast("long").alias("n_shared"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", moved.alias("label"), hard_negatives.quantised("embedding", 256).alias("vector"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", feast_whitening.quantised("embedding", 64, 1_000_000).alias("vector"))
+    return feast_whitening.whiten(rows)
+
+
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -109,4 +138,7 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
