@@ -1,12 +1,9 @@
-"""Column functions. All are built from native expressions except the text kernel at the end of the
-module, which callers apply to distinct values only."""
+"""Column functions, all built from native expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..wire import Wire
 
@@ -166,13 +163,17 @@ def json_pointer_escape(c: Column | str) -> Column:
     return F.replace(F.replace(_col(c), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
+def merge_hashes(pattern: Column | str) -> Column:
+    """Runs of ``#`` mean the same as one."""
+    return F.regexp_replace(_col(pattern), r"(?<![^.])#(\.#)+(?![^.])", "#")
+
+
 def topic_regex(pattern: Column | str) -> Column:
     """Topic pattern to a regular expression over ``'.' || routing_key``.
 
-    Runs of ``#`` mean the same as one, and are merged so that matching cannot backtrack through
-    several adjacent stars.
+    Runs of ``#`` are merged so that matching cannot backtrack through several adjacent stars.
     """
-    merged = F.regexp_replace(_col(pattern), r"(?<![^.])#(\.#)+(?![^.])", "#")
+    merged = merge_hashes(pattern)
     word = lambda w: (
         F.when(w == "#", F.lit(r"(?:\.[^.]*)*"))
         .when(w == "*", F.lit(r"\.[^.]*"))
@@ -188,8 +189,9 @@ def has_wildcard_word(key: Column | str) -> Column:
 
 
 def topic_matches(pattern: Column | str, key: Column | str) -> Column:
-    """Does a topic pattern match a routing key? Keys holding a word ``*`` or ``#`` are matched as
-    patterns in their own right, which only :func:`patterns_overlap` can decide."""
+    """Does a topic pattern match a routing key? For one pattern or a few; many are walked as a trie
+    (``operators.topics``), which also matches keys that hold a word ``*`` or ``#``, as patterns in their own
+    right."""
     dotted = F.concat(F.lit("."), _col(key))
     return F.call_function("rlike", dotted, topic_regex(pattern))
 
@@ -232,40 +234,3 @@ def violation_fingerprint(
     """Identity of a violation; side is written as its number, a missing subject as ``-``."""
     number = F.when(side == "PUBLISH", F.lit("1")).when(side == "CONSUME", F.lit("2"))
     return F.concat_ws("|", environment, number, route, F.coalesce(subject, F.lit("-")), code)
-
-
-# --- text kernel, for distinct values only -------------------------------------------------
-
-
-def _overlap(left: str, right: str) -> bool:
-    """Is there a routing key that both patterns match?
-
-    ``reach`` holds the positions in ``b`` that some common key prefix can have consumed after the
-    words of ``a`` seen so far.
-    """
-    a, b = left.split("."), right.split(".")
-    skip = lambda cells: [
-        cells[j] or any(cells[i] and all(w == "#" for w in b[i:j]) for i in range(j))
-        for j in range(len(b) + 1)
-    ]
-    reach = skip([True] + [False] * len(b))
-    for word in a:
-        if word == "#":
-            first = reach.index(True) if True in reach else len(reach)
-            reach = [j >= first for j in range(len(reach))]
-            continue
-        step = [False] * len(reach)
-        for j, other in enumerate(b):
-            if not reach[j]:
-                continue
-            if other == "#":
-                step[j] = True
-            elif word == "*" or other == "*" or word == other:
-                step[j + 1] = True
-        reach = skip(step)
-    return reach[-1]
-
-
-@F.pandas_udf(T.BooleanType())
-def patterns_overlap(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([_overlap(a, b) for a, b in zip(left, right)], dtype=bool)

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import (
-    has_wildcard_word,
-    parse_selector,
-    patterns_overlap,
-    strip,
-    topic_matches,
-)
+from ..functions.columns import has_wildcard_word, parse_selector, strip
+from ..session import materialize
+from .topics import end_state, meetings, trie_of, walk
 
 ROUTE = ["broker_id", "virtual_host", "exchange", "routing_key"]
 QUEUE = ["broker_id", "virtual_host", "queue"]
@@ -46,30 +42,23 @@ def _refs(subjects: Column) -> Column:
 def topic_match_join(routes: DataFrame, bindings: DataFrame) -> DataFrame:
     """Distinct routes x publish bindings that cover them.
 
-    The pattern test is not an equality, so the join is keyed by what is: host, exchange and the
-    first word. A route looks for its own first word and for patterns that start with a wildcard.
+    The patterns of a host and exchange are a trie, which the distinct keys walk word by word; a key that
+    holds a word ``*`` or ``#`` is a pattern itself, and the tries of both are walked together.
     """
-    distinct = routes_of(routes).select(*ROUTE).distinct()
-    b = bindings.withColumn("bound_broker", F.col("broker_id")).drop("broker_id")
-    head = F.substring_index("pattern", ".", 1)
-    b = b.withColumn("head", F.when(head.isin("*", "#"), F.lit("*")).otherwise(head))
-    scope = F.col("bound_broker").isNull() | (F.col("bound_broker") == F.col("broker_id"))
-
+    distinct = materialize(routes_of(routes).select(*ROUTE).distinct(), "routes")
+    b = bindings.withColumn("bound_broker", F.col("broker_id")).drop("broker_id").withColumn("state", end_state("pattern"))
+    place = ["virtual_host", "exchange"]
+    trie = trie_of(bindings, place)
     wild = has_wildcard_word("routing_key")
-    first = F.substring_index("routing_key", ".", 1)
-    heads = F.explode(F.array_distinct(F.array(first, F.lit("*")))).alias("head")
-    plain = (
-        distinct.where(~wild).select("*", heads)
-        .join(b, ["virtual_host", "exchange", "head"])
-        .where(scope & topic_matches("pattern", "routing_key"))
-    )
-    # A key word that is itself a wildcard matches like a pattern.
-    odd = (
-        distinct.where(wild).join(b, ["virtual_host", "exchange"])
-        .where(scope).where(patterns_overlap("pattern", "routing_key"))
-    )
-    columns = [*ROUTE, *[c for c in b.columns if c not in (*ROUTE, "head")]]
-    return plain.select(*columns).unionByName(odd.select(*columns))
+    covered = walk(distinct.where(~wild), trie)
+    odd = distinct.where(wild).select(*place, "routing_key").distinct()
+    if not odd.isEmpty():
+        met = meetings(trie_of(odd, place, "routing_key"), trie)
+        ends = odd.withColumn("a", end_state("routing_key"))
+        covered = covered.unionByName(ends.join(met, [*place, "a"]).select(*place, "routing_key", F.col("b").alias("state")))
+    scope = F.col("bound_broker").isNull() | (F.col("bound_broker") == F.col("broker_id"))
+    found = materialize(covered, "covered").join(b, [*place, "state"]).join(distinct, [*place, "routing_key"]).where(scope)
+    return found.select(*ROUTE, *[c for c in b.columns if c not in (*ROUTE, "state")])
 
 
 def _combine(matched: DataFrame, contracts: DataFrame, key: list[str], rank: Column) -> DataFrame:
@@ -116,26 +105,44 @@ def route_ambiguity(routes: DataFrame, resolved: DataFrame, key: list[str] = ROU
     )
 
 
-def _first_clash(bindings: DataFrame, place: list[str], rule: Column, test: Column | None) -> DataFrame:
-    """For each binding the earliest binding before it in its contract that it contradicts.
+def _first_clash(bindings: DataFrame, place: list[str]) -> DataFrame:
+    """For each of ``bindings`` (contract, place, seq, broker_id, precedence, subjects, pattern) the earliest
+    binding before it in its contract that it contradicts: one row per binding at most.
 
-    Bindings that differ only in ``seq`` form one class and cannot contradict each other, so classes
-    are paired, not bindings, and each class keeps only its earliest clash: the result has at most
-    one row per binding. ``rule`` is the cheap part of the test; ``test`` runs on what is left.
+    Two contradict if their patterns have a common key, their brokers may be the same, their precedences are
+    equal or one has none, and their subjects differ. Where a pattern ends, only two bindings matter of each
+    broker and precedence: the earliest, and the earliest with other subjects. Whoever meets that end takes the
+    one that differs, so bindings are never paired.
     """
-    traits = [c for c in bindings.columns if c not in ("contract", "seq", *place)]
-    classes = bindings.groupBy("contract", *place, *traits).agg(F.min("seq").alias("seq"))
-    left = classes.select("contract", *place, *[F.col(c).alias(f"{c}_a") for c in (*traits, "seq")])
-    right = classes.select("contract", *place, *traits)
-    pairs = left.join(right, ["contract", *place]).where(rule)
-    tested = [f"{c}_a" for c in traits if c == "pattern"]
-    first = pairs.groupBy("contract", *place, *traits, *tested).agg(F.min("seq_a").alias("clash"))
-    if test is not None:
-        first = first.where(test)
-        first = first.groupBy("contract", *place, *traits).agg(F.min("clash").alias("clash"))
-    b, f = bindings.alias("b"), first.alias("f")
+    scope = ["contract", *place]
+    traits = ["broker_id", "precedence", "subjects"]
+    ended = bindings.where("subjects is not null").withColumn("state", end_state("pattern"))
+    classes = materialize(ended.groupBy(*scope, "state", *traits).agg(F.min("seq").alias("seq")), "classes")
+
+    def exact(c: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("none"))
+
+    def wanted(c: str) -> Column:
+        return F.when(F.col(c).isNull(), F.array(F.lit("any"))).otherwise(F.array(exact(c), F.lit("none")))
+
+    def keyed(df: DataFrame, broker: Column, precedence: Column) -> DataFrame:
+        return df.withColumn("broker", F.explode(broker)).withColumn("level", F.explode(precedence))
+
+    told = keyed(classes, F.array(exact("broker_id"), F.lit("any")), F.array(exact("precedence"), F.lit("any")))
+    slot = [*scope, "state", "broker", "level"]
+    told = told.groupBy(*slot, "subjects").agg(F.min("seq").alias("seq"))
+    order = Window.partitionBy(*slot).orderBy("seq")
+    two = told.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+    ends = materialize(two.select(*scope, F.col("state").alias("end"), "broker", "level", F.col("subjects").alias("theirs"), F.col("seq").alias("clash")), "ends")
+
+    met = meetings(trie_of(classes.withColumn("pattern", F.substring("state", 2, 1 << 20)), scope))
+    met = met.select(*scope, F.col("a").alias("state"), F.col("b").alias("end")).unionByName(met.where("a <> b").select(*scope, F.col("b").alias("state"), F.col("a").alias("end")))
+    met = met.join(ends.select(*scope, "end").distinct(), [*scope, "end"], "left_semi")
+    asked = keyed(classes.drop("seq").join(met, [*scope, "state"]), wanted("broker_id"), wanted("precedence"))
+    first = asked.join(ends, [*scope, "end", "broker", "level"]).where("theirs <> subjects").groupBy(*scope, "state", *traits).agg(F.min("clash").alias("clash"))
+    b, f = ended.alias("b"), materialize(first, "clashes").alias("f")
     same = F.lit(True)
-    for c in ("contract", *place, *traits):
+    for c in (*scope, "state", *traits):
         same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"f.{c}"))
     return b.join(f, same & (F.col("f.clash") < F.col("b.seq"))).select("b.contract", *[f"b.{c}" for c in place], "b.seq", "f.clash")
 
@@ -144,20 +151,12 @@ def binding_conflicts(publish: DataFrame, consume: DataFrame) -> DataFrame:
     """Bindings that give other subjects to messages an earlier binding of the contract covers:
     (contract, side, virtual_host, address, seq, clashes_with)."""
     subjects = F.array_sort(_refs(F.col("subjects"))).alias("subjects")
-    scope = F.col("broker_id").isNull() | F.col("broker_id_a").isNull() | (F.col("broker_id") == F.col("broker_id_a"))
-    differ = F.col("subjects") != F.col("subjects_a")
-    apart = F.coalesce(F.col("precedence") != F.col("precedence_a"), F.lit(False))
-    head, head_a = F.substring_index("pattern", ".", 1), F.substring_index("pattern_a", ".", 1)
-    heads_meet = (head == head_a) | head.isin("*", "#") | head_a.isin("*", "#")
-
     pub = publish.select("contract", "seq", "virtual_host", "exchange", "broker_id", "pattern", "precedence", subjects)
-    con = consume.select("contract", "seq", "virtual_host", "queue", "broker_id", subjects)
-    by_pattern = _first_clash(
-        pub, ["virtual_host", "exchange"], scope & differ & ~apart & heads_meet, patterns_overlap("pattern", "pattern_a")
-    )
-    by_queue = _first_clash(con, ["virtual_host", "queue"], scope & differ, None)
+    # A queue is one address: all its bindings end alike.
+    con = consume.select("contract", "seq", "virtual_host", "queue", "broker_id", F.lit("").alias("pattern"), F.lit(None).cast("int").alias("precedence"), subjects)
     shape = lambda df, side, address: df.select(
         "contract", F.lit(side).alias("side"), "virtual_host", F.col(address).alias("address"), "seq",
         F.col("clash").alias("clashes_with"),
     )
+    by_pattern, by_queue = _first_clash(pub, ["virtual_host", "exchange"]), _first_clash(con, ["virtual_host", "queue"])
     return shape(by_pattern, "publish", "exchange").unionByName(shape(by_queue, "consume", "queue"))
