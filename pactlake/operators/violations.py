@@ -95,8 +95,8 @@ def enforcement_counters(decisions: DataFrame) -> DataFrame:
 
 
 def recent_decisions(decisions: DataFrame, limit: int = 32) -> DataFrame:
-    """The latest ``limit`` decisions that were not simply valid."""
-    return decisions.where("outcome <> 'Valid'").orderBy(F.desc("ts"), F.desc("message_id")).limit(limit)
+    """The latest ``limit`` decisions of either side that were not simply valid."""
+    return decisions.where("outcome <> 'Valid'").orderBy(F.desc("ts"), F.desc("message_id"), "side").limit(limit)
 
 
 def violation_flush_windows(decisions: DataFrame, every: str, reporter: str = "reported_by", keys: int | None = None) -> tuple[DataFrame, DataFrame]:

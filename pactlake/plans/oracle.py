@@ -799,8 +799,10 @@ oracle(
 )
 oracle(
     "g10_recent_decisions",
-    """select message_id, case when outcome = 'Observed' and mode = 3 then 'Quarantined' else outcome end as outcome, code
-       from consume_result where outcome <> 'Valid' order by ts desc, message_id desc limit 32""",
+    """select side, message_id, outcome, code from (
+         select 'PUBLISH' as side, ts, message_id, case when outcome = 'Observed' and mode = 3 then 'Blocked' else outcome end as outcome, code from publish_result
+         union all select 'CONSUME', ts, message_id, case when outcome = 'Observed' and mode = 3 then 'Quarantined' else outcome end, code from consume_result)
+       where outcome <> 'Valid' order by ts desc, message_id desc, side limit 32""",
 )
 oracle(
     "g11_audit_query",

@@ -572,7 +572,7 @@ def _(v: Views) -> DataFrame:
 
 @query("g10_recent_decisions")
 def _(v: Views) -> DataFrame:
-    return violations.recent_decisions(conformance.decisions_of(_consumed(v), "consume")).select("message_id", "outcome", "code")
+    return violations.recent_decisions(_decisions(v)).select("side", "message_id", "outcome", "code")
 
 
 @query("g11_audit_query")

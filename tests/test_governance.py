@@ -41,9 +41,12 @@ def test_rollup(spark):
 def test_flush_keeps_first_keys_and_counts_the_rest(spark):
     rows = [(at(0) + dt.timedelta(seconds=i), i, "PUBLISH", "r", "s", "c", f"d{i % 300}", "rep") for i in range(900)]
     df = spark.createDataFrame(rows, "ts timestamp, message_id long, side string, route string, subject string, code string, detail string, reported_by string")
-    kept, dropped = violations.violation_flush_windows(df, "1 hour")
+    kept, dropped = violations.violation_flush_windows(df, "1 hour", keys=256)
     assert {r.detail for r in kept.collect()} == {f"d{i}" for i in range(256)}
     assert (dropped.first().keys, dropped.first().dropped) == (300, 44 * 3)
+    kept, dropped = violations.violation_flush_windows(df, "1 hour")
+    assert sorted((r.detail, r.n) for r in kept.collect()) == sorted((f"d{i}", 3) for i in range(300))
+    assert (dropped.first().keys, dropped.first().dropped) == (300, 0)
 
 
 def test_retry_waits(spark):
@@ -75,8 +78,8 @@ def test_first_use_of_a_subject_counts(spark):
     assert [(r.role, r.subject, r.selector) for r in governance.service_uses(df).collect()] == [("consumes", "s", "2")]
 
 
-def draft(spark, docs):
-    stats = inference.infer_path_stats(spark.createDataFrame([("s", json.dumps(d) if not isinstance(d, str) else d) for d in docs], "subject string, body string"))
+def draft(spark, docs, **how):
+    stats = inference.infer_path_stats(spark.createDataFrame([("s", json.dumps(d) if not isinstance(d, str) else d) for d in docs], "subject string, body string"), **how)
     notes = {(r.path, r.kind, r.confidence) for r in inference.infer_findings(stats).collect()}
     row = inference.infer_schema(stats).first()
     return json.loads(row.body), row.sample_count, notes
@@ -103,10 +106,12 @@ def test_draft_of_few_or_many_strings(spark):
     body, _, notes = draft(spark, [{"a": 1.0, "b": 2**70}])
     assert body["properties"] == {"a": {"type": "number"}, "b": {"type": "number"}} and ("#", "thin_evidence", 3) in notes
     uuid = "00000000-0000-0000-0000-%012d"
-    body, _, _ = draft(spark, [{"u": uuid % (i % 255)} for i in range(300)])
+    body, _, _ = draft(spark, [{"u": uuid % (i % 255)} for i in range(300)], string_cap=256)
     assert body["properties"]["u"]["format"] == "uuid"
-    body, _, _ = draft(spark, [{"u": uuid % i} for i in range(300)])
+    body, _, _ = draft(spark, [{"u": uuid % i} for i in range(300)], string_cap=256)
     assert body["properties"]["u"] == {"type": "string"}
+    body, _, _ = draft(spark, [{"u": uuid % i} for i in range(300)])
+    assert body["properties"]["u"] == {"type": "string", "format": "uuid"}
 
 
 def test_files_round_trip(spark, tmp_path):
