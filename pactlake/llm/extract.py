@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from .kernels import TextChunk, map_texts
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+# A name without a value is taken whole as well, so that a long one isn't tried again from each of its letters.
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?+""")
 
 RAW = frozenset({"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "noframes", "xmp"})
 BLOCKS = frozenset({

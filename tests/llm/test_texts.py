@@ -199,3 +199,15 @@ def test_empty_tables(spark):
     assert quality.judge_quality(docs, PIECES).count() == 0
     assert toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
     assert extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_markup_is_read_once():
+    """Attributes, quotes and names of a megabyte take time in proportion to their length."""
+    import time
+
+    for attributes in ("x" * 1_000_000, " x" * 500_000, "=" * 1_000_000, "'\"" * 400_000, " class" + " " * 1_000_000):
+        begun = time.perf_counter()
+        texts, _, _ = extract.lines_of(f"<p {attributes}>", 3)
+        assert texts == [] and time.perf_counter() - begun < 5
+    assert extract._marked(' hidden data-x id="main-menu extra-nav"') and not extract._marked(' data-nav=menu x class = "post"')
+    assert extract._marked(" class=nav") and extract._marked(" ID='share'") and extract._marked(" a = b role=' banner '")
