@@ -155,6 +155,30 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_ROWS))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of long numbers, a > b, with the same connected components: each task joins its own rows, and
+    hangs every node that it has seen on the least one. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        nodes, at = np.unique(np.concatenate([a for a, _ in held] + [b for _, b in held]), return_inverse=True)
+        one, two = at[: len(at) // 2], at[len(at) // 2 :]
+        up = np.arange(len(nodes))
+        while len(one):
+            low, high = np.minimum(up[one], up[two]), np.maximum(up[one], up[two])
+            open_ = low != high
+            one, two = one[open_], two[open_]
+            np.minimum.at(up, high[open_], low[open_])
+            while not (up == (above := up[up])).all():
+                up = above
+        hung = np.flatnonzero(up != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[up[hung]])], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def map_texts(df: DataFrame, text: str, kernel: Callable[[TextChunk], dict[str, object]], results: dict[str, str]) -> DataFrame:
     """Every row with the columns that ``kernel`` computes from its whole text.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pactlake import materialize
 
 from .components import connected_components
-from .kernels import TextChunk, Words, explode_texts, grams, mix, spans_hash
+from .kernels import TextChunk, Words, bound_batches, contracted, explode_texts, grams, mix, spans_hash
 
 
 class Forest(NamedTuple):
@@ -24,7 +24,8 @@ class Forest(NamedTuple):
     than ``crowd`` neighbours is looked at deeper, twice as deep each time. Neighbours whose signatures agree
     in a share of ``floor`` are candidates: at a similarity of 0.8 that is 4.5 standard deviations below. Each
     gives its ``nearest`` ones; one whose best agrees in less than ``sure`` may hang on any of several, and
-    gives ``unsure`` of them.
+    gives ``unsure`` of them. What lies between components is compared in blocks of ``block`` members and
+    ``block_shingles`` shingles.
     """
 
     trees: int = 32
@@ -34,6 +35,8 @@ class Forest(NamedTuple):
     nearest: int = 3
     sure: float = 0.88
     unsure: int = 24
+    block: int = 1024
+    block_shingles: int = 1 << 20
 
     @property
     def values(self) -> int:
@@ -233,69 +236,140 @@ def candidates(regions: DataFrame, crowded: DataFrame | None, forest: Forest, pa
     return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def between(whole: DataFrame, members: DataFrame, nodes: DataFrame, percent: int, forest: Forest, parts: int) -> DataFrame:
-    """(a, b, agree) with a < b: all pairs of a region that lie between different components, each once.
+def _meetings(placed: DataFrame, forest: Forest) -> DataFrame | None:
+    """(meet, side, key, node, component) of ``placed`` (key, node, component, n_shingles): every pair of members
+    of a region that lie in different components shares a meeting, on the same or on different sides.
 
-    Left out are those whose signatures agree in less than ``floor`` or whose sets differ too much in size to
-    overlap by ``percent``. Regions of one component have none. In the others blocks meet blocks; a component
-    of more than half a block has blocks of its own, which need not meet each other.
+    A region of one component has none (None: no region has any). In the others blocks of bounded size meet
+    blocks; a component of more than half a block has blocks of its own, which need not meet each other.
     """
-    least, block = int(np.ceil(forest.floor * forest.values)), max(2, forest.crowd)
-    placed = whole.select("key", "node").join(members, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "placed")
-    counts = materialize(placed.groupBy("key", "component").agg(F.count("*").alias("n")), "counts")
-    small = F.col("n") <= block // 2
-    open_ = counts.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(small, F.col("n")).otherwise(0)).alias("rest")).where("components > 1")
-    counts = materialize(counts.join(materialize(open_, "open"), "key"), "split")
+    weight = F.greatest(F.count("*") / forest.block, F.sum("n_shingles") / forest.block_shingles).alias("w")
+    counts = materialize(placed.groupBy("key", "component").agg(weight), "counts")
+    small = F.col("w") <= 0.5
+    rest = F.sum(F.when(small, F.col("w")).otherwise(0.0)).alias("rest")
+    open_ = counts.groupBy("key").agg(F.count("*").alias("components"), rest).where("components > 1").drop("components")
+    counts = materialize(counts.join(open_, "key"), "split")
     if counts.isEmpty():
-        return counts.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0).alias("agree"))
-    own = F.xxhash64(F.lit(1), "component", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / block)))
-    shared = F.xxhash64(F.lit(0), F.pmod(F.xxhash64("component", F.lit(7)), F.ceil(2 * F.col("rest") / block)))
+        return None
+    own = F.xxhash64(F.lit(1), "component", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil("w")))
+    shared = F.xxhash64(F.lit(0), F.pmod(F.xxhash64("component", F.lit(7)), F.ceil(2 * F.col("rest"))))
     dealt = placed.join(counts, ["key", "component"]).select("key", "node", "component", F.when(small, shared).otherwise(own).alias("block"), F.when(~small, F.col("component")).alias("of"))
     dealt = materialize(dealt, "dealt")
-    blocks = materialize(dealt.select("key", "block", "of").distinct(), "blocks")
+    blocks = dealt.select("key", "block", "of").distinct()
     other = blocks.select("key", F.col("block").alias("two"), F.col("of").alias("with"))
     meets = blocks.withColumnRenamed("block", "one").join(other, "key").where("one <= two and (of is null or with is null or of <> with)")
     meets = materialize(meets.select("key", "one", "two"), "meets")
-    sides = meets.select("key", F.col("one").alias("block"), F.xxhash64("key", "one", "two").alias("meet"), F.lit(0).alias("side"))
-    sides = sides.unionByName(meets.where("one <> two").select("key", F.col("two").alias("block"), F.xxhash64("key", "one", "two").alias("meet"), F.lit(1).alias("side")))
-    rows = dealt.join(sides, ["key", "block"]).select("meet", "side", "node", "component").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    rows = rows.select("meet", "side", "node", "component", "n_shingles", "sketch")
+    meet = F.xxhash64("key", "one", "two").alias("meet")
+    sides = meets.select("key", F.col("one").alias("block"), meet, F.lit(0).alias("side"))
+    sides = sides.unionByName(meets.where("one <> two").select("key", F.col("two").alias("block"), meet, F.lit(1).alias("side")))
+    return dealt.join(sides, ["key", "block"]).select("meet", "side", "key", "node", "component")
+
+
+def _each_meeting(rows: DataFrame, schema: str, parts: int, emit: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """What ``emit`` makes of the rows of each meeting; a task takes one meeting after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(side: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-            x = np.flatnonzero(side == 0)
-            y = np.flatnonzero(side == 1) if side.any() else x
-            may = component[x][:, None] != component[y][None, :]
-            may &= 100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :])
-            may = np.triu(may, 1) if y is x else may
-            i, j = np.nonzero(may)
-            if 8 * len(i) < may.size:
-                agree = np.concatenate([np.zeros(0, np.int64), *[_agreement(sketch[x[i[k : k + 65536]]], sketch[y[j[k : k + 65536]]]) for k in range(0, len(i), 65536)]])
-            else:
-                full = np.zeros(may.shape, np.int16)
-                for k in range(sketch.shape[1]):
-                    full += sketch[x, k][:, None] == sketch[y, k][None, :]
-                agree = full[i, j]
-            near = agree >= least
-            a, b = node[x[i[near]]], node[y[j[near]]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree[near].astype(np.int32))], ["a", "b", "agree"])
-
-        kept: list[np.ndarray] | None = None
+        held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy() for k in range(5)] + [np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)]
-            columns = columns if kept is None else [np.concatenate(c) for c in zip(kept, columns, strict=True)]
-            head = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
-            for a, b in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
-                yield emit(*[c[a:b] for c in columns[1:]])
-            kept = [c[head[-1] :] for c in columns]  # the last meeting may go on
-        if kept is not None:
-            yield emit(*kept[1:])
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            meet = held["meet"].to_numpy()
+            head = np.flatnonzero(np.append(True, meet[1:] != meet[:-1])).tolist()
+            for a, b in zip(head[:-1], head[1:], strict=True):
+                yield emit(held.slice(a, b - a))
+            held = held.slice(head[-1])  # the last meeting may go on
+        if held is not None:
+            yield emit(held)
+
+    bound_batches(rows.sparkSession)
+    return rows.repartition(parts, "meet").sortWithinPartitions("meet").mapInArrow(run, schema)
+
+
+def _near(t: pa.Table, percent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of one side, rows of the other, which pairs of them are near) in a meeting.
+
+    Near are pairs of different components whose signatures agree in ``least`` values and whose sets are
+    alike enough in size to overlap by ``percent``. Within one block each pair counts once.
+    """
+    side, component, n = t["side"].to_numpy(), t["component"].to_numpy(), t["n_shingles"].to_numpy()
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(side), -1)
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if side.any() else x
+    may = component[x][:, None] != component[y][None, :]
+    may &= 100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :])
+    may = np.triu(may, 1) if y is x else may
+    i, j = np.nonzero(may)
+    if 8 * len(i) < may.size:
+        agree = [_agreement(sketch[x[i[k : k + 65536]]], sketch[y[j[k : k + 65536]]]) for k in range(0, len(i), 65536)]
+        may[i, j] = np.concatenate([np.zeros(0, np.int64), *agree]) >= least
+    else:
+        full = np.zeros(may.shape, np.int16)
+        for k in range(sketch.shape[1]):
+            full += sketch[x, k][:, None] == sketch[y, k][None, :]
+        may &= full >= least
+    return x, y, may
+
+
+def unsettled(placed: DataFrame, nodes: DataFrame, percent: int, forest: Forest, parts: int) -> DataFrame | None:
+    """(key, node): the members of a region that have a near member of another component in it. None: no region is open."""
+    met = _meetings(placed, forest)
+    if met is None:
+        return None
+    least = int(np.ceil(forest.floor * forest.values))
+
+    def emit(t: pa.Table) -> pa.RecordBatch:
+        x, y, near = _near(t, percent, least)
+        some = np.concatenate([x[near.any(axis=1)], y[near.any(axis=0)]])
+        some = pa.array(np.unique(some))
+        return pa.RecordBatch.from_arrays([t[c].combine_chunks().take(some) for c in ("key", "node")], ["key", "node"])
+
+    rows = met.join(nodes.select("node", "n_shingles", "sketch"), "node").select("meet", "side", "key", "node", "component", "n_shingles", "sketch")
+    return _each_meeting(rows, "key bigint, node bigint", parts, emit).distinct()
 
-    ordered = rows.repartition(parts, "meet").sortWithinPartitions("meet")
-    return ordered.mapInArrow(run, "a bigint, b bigint, agree int").distinct()
+
+def between(placed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, forest: Forest, parts: int) -> DataFrame | None:
+    """(a, b): links between components that share a region. None: there is no region of several.
+
+    The whole sets meet. Every near pair that still lies in different components is confirmed in the task; a
+    link joins them there, so that a meeting gives one row less than it has components at most, however many
+    pairs it has looked at.
+    """
+    met = _meetings(placed, forest)
+    if met is None:
+        return None
+    least = int(np.ceil(forest.floor * forest.values))
+
+    def emit(t: pa.Table) -> pa.RecordBatch:
+        x, y, near = _near(t, percent, least)
+        node, lists = t["node"].to_numpy(), t["shingles"].combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        start = np.cumsum(n) - n
+        _, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        _, label = np.unique(t["component"].to_numpy(), return_inverse=True)
+        mark = np.zeros(int(number.max(initial=0)) + 1, bool)
+        a, b = [], []
+        for i, row in zip(x.tolist(), near, strict=True):
+            j = y[row]
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            own = number[start[i] : start[i] + n[i]]
+            mark[own] = True
+            head = np.cumsum(n[j]) - n[j]
+            every = np.arange(int(n[j].sum())) + np.repeat(start[j] - head, n[j])
+            both = np.add.reduceat(mark[number[every]].astype(np.int64), head)
+            mark[own] = False
+            linked = j[100 * both >= percent * (n[i] + n[j] - both)]
+            for k in linked[np.unique(label[linked], return_index=True)[1]].tolist():
+                a.append(min(node[i], node[k]))
+                b.append(max(node[i], node[k]))
+                label[label == label[k]] = label[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = met.join(nodes.select("node", "n_shingles", "sketch"), "node").join(sets, "node").select("meet", "side", "node", "component", "n_shingles", "sketch", "shingles")
+    return _each_meeting(rows, "a bigint, b bigint", parts, emit).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -307,17 +381,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` (node, component) after further ``links`` (a, b), some of whose ends may have no component yet."""
+    if links.isEmpty():
+        return members
+    side = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    named = connected_components(between.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")), contracted)
+    named = materialize(named.withColumnRenamed("component", "now"), "named")
+    moved = members.join(named.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    fresh = named.join(members, "node", "left_anti").select("node", F.col("now").alias("component"))
+    return materialize(moved.unionByName(fresh), "members")
+
+
 def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, forest: Forest = Forest(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, uid (a hash of key and text), n_shingles, component_id, kept.
 
     Documents are linked where their sets of ``size``-word shingles (A-Z lower-cased) overlap by ``percent``
     of their union or more; links are confirmed on full sets of 64-bit hashes. Equal sets are one node. A
     region of the forest gives candidates that keep its connections (nearest neighbours and a spanning
-    forest), not all its pairs, and a crowded one its members with its hub. They are confirmed in two rounds, each
-    node's best first. They only order the work: then all pairs of a region of the least depth, however large,
-    whose signatures agree in ``floor`` and that still lie between different components are confirmed in rounds,
-    the likeliest first, until none is left. What is linked already costs nothing more; a large family just
-    below the threshold costs all its pairs.
+    forest), not all its pairs, and a crowded one its members with its hub. They are confirmed first, and only
+    order the work: then all pairs of a region of the least depth, however large,
+    whose signatures agree in ``floor`` and that still lie between different components are confirmed where
+    blocks of the region meet, and only what joins components leaves the task. What is linked already costs
+    nothing more; a large family just below the threshold costs the comparison of all its pairs, not their rows.
 
     Defined cases: documents without words (or null) have no shingles and link with nothing; fewer words than
     a shingle are one shingle; repeated rows are copies; a null key is linked like others but names no
@@ -349,35 +436,17 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80, forest: Fo
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
-    def apart(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        held = pairs.join(members.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(members.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return held.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
-
     sets = sets_of(ends(pairs))
-    either = pairs.select(F.col("a").alias("node"), "agree", F.col("b").alias("other")).union(pairs.select("b", "agree", "a"))
-    best = either.groupBy("node").agg(F.max(F.struct("agree", "other")).alias("o"))
-    best = materialize(best.select(F.least("node", "o.other").alias("a"), F.greatest("node", "o.other").alias("b")).distinct(), "best")
-    links = materialize(confirmed(best, sets, percent), "links")
-    members = materialize(connected_components(links), "members")
-    rest = materialize(apart(pairs, members).join(best, ["a", "b"], "left_anti"), "apart")
-    links = materialize(links.unionByName(confirmed(rest, sets, percent)), "links")
-    members = materialize(connected_components(links), "members")
-    # The pairs above only order the work: all others between different components follow, the likeliest first.
-    left = materialize(between(whole, members, nodes, percent, forest, parts).join(pairs, ["a", "b"], "left_anti"), "left")
-    if not left.isEmpty():
-        fresh = materialize(ends(left).join(ends(pairs), "node", "left_anti"), "fresh")
+    members = materialize(connected_components(materialize(confirmed(pairs, sets, percent), "links"), contracted), "members")
+    # The pairs above only order the work: all others between different components follow.
+    placed = whole.select("key", "node").join(nodes.select("node", "n_shingles"), "node").join(members, "node", "left")
+    placed = materialize(placed.select("key", "node", F.coalesce("component", "node").alias("component"), "n_shingles"), "placed")
+    open_ = unsettled(placed, nodes, percent, forest, parts)
+    if open_ is not None and not (open_ := materialize(open_, "unsettled")).isEmpty():
+        fresh = materialize(open_.select("node").distinct().join(ends(pairs), "node", "left_anti"), "fresh")
         sets = sets if fresh.isEmpty() else sets.unionByName(sets_of(fresh))
-        high = forest.values + 1
-        for share in (percent / 100 + 0.04, percent / 100, percent / 100 - 0.05, forest.floor):
-            low = min(high, max(forest.floor, share) * forest.values)
-            tried = materialize(apart(left.where((F.col("agree") >= low) & (F.col("agree") < high)), members), "apart")
-            high = low
-            if tried.isEmpty():
-                continue
-            more = materialize(confirmed(tried, sets, percent), "more")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                members = materialize(connected_components(links), "members")
+        joined = between(materialize(placed.join(open_, ["key", "node"]), "open"), nodes, sets, percent, forest, parts)
+        members = members if joined is None else _merged(members, materialize(joined, "joined"))
     named = nodes.select("f1", "f2", "n_shingles", "node", "least").join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.select("f1", "f2", "n_shingles", "component", "least"), "named")
     names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")

@@ -107,12 +107,41 @@ def test_near_documents_in_crowds(spark):
             w[draw.randrange(len(w))] = f"n{i}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in minhash_dedup.near_documents(docs, size=2, forest=minhash_dedup.Forest(crowd=16)).collect()}
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_documents(docs, size=2, forest=minhash_dedup.Forest(crowd=16, block=16)).collect()}
     sets = {k: brute.shingles(t, 2) for k, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert got == brute.least_reachable(sets, links)
 
 
+@pytest.mark.parametrize("size", [60, 120])
+def test_near_documents_just_below_give_no_rows(spark, monkeypatch, size):
+    """A family whose pairs mostly lie just below the threshold: its pairs are compared, but never listed."""
+    made, listed = minhash_dedup.materialize, {}
+
+    def kept(df, label):
+        out = made(df, label)
+        listed[label] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "materialize", kept)
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(size):
+        w = list(base)
+        for k in draw.sample(range(300), 17 if i % 9 else 12):
+            w[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forest = minhash_dedup.Forest(crowd=16, block=16, nearest=1, unsure=1)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_documents(docs, size=2, forest=forest).collect()}
+    sets = {k: brute.shingles(t, 2) for k, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 64 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert got == brute.least_reachable(sets, links) and len(set(got.values())) > size / 2
+    assert len(pairs) > 10 * size and listed["unsettled"] <= size * forest.trees and listed.get("joined", 0) <= size
+
+
 def test_near_documents_that_cannot_be_parted(spark):
     """More than a crowd of long texts with one word changed, and with the same sketch, are one group."""
     draw = random.Random(3)
