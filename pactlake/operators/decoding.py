@@ -173,18 +173,17 @@ def content_type_of(format: Column, schema_id: Column, wire: Wire = Wire()) -> C
 
 
 def resolve_subjects(messages: DataFrame) -> DataFrame:
-    """Message type to ``subject_outcome`` (resolved, absent, unusable) and ``resolved_subject``, in place."""
+    """Message type to ``subject_outcome`` (resolved, absent, unusable) and ``resolved_subject``, in place.
+
+    Each distinct type is parsed once; the messages then look theirs up.
+    """
     message_type = strip("properties_type")
     text = F.when(is_generic_type(message_type), generic_subject(message_type)).otherwise(normalize_subject("properties_type"))
-    df = messages
-    outcome = (
-        F.when(blank("properties_type"), "absent").when(subject_valid(text), "resolved").otherwise("unusable")
-    )
-    return df.select(
-        *messages.columns,
-        outcome.alias("subject_outcome"),
-        F.when(outcome == "resolved", strip(text)).alias("resolved_subject"),
-    )
+    outcome = F.when(blank("properties_type"), "absent").when(subject_valid(text), "resolved").otherwise("unusable")
+    seen = messages.select("properties_type").where("properties_type is not null").distinct()
+    types = seen.select("properties_type", outcome.alias("subject_outcome"), F.when(outcome == "resolved", strip(text)).alias("resolved_subject"))
+    held = messages.join(materialize(types, "types"), "properties_type", "left")
+    return held.select(*messages.columns, F.coalesce("subject_outcome", F.lit("absent")).alias("subject_outcome"), "resolved_subject")
 
 
 def subject_inventory(resolved: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ and a lost executor costs one round.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..wire import Wire
+from .condensation import chains_of, strong_components
 
 
 def reach(starts: DataFrame, edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
@@ -57,56 +60,99 @@ def reach_any(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
+class Reach(NamedTuple):
+    """Who reaches whom, told between strongly connected components: ``members`` (node, component, cyclic) and
+    ``pairs`` (start, node) of different components, of which the first reaches the second. A node reaches
+    the members of its own component, itself included, if that is cyclic."""
+
+    members: DataFrame
+    pairs: DataFrame
+
+
+def condensed_reach(edges: DataFrame) -> Reach:
+    """The closure on the condensation: a ring of any length is one component, and no pairs."""
+    edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
+    part = strong_components(edges)
+    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    joined = materialize(edges.join(of("src"), "src").join(of("dst"), "dst"), "joined")
+    cyclic = joined.where("src_of = dst_of").select(F.col("src_of").alias("component")).distinct().withColumn("cyclic", F.lit(True))
+    members = part.join(cyclic, "component", "left").select("node", "component", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    between = joined.where("src_of <> dst_of").select(F.col("src_of").alias("src"), F.col("dst_of").alias("dst")).distinct()
+    return Reach(materialize(members, "members"), closure(between))
+
+
 def transitive_referrers(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(target, referrer): every node that reaches the target."""
+    """(target, referrer): every node that reaches the target. Its size is the number of such pairs; see
+    :func:`condensed_reach` for the same without listing them, and :func:`referrer_counts`."""
     if targets is None:
-        return closure(edges).select(F.col("node").alias("target"), F.col("start").alias("referrer"))
+        reach_ = condensed_reach(edges)
+        member = lambda c, name: reach_.members.select(F.col("component").alias(c), F.col("node").alias(name))
+        apart = reach_.pairs.join(member("node", "target"), "node").join(member("start", "referrer"), "start")
+        rings = reach_.members.where("cyclic")
+        same = rings.select("component", F.col("node").alias("target")).join(rings.select("component", F.col("node").alias("referrer")), "component")
+        return apart.select("target", "referrer").unionByName(same.select("target", "referrer"))
     found = reach(targets.select(F.col("target").alias("start")), edges, "dst", "src")
     return found.select(F.col("start").alias("target"), F.col("node").alias("referrer"))
 
 
-def _core(edges: DataFrame) -> DataFrame:
-    """The edges that can lie on a cycle: sources and sinks are peeled off until none is left.
-
-    What remains is small wherever references are, as they should be, mostly acyclic.
-    """
-    core = materialize(edges.select("src", "dst").distinct(), "core")
-    size = core.count()
-    while size:
-        has_in = core.select(F.col("dst").alias("src")).distinct()
-        has_out = core.select(F.col("src").alias("dst")).distinct()
-        core = materialize(core.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi").select("src", "dst"), "core")
-        size, before = core.count(), size
-        if size == before:
-            break
-    return core
+def referrer_counts(edges: DataFrame) -> DataFrame:
+    """(target, referrers): by how many nodes each node is reached, itself included on a cycle. Pairs of nodes
+    are not listed: components are counted, weighted by their members."""
+    reach_ = condensed_reach(edges)
+    sizes = materialize(reach_.members.groupBy("component").agg(F.count("*").alias("size"), F.max("cyclic").alias("cyclic")), "sizes")
+    from_ = reach_.pairs.join(sizes.select(F.col("component").alias("start"), "size"), "start").groupBy(F.col("node").alias("component")).agg(F.sum("size").alias("far"))
+    own = sizes.select("component", F.when(F.col("cyclic"), F.col("size")).otherwise(0).alias("near"))
+    counts = materialize(own.join(from_, "component", "left").select("component", (F.col("near") + F.coalesce("far", F.lit(0))).alias("referrers")), "counts")
+    return reach_.members.join(counts, "component").where("referrers > 0").select(F.col("node").alias("target"), "referrers")
 
 
 def reference_cycles(edges: DataFrame) -> DataFrame:
     """Shortest cycle through each node that lies on one, each cycle once: (path, length).
 
-    A cycle is reported from its smallest node. Per start and node only the least path of each
-    length survives a round, so a densely tangled graph does not multiply paths.
+    A cycle is reported from its smallest node; of several as short, the one whose path is least from the node.
+    Only edges within a strongly connected component can lie on a cycle. There chains of nodes with one way
+    through are edges of their own length: whoever goes through one node of a chain goes through all, so walks
+    start at the anchors between them only, and a ring is no walk at all. Per start and node only the least
+    of the shortest paths survives.
     """
-    steps = _core(edges)
-    walk = steps.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
-    walk = materialize(walk, "walk")
-    seen = walk.select("start", "node")
-    closed = walk.where("start = node")
-    while not walk.isEmpty():
-        open_ends = walk.where("start <> node")
-        grown = open_ends.join(steps, F.col("node") == F.col("src")).select(
-            "start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")
-        )
-        least = grown.groupBy("start", "node").agg(F.min("path").alias("path"))
-        walk = materialize(least.join(seen, ["start", "node"], "left_anti"), "walk")
-        seen = seen.unionByName(walk.select("start", "node"))
-        closed = closed.unionByName(walk.where("start = node"))
+    edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
+    part = strong_components(edges)
+    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    inside = materialize(edges.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst").where("src_of = dst_of").select("src", "dst"), "inside")
+    loops = edges.where("src = dst").select(F.array("src", "dst").alias("path"))
+    chains = chains_of(inside)
+    listed = lambda df, by: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "node"))).alias("nodes")).withColumn("nodes", F.col("nodes.node"))
+    rings = listed(chains.rings, ["ring"]).select(F.concat(F.array(F.element_at("nodes", -1)), F.slice("nodes", F.lit(1), F.size("nodes") - 1), F.array(F.element_at("nodes", -1))).alias("path"))
+    # A step goes from anchor to anchor: `via` is what it passes, its end included.
+    by_chain = materialize(listed(chains.inner, ["chain", "tail", "head"]).select(F.col("tail").alias("src"), F.col("head").alias("dst"), F.concat("nodes", F.array("head")).alias("via")), "by_chain")
+    gone = chains.rings.select("node").unionByName(chains.inner.select("node"))
+    plain = inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    steps = materialize(plain.select("src", "dst", F.array("dst").alias("via")).unionByName(by_chain), "ways")
+    least = lambda df: df.groupBy("start", "node").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("p")).select("start", "node", "p.path")
+    # Lengths differ, so a path is settled in the round of its length: nothing shorter can come later.
+    open_ = materialize(least(steps.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.concat(F.array("src"), "via").alias("path"))), "paths")
+    settled, length = open_.limit(0), 0
+    while (length := open_.agg(F.min(F.size("path"))).first()[0]) is not None:
+        front = materialize(open_.where(F.size("path") == length), "front")
+        settled = settled.unionByName(front)
+        onward = front.where("start <> node").join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.concat("path", "via").alias("path"))
+        rest = open_.where(F.size("path") > length).unionByName(onward)
+        open_ = materialize(least(rest.join(settled.select("start", "node"), ["start", "node"], "left_anti")), "paths")
+    closed = settled.where("start = node").select("path")
+    # Through the nodes of a chain: the chain, then the least way from its head back to its tail.
+    back = settled.where("start <> node").select(F.col("start").alias("dst"), F.col("node").alias("src"), F.slice("path", F.lit(2), F.size("path")).alias("back"))
+    through = by_chain.join(back, ["src", "dst"], "left").where("src = dst or back is not null")
+    closed = closed.unionByName(through.select(F.concat(F.array("src"), "via", F.coalesce("back", F.array().cast("array<string>"))).alias("path")))
+    return _from_least(closed.unionByName(rings).unionByName(loops)).distinct().withColumn("length", F.size("path") - 1)
+
+
+def _from_least(cycles: DataFrame) -> DataFrame:
+    """(path): cycles, which end where they start, turned to start at their least node."""
     low = F.array_min("path")
     at = F.array_position("path", low).cast("int")
     ring = F.slice("path", F.lit(1), F.size("path") - 1)
     turned = F.concat(F.slice(ring, at, F.size(ring)), F.slice(ring, F.lit(1), at - 1), F.array(low))
-    return closed.select(turned.alias("path")).distinct().withColumn("length", F.size("path") - 1)
+    return cycles.select(turned.alias("path"))
 
 
 def version_edges(versions: DataFrame, edges: DataFrame, wire: Wire = Wire()) -> DataFrame:

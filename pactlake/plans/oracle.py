@@ -571,6 +571,7 @@ recursive(
     "e6_transitive_referrers",
     "select distinct 's' || node as target, 's' || start as referrer from recursive_reach",
 )
+recursive("e6_referrer_counts", "select 's' || node as target, count(distinct start) as referrers from recursive_reach group by node")
 oracle(
     "e7_reference_cycles",
     """select 's' || k || '>' || 's' || k as path, 1 as length from part_links l where k = t

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from ..operators.canonical import catalog_canonical_audit
 from ..operators.json_diff import diff_json_pairs, json_schema_diff
 from ..operators.nodes import schema_nodes
 from ..operators.proto_diff import protobuf_diff
+from ..operators.verdicts import stored
 from ..session import configure, materialize, run_dir
 from ..sources import contract_files, latest_export, read_messages, sample_queue
 from ..sources.derived import ArrivingViews, Views
@@ -308,6 +308,11 @@ def _(v: Views) -> DataFrame:
     return graph.transitive_referrers(_edges(v).where("dst is not null"))
 
 
+@query("e6_referrer_counts")
+def _(v: Views) -> DataFrame:
+    return graph.referrer_counts(_edges(v).where("dst is not null"))
+
+
 @query("e7_reference_cycles")
 def _(v: Views) -> DataFrame:
     return graph.reference_cycles(_edges(v).where("dst is not null")).withColumn("path", F.array_join("path", ">"))
@@ -365,7 +370,11 @@ def _policies(v: Views) -> DataFrame:
 
 
 def _differ(v: Views):
-    return partial(diff_json_pairs, rules=materialize(validation.rules_of(v.schemas), "rules"))
+    def differ(pairs: DataFrame) -> DataFrame:
+        return diff_json_pairs(pairs, rules=materialize(validation.rules_of(v.schemas), "rules"))
+
+    # Every query of an application that compares schemas shares what has been found.
+    return stored(differ, f"{run_dir(v.spark)}/verdicts")
 
 
 def _verdicts(v: Views):

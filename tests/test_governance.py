@@ -49,6 +49,21 @@ def test_flush_keeps_first_keys_and_counts_the_rest(spark):
     assert (dropped.first().keys, dropped.first().dropped) == (300, 0)
 
 
+def test_a_hot_environment_is_dealt_out(spark):
+    """One environment has a third of all events: no deal of a key has much more than its share of them."""
+    events = spark.range(3000).selectExpr("cast(id as string) as outbox_id", "case when id % 3 = 0 then 'hot' else concat('e', id % 40) end as environment_id", "concat('K', id % 2) as event")
+    rows = [("hot", f"s{i}", True, ["", "K0", "K1,K0", "K9"][i % 4]) for i in range(8)] + [("e1", "x", True, "K1"), ("e2", "y", False, "")]
+    subs = spark.createDataFrame(rows, "environment_id string, subscription_id string, enabled boolean, events string")
+    got, unwanted = notifications.notification_fanout(events, subs, share=50)
+    plain, same = notifications.notification_fanout(events, subs)
+    assert got.count() == plain.count() == got.distinct().count() and got.exceptAll(plain).count() == unwanted.exceptAll(same).count() == 0
+    asked = events.select("environment_id", "outbox_id", F.explode(F.array("event", F.lit("*"))).alias("want"))
+    wants = spark.createDataFrame([("hot", "*"), ("hot", "K0"), ("e1", "K1")], "environment_id string, want string")
+    dealt, repeated = notifications._dealt(asked, wants, 50)
+    assert dealt.groupBy("environment_id", "want", "deal").count().agg(F.max("count")).first()[0] < 100
+    assert {r.want: r["count"] for r in repeated.where("environment_id = 'hot'").groupBy("want").count().collect()} == {"*": 20, "K0": 10}
+
+
 def test_retry_waits(spark):
     rows = [("a", i, at(i), False) for i in range(3)] + [("b", i, at(i), False) for i in range(7)] + [("c", 0, at(0), False), ("c", 1, at(1), True), ("c", 2, at(2), False)]
     df = spark.createDataFrame(rows, "outbox_id string, seq long, at timestamp, succeeded boolean")

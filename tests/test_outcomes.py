@@ -6,6 +6,7 @@ from pactlake.operators import compatibility
 from pactlake.operators.governance import promotion_plan
 from pactlake.operators.json_diff import diff_json_pairs, json_schema_diff
 from pactlake.operators.validation import rules_of, validate_payloads
+from pactlake.operators.verdicts import stored
 
 CATALOG = "schema_id string, format string, body string"
 SCHEMAS = [
@@ -56,6 +57,31 @@ def test_nothing_uncompared_is_compatible(spark):
     assert {r.status for r in compatibility.bulk_check(files, versions, policies(spark, "BACKWARD"), differ).collect()} == {"not_comparable"}
 
 
+def test_a_store_compares_each_pair_once(spark, tmp_path):
+    """Audits behind a store equal those without it; what is known, whatever the policy, isn't compared again."""
+    versions, differ = registry(spark)
+    asked = []
+
+    def counted(pairs):
+        asked.append({(r.prev_id, r.next_id) for r in pairs.collect()})
+        return differ(pairs)
+
+    look = stored(counted, str(tmp_path / "store"))
+    for mode in ("BACKWARD", "FULL", "FULL_TRANSITIVE", "BACKWARD"):
+        plain = compatibility.compatibility_audit(versions, policies(spark, mode), differ)
+        kept = compatibility.compatibility_audit(versions, policies(spark, mode), look)
+        assert sorted(map(str, kept.collect())) == sorted(map(str, plain.collect()))
+    compared = [p for pairs in asked for p in pairs]
+    known = [p for p in compared if p == ("j1", "j1")]
+    assert len(known) == 1 and ("j1", "bad") in compared
+    # A schema that becomes known later is compared then.
+    later = stored(lambda pairs: pairs.withColumn("findings", F.expr("transform(array(1), x -> named_struct('path', '#', 'kind', 'k', 'direction', 'Backward', 'surface', 0, 'member', 'm'))")), str(tmp_path / "store2"))
+    pairs = spark.createDataFrame([("a", "b", "Open")], "prev_id string, next_id string, content_model string")
+    nothing = stored(lambda pairs: later(pairs).withColumn("findings", F.when(F.lit(False), F.col("findings"))), str(tmp_path / "store3"))
+    assert [r.findings for r in nothing(pairs).collect()] == [None]
+    assert [len(r.findings) for r in stored(later, str(tmp_path / "store3"))(pairs).collect()] == [1]
+
+
 def test_promotion_refuses_what_cannot_be_compared(spark):
     versions, differ = registry(spark)
     here = versions.where("ordinal = 2").withColumn("environment_id", F.lit("s")).withColumn("ordinal", F.lit(1))
