@@ -21,13 +21,15 @@ class Registry:
 
     ``subjects``: (subject, ordinal, schema_id) of each subject's latest version; ``schemas``:
     (schema_id, format, body). Each prepared table is written once, so that the planner knows its
-    true size when it chooses how to join messages to it.
+    true size when it chooses how to join messages to it. ``rules``: those of ``schemas``, where they are
+    compiled already.
     """
 
-    def __init__(self, subjects: DataFrame, schemas: DataFrame, contracts: DataFrame, publish: DataFrame, consume: DataFrame):
+    def __init__(self, subjects: DataFrame, schemas: DataFrame, contracts: DataFrame, publish: DataFrame, consume: DataFrame,
+                 rules: DataFrame | None = None):
         self.contracts, self.publish, self.consume = contracts, publish, consume
         self.latest = subjects.where("ordinal is not null").select("subject", F.col("ordinal").alias("tip"), "schema_id")
-        rules = rules_of(schemas).withColumn("known", F.lit(True))
+        rules = (rules_of(schemas) if rules is None else rules).withColumn("known", F.lit(True))
         self.rules = materialize(rules, "rules")
         self.depth = rules_depth(self.rules)
         self.latest_rules = materialize(self.latest.join(self.rules, "schema_id", "left"), "latest-rules")

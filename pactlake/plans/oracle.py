@@ -880,3 +880,29 @@ oracle(
 # --- streams: what a stream has written when all has arrived is what the batch gives ----------------
 ORACLES["h1_stream_conformance"] = ORACLES["c7_consume_conformance"]
 ORACLES["h2_stream_violation_rollup"] = ORACLES["g8_violation_rollup"]
+oracle(
+    "h1_registry_reload",
+    """select message_id, mode, case when step in (0, 2, 5) then 'Unenforced' when step = 7 then 'Valid' else 'Observed' end as outcome,
+              case step when 1 then error_code when 3 then 'contract_subject_not_permitted' when 4 then 'contract_version_not_permitted'
+                   when 5 then 'schema_unresolvable' when 6 then 'envelope_format_mismatch' when 8 then 'payload_invalid' end as code,
+              case when step > 0 then subject end as judged_subject, case when step > 0 then schema_id end as judged_schema_id
+       from (select * replace (case when day(ts) > 15 then mode else 2 end as mode,
+                    case when day(ts) > 15 then step when error_code is not null then 1 when kind = 'none' then 2
+                         when schema_type is null or schema_type = 'signup' then 5 when format = 'avro' then 6 when ok then 7 else 8 end as step)
+             from consume_steps) x""",
+)
+oracle("h2_violations_opened", f"select fingerprint, 1 as opened from ({ORACLES['g8_violation_rollup']}) x")
+oracle(
+    "h3_stream_flush_windows",
+    """select time_bucket(interval 1 day, ts) as window_start, coalesce(reported_by, 'unknown') as reporter, side, route, subject, code,
+              detail || (seq % 997) as detail, count(*) as n, true as flushed_once
+       from violation_reports where time_bucket(interval 1 day, ts) + interval 1 day <= (select max(ts) from violation_reports) - interval 2 days
+       group by all""",
+)
+oracle(
+    "g4_stream_service_state",
+    """select environment_id, service, case when s % 2 = 0 then e end as produces, case when s % 2 = 1 then e end as consumes, first_seen_at, last_seen_at
+       from (select 'env' || (user_id % 3) as environment_id, 'svc-' || user_id as service, arg_max('acme.events.' || event_type, (ts, event_id)) as e,
+                    arg_max(event_id, (ts, event_id)) as s, min(ts) as first_seen_at, max(ts) as last_seen_at
+             from events group by all) x""",
+)

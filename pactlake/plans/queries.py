@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -25,9 +25,9 @@ from ..operators.nodes import schema_nodes
 from ..operators.proto_diff import protobuf_diff
 from ..operators.verdicts import stored
 from ..session import configure, materialize, run_dir
-from ..sources import contract_files, latest_export, read_messages, sample_queue
+from ..sources import SnapshotRegistry, contract_files, latest_export, publish_snapshot, read_messages, sample_queue
 from ..sources.derived import ArrivingViews, Views
-from ..streaming import ROCKSDB, stream_conformance, stream_violation_rollup
+from ..streaming import ROCKSDB, stream_conformance, stream_flush_windows, stream_service_state, stream_violation_rollup
 from ..wire import MONITOR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -683,22 +683,107 @@ def _(v: Views) -> DataFrame:
     return v.spark.read.parquet(_arrived(v, writer, "h1")).select(*columns)
 
 
-@query("h2_stream_violation_rollup")
-def _(v: Views) -> DataFrame:
+def _arriving(v: Views, rows: DataFrame, arrival: Column, rounds: int, writer, name: str, before=lambda i: None) -> None:
+    """Let ``rows`` arrive in rounds, by their number ``arrival``: after each the stream is started from its
+    checkpoint, takes what is new in several batches, and stops."""
+    folder = f"{run_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    there = materialize(rows.withColumn("_round", F.greatest(F.lit(0), F.least(arrival, F.lit(rounds - 1)))), name)
     setting = "spark.sql.streaming.stateStore.providerClass"
-    before = v.spark.conf.get(setting)
+    provider = v.spark.conf.get(setting)
     v.spark.conf.set(setting, ROCKSDB)
     try:
-        updates = stream_violation_rollup(ArrivingViews(v.spark, v.dir, v.wire).violation_reports)
-        folder = _arrived(v, lambda keep: updates.writeStream.outputMode("update").foreachBatch(keep), "h2")
+        for i in range(rounds):
+            before(i)
+            there.where(F.col("_round") == i).drop("_round").repartition(3).write.mode("append").parquet(f"{folder}/in")
+            stream = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+            started = writer(stream).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            started.awaitTermination()
     finally:
-        v.spark.conf.set(setting, before)
+        v.spark.conf.set(setting, provider)
+
+
+def _batches(v: Views, name: str):
+    """A folder and a sink that writes each micro-batch to its own part of it: one that runs again replaces it."""
+    folder = f"{run_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    return folder, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+
+def _third(ts: str = "ts", straggler: str = "seq") -> Column:
+    """When a row arrives: by the ten days of its month, and every seventh one round later."""
+    return F.floor((F.dayofmonth(ts) - 1) / 10).cast("int") + F.when(F.col(straggler) % 7 == 0, 1).otherwise(0)
+
+
+@query("h1_registry_reload")
+def _(v: Views) -> DataFrame:
+    """Messages of two halves of a month; between them contracts are declared and one more schema becomes known."""
+    columns = ["message_id", "outcome", "code", "mode", "judged_subject", "judged_schema_id"]
+    snapshots = f"{run_dir(v.spark)}/registry-{uuid.uuid4().hex}"
+    registry = SnapshotRegistry(v.spark, snapshots)
+    folder, keep = _batches(v, "reload")
+    signup = F.col("subject") == "acme.events.signup"
+
+    def before(i: int) -> None:
+        new = v.event_subjects.where(signup).select("schema_id")
+        publish_snapshot(
+            snapshots, contracts=v.contracts, publish=v.publish_bindings,
+            subjects=v.event_subjects.where(~signup) if i == 0 else v.event_subjects,
+            schemas=v.event_catalog.join(new, "schema_id", "left_anti") if i == 0 else v.event_catalog,
+            consume=v.consume_bindings.limit(0) if i == 0 else v.consume_bindings,
+        )
+
+    sink = lambda classified, n: keep(classified.select(*columns), n)
+    writer = lambda stream: stream_conformance(stream, registry, sink, side="consume", wire=v.wire)
+    _arriving(v, v.messages, (F.dayofmonth("ts") > 15).cast("int"), 2, writer, "reload-in", before)
+    return v.spark.read.parquet(folder).select(*columns)
+
+
+@query("h2_stream_violation_rollup")
+def _(v: Views) -> DataFrame:
+    folder, keep = _batches(v, "h2")
+    writer = lambda stream: stream_violation_rollup(stream).writeStream.outputMode("update").foreachBatch(keep)
+    _arriving(v, v.violation_reports, _third(), 3, writer, "h2-in")
     rows = v.spark.read.parquet(folder)
     columns = [c for c in rows.columns if c not in ("batch", "opened", "fingerprint")]
     newest = rows.groupBy("fingerprint").agg(F.max_by(F.struct(*columns), "batch").alias("r"))
     return newest.select("fingerprint", "r.*")
 
 
+@query("h2_violations_opened")
+def _(v: Views) -> DataFrame:
+    """How often the stream has said that a violation opened, over all batches and restarts."""
+    folder, keep = _batches(v, "h2-opened")
+    writer = lambda stream: stream_violation_rollup(stream).writeStream.outputMode("update").foreachBatch(keep)
+    _arriving(v, v.violation_reports, _third(), 3, writer, "h2-opened-in")
+    return v.spark.read.parquet(folder).groupBy("fingerprint").agg(F.count_if("opened").alias("opened"))
+
+
+@query("h3_stream_flush_windows")
+def _(v: Views) -> DataFrame:
+    """Counts of the windows that the stream has closed, what came late included."""
+    folder, keep = _batches(v, "h3")
+    writer = lambda stream: stream_flush_windows(stream, "1 day", "2 days", shares=4).writeStream.foreachBatch(keep)
+    _arriving(v, _flushes(v), _third(straggler="message_id"), 3, writer, "h3-in")
+    rows = v.spark.read.parquet(folder)
+    return rows.groupBy("window_start", "reporter", "side", "route", "subject", "code", "detail").agg(
+        F.sum("n").alias("n"), F.count_if(F.col("kind") == "kept").alias("flushes")
+    ).select("window_start", "reporter", "side", "route", "subject", "code", "detail", "n", (F.col("flushes") <= 1).alias("flushed_once"))
+
+
+@query("g4_stream_service_state")
+def _(v: Views) -> DataFrame:
+    table = f"{run_dir(v.spark)}/services-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def writer(stream: DataFrame):
+        return stream_service_state(stream, table, batches.append)
+
+    _arriving(v, _service_reports(v), _third(), 3, writer, "g4-in")
+    first = lambda c: F.try_element_at(f"newest.{c}", F.lit(1))["subject"].alias(c)
+    return v.spark.read.parquet(f"{table}/version={max(batches)}").select(
+        "environment_id", "service", first("produces"), first("consumes"), "first_seen_at", "last_seen_at"
+    )
+
+
 @query("h3_violation_flush_windows")
 def _(v: Views) -> DataFrame:
     return violations.violation_flush_windows(_flushes(v), "30 days")[0]

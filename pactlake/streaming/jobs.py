@@ -88,8 +88,11 @@ def _clean(value):
 class ViolationState(StatefulProcessor):
     """Running state of one fingerprint; ``opened`` is true in the one row that opens it."""
 
+    def __init__(self, forget_ms: int | None = None) -> None:
+        self.forget_ms = forget_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("violation", VIOLATION_STATE)
+        self.state = handle.getValueState("violation", VIOLATION_STATE, self.forget_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = _columns(VIOLATION_STATE)
@@ -128,24 +131,27 @@ class ViolationState(StatefulProcessor):
         pass
 
 
-def stream_violation_rollup(reports: DataFrame) -> DataFrame:
+def stream_violation_rollup(reports: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """Violation state as a stream of updates (output mode ``update``), keyed by fingerprint.
 
     Each update is the row :func:`violations.violation_rollup` would give for all reports so far,
-    whatever order they came in. Reports are combined before they are shuffled.
+    whatever order they came in. Reports are combined before they are shuffled. A sink that writes each batch
+    under its number sees ``opened`` once, restarts included. State is kept for ever by default; with
+    ``forget_ms`` a fingerprint unseen for that long (processing time) is forgotten, and would open anew.
     """
     clean = clean_reports(reports).where("usable").drop("usable")
     partial = clean.mapInPandas(_combine_reports, f"{VIOLATION_KEY}, {VIOLATION_STATE}")
     return partial.groupBy("fingerprint").transformWithStateInPandas(
-        statefulProcessor=ViolationState(), outputStructType=VIOLATION_OUT, outputMode="Update", timeMode="None"
+        statefulProcessor=ViolationState(forget_ms), outputStructType=VIOLATION_OUT, outputMode="Update",
+        timeMode="None" if forget_ms is None else "ProcessingTime",
     )
 
 
-def stream_service_state(reports: DataFrame, table: str):
+def stream_service_state(reports: DataFrame, table: str, merged: Callable[[int], None] = lambda batch_id: None):
     """Service reports to a table of current rows: each micro-batch merges into ``table`` (a folder).
 
     Versions of the table alternate by batch id, so a batch that fails and runs again starts from the
-    version before it. Returns a writer to start.
+    version before it. ``merged`` is told each version that is complete. Returns a writer to start.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -161,5 +167,6 @@ def stream_service_state(reports: DataFrame, table: str):
                 F.max("newest").alias("newest"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at")
             )
         fresh.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        merged(batch_id)
 
     return reports.writeStream.foreachBatch(merge)
