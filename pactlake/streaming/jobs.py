@@ -137,7 +137,8 @@ def stream_violation_rollup(reports: DataFrame, forget_ms: int | None = None) ->
     Each update is the row :func:`violations.violation_rollup` would give for all reports so far,
     whatever order they came in. Reports are combined before they are shuffled. A sink that writes each batch
     under its number sees ``opened`` once, restarts included. State is kept for ever by default; with
-    ``forget_ms`` a fingerprint unseen for that long (processing time) is forgotten, and would open anew.
+    ``forget_ms`` a fingerprint unseen for that long (processing time) is forgotten, and would open anew;
+    such a job keeps running on processing time, so start it with an interval or ``once``, not ``availableNow``.
     """
     clean = clean_reports(reports).where("usable").drop("usable")
     partial = clean.mapInPandas(_combine_reports, f"{VIOLATION_KEY}, {VIOLATION_STATE}")
