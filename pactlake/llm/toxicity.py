@@ -89,13 +89,17 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     The ids of the sample are broadcast: their number is the documented bound. Features are hashed where the
     texts lie; the bounded sample then runs through one task, as the method is a sequence of updates. Rows
     come in the order of a hash, so a repeated task gives the same weights. Null labels, ids and texts are
-    left out; of repeated labels the highest counts. Without any labelled row all weights are zero.
+    left out; of repeated labels the highest counts. An id gives one example however often its row is repeated
+    (of different texts the one with the least hash), so the bound on ids bounds the rows; repeats fold before
+    they are shuffled. Without any labelled row all weights are zero.
     """
     bits = settings.bits
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = materialize(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample), "sample")
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select((F.col("label") > 0).cast("int").alias("label"), F.xxhash64("doc_id", "text").alias("place"), "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), one.alias("text"))
+    sample = sample.select((F.col("label") > 0).cast("int").alias("label"), F.xxhash64("doc_id", "text").alias("place"), "text")
 
     def kernel(chunk: TextChunk) -> tuple[np.ndarray, dict[str, object]]:
         rows, features = _present(*features_of(chunk, bits), bits)

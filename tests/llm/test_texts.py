@@ -156,6 +156,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(model.features) < 5000  # the penalty leaves few weights
 
 
+def test_toxicity_learns_from_one_row_per_id(spark):
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words number {i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    once = toxicity.train(docs, labels)
+    hot = docs.where("doc_id = 3").crossJoin(spark.range(500)).drop("id")
+    many = toxicity.train(docs.unionByName(hot), labels.unionByName(labels))
+    assert len(once.features) and np.array_equal(once.features, many.features)
+    assert np.array_equal(once.weights, many.weights) and once.constant == many.constant
+
+
 def test_toxicity_odd_rows(odd, spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, empty)
