@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.columns import WHITESPACE
 from ..session import materialize
+from .node_counts import COUNTS, node_counts
 from .nodes import MAX_DEPTH, documents_depth, json_depth, payload_nodes
 
 # Evidence thresholds.
@@ -35,27 +37,8 @@ def infer_path_stats(docs: DataFrame, by: str = "subject", document: str = "body
     All strings count. With ``string_cap``, a path with that many distinct strings, of more than that many,
     is marked ``truncated``, and neither a format nor an enum is inferred for it.
     """
-    text = F.col(document)
-    usable = docs.select(by, F.when(json_depth(text) <= MAX_DEPTH, text).alias("document"))
-    nodes = payload_nodes(usable, "document", [by], documents_depth(usable, "document")).alias("nodes")
-    kind = F.col("kind")
     place = [by, "schema_path"]
-    # One pass over the nodes: counted per path and, for strings, per text. Everything else is read
-    # from this smaller table, so documents are flattened once.
-    texts = nodes.groupBy(*place, "parent_path", "name", F.when(kind == "string", F.col("str")).alias("str")).agg(
-        F.count("*").alias("occurrences"),
-        F.max(F.size(F.split("inst_path", "/")) - 1).alias("depth"),
-        F.count_if(kind == "null").alias("n_null"),
-        F.count_if((kind == "boolean") & (F.col("nodes.str") == "true")).alias("n_true"),
-        F.count_if((kind == "boolean") & (F.col("nodes.str") == "false")).alias("n_false"),
-        F.count_if(kind == "string").alias("n_string"),
-        F.count_if(kind == "number").alias("n_number"),
-        F.count_if("int64").alias("n_int64"),
-        F.count_if(kind == "object").alias("n_object"),
-        F.count_if(kind == "array").alias("n_array"),
-        F.coalesce(F.bool_or((kind == "array") & (F.col("n_children") > 0)), F.lit(False)).alias("non_empty"),
-    )
-    texts = materialize(texts, "path-texts")
+    texts = materialize(_path_texts(docs, by, document), "path-texts")
     is_text = F.col("n_string") > 0
     looks = [F.bool_and(F.when(is_text, F.col("str").rlike(rx))).alias(f"is_{name}") for name, rx in FORMATS.items()]
     sums = [c for c in texts.columns if c.startswith("n_")]
@@ -70,9 +53,55 @@ def infer_path_stats(docs: DataFrame, by: str = "subject", document: str = "body
     )
     few = stats.where(F.col("distinct_strings").between(1, MAX_ENUM)).select(*place)
     values = texts.where(is_text).join(few, place).groupBy(*place).agg(F.array_sort(F.collect_list("str")).alias("strings"))
-    return stats.join(values, place, "left").withColumn(
+    whole = stats.join(values, place, "left").withColumn(
         "truncated", F.lit(False) if string_cap is None else (F.col("distinct_strings") >= string_cap) & (F.col("n_string") > string_cap)
     )
+    # Drafts and findings read the statistics several times, and the texts below may be many.
+    return materialize(whole, "path-stats")
+
+
+def _path_texts(docs: DataFrame, by: str, document: str) -> DataFrame:
+    """Nodes counted per path and, for strings, per text, in one pass over the documents. Everything else is
+    read from this smaller table.
+
+    Tasks count the nodes of plain documents where they lie; see :mod:`node_counts`. Documents that are left
+    are flattened by Spark, and so are all of them where a repeated key makes a document malformed.
+    """
+    key = docs.schema[by].dataType
+    is_text = isinstance(key, StringType)
+    spark = docs.sparkSession
+    place = [by, "schema_path", "parent_path", "name", "str"]
+    if spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
+        return _counted(docs.select(by, F.col(document).alias("document")), by)
+    # As bytes, since a text column may hold what is not UTF-8.
+    given = docs.select((F.col(by).cast("binary") if is_text else F.col(by)).alias(by), F.col(document).cast("binary").alias("document"))
+    parts = materialize(node_counts(given, by), "path-text-parts").withColumn(by, F.col(by).cast(key))
+    left = parts.where("document is not null").select(by, F.col("document").cast("string").alias("document"))
+    done = parts.where("document is null").drop("document").unionByName(_counted(left, by))
+    return done.groupBy(*place).agg(
+        F.max("depth").alias("depth"), *[F.sum(c).alias(c) for c in COUNTS], F.bool_or("non_empty").alias("non_empty")
+    )
+
+
+def _counted(docs: DataFrame, by: str) -> DataFrame:
+    """The same counts of (by, document), by flattening every document."""
+    text = F.col("document")
+    usable = docs.select(by, F.when(json_depth(text) <= MAX_DEPTH, text).alias("document"))
+    nodes = payload_nodes(usable, "document", [by], documents_depth(usable, "document")).alias("nodes")
+    kind = F.col("kind")
+    return nodes.groupBy(by, "schema_path", "parent_path", "name", F.when(kind == "string", F.col("str")).alias("str")).agg(
+        F.count("*").alias("occurrences"),
+        F.max(F.size(F.split("inst_path", "/")) - 1).alias("depth"),
+        F.count_if(kind == "null").alias("n_null"),
+        F.count_if((kind == "boolean") & (F.col("nodes.str") == "true")).alias("n_true"),
+        F.count_if((kind == "boolean") & (F.col("nodes.str") == "false")).alias("n_false"),
+        F.count_if(kind == "string").alias("n_string"),
+        F.count_if(kind == "number").alias("n_number"),
+        F.count_if("int64").alias("n_int64"),
+        F.count_if(kind == "object").alias("n_object"),
+        F.count_if(kind == "array").alias("n_array"),
+        F.coalesce(F.bool_or((kind == "array") & (F.col("n_children") > 0)), F.lit(False)).alias("non_empty"),
+    )
 
 
 def skipped_documents(docs: DataFrame, by: str = "subject", document: str = "body") -> DataFrame:
