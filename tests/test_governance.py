@@ -49,6 +49,20 @@ def test_flush_keeps_first_keys_and_counts_the_rest(spark):
     assert (dropped.first().keys, dropped.first().dropped) == (300, 0)
 
 
+def test_many_deliveries_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Few events with many subscriptions are many deliveries: they go to several tasks."""
+    monkeypatch.setattr(notifications, "DELIVERIES", 1000, raising=False)
+    monkeypatch.setattr(notifications, "FEWEST", 10, raising=False)
+    events = spark.range(400).select(F.concat(F.lit("o"), "id").alias("outbox_id"), F.lit("env0").alias("environment_id"), F.lit("E").alias("event"))
+    subs = spark.range(50).select(
+        F.concat(F.lit("n"), "id").alias("subscription_id"), F.lit("env0").alias("environment_id"), F.lit(True).alias("enabled"), F.lit("").alias("events")
+    )
+    got, unwanted = notifications.notification_fanout(events, subs)
+    assert got.distinct().count() == got.count() == 400 * 50 and unwanted.isEmpty()
+    tasks = got.groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > 8 and tasks.agg(F.max("count")).first()[0] < 400 * 50 // 3
+
+
 def test_a_hot_environment_is_dealt_out(spark):
     """One environment has a third of all events: no deal of a key has much more than its share of them."""
     events = spark.range(3000).selectExpr("cast(id as string) as outbox_id", "case when id % 3 = 0 then 'hot' else concat('e', id % 40) end as environment_id", "concat('K', id % 2) as event")
