@@ -29,10 +29,15 @@ def schema_ids(canonical: DataFrame, wire: Wire = Wire()) -> DataFrame:
 
 
 def dedupe_catalog(audit: DataFrame) -> DataFrame:
-    """One row per id: its canonical text, documents and distinct authored spellings that lead to it."""
+    """One row per id: its canonical text, documents and distinct authored spellings that lead to it.
+
+    The canonical text is a key of the first count, since counts by hash hold no texts as values: those would
+    make each task sort all its documents before it counts them.
+    """
     known = audit.where("schema_id is not null")
-    spelled = known.groupBy("schema_id", "format", F.sha2("body", 256).alias("spelling")).agg(
-        F.count("*").alias("documents"), F.any_value("canonical").alias("canonical")
+    counted = known.groupBy("schema_id", "format", F.sha2("body", 256).alias("spelling"), "canonical").agg(F.count("*").alias("documents"))
+    spelled = counted.groupBy("schema_id", "format", "spelling").agg(
+        F.sum("documents").alias("documents"), F.any_value("canonical").alias("canonical")
     )
     return spelled.groupBy("schema_id", "format").agg(
         F.any_value("canonical").alias("canonical"),
