@@ -32,6 +32,8 @@ from ..wire import MONITOR
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
+#: Rows of a file that arrives at a stream.
+PIECE = 250_000
 
 LINE_SCHEMA = (
     '{"properties":{"flags":{"items":{"enum":["N","O","F"]},"maxItems":2,"type":"array","uniqueItems":true},'
@@ -688,14 +690,16 @@ def _arriving(v: Views, rows: DataFrame, arrival: Column, rounds: int, writer, n
     checkpoint, takes what is new in several batches, and stops."""
     folder = f"{run_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
     there = materialize(rows.withColumn("_round", F.greatest(F.lit(0), F.least(arrival, F.lit(rounds - 1)))), name)
+    # A round is three files, a batch two of them; of large tables each is cut in pieces, so that every core reads.
+    pieces = 1 + there.count() // (3 * rounds * PIECE)
     setting = "spark.sql.streaming.stateStore.providerClass"
     provider = v.spark.conf.get(setting)
     v.spark.conf.set(setting, ROCKSDB)
     try:
         for i in range(rounds):
             before(i)
-            there.where(F.col("_round") == i).drop("_round").repartition(3).write.mode("append").parquet(f"{folder}/in")
-            stream = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+            there.where(F.col("_round") == i).drop("_round").repartition(3 * pieces).write.mode("append").parquet(f"{folder}/in")
+            stream = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * pieces).parquet(f"{folder}/in")
             started = writer(stream).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
             started.awaitTermination()
     finally:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,8 +18,10 @@ PARTIAL = (
     "side string, route string, subject string, code string, detail string, n bigint, ts timestamp, message_id bigint"
 )
 FLUSHED = "window_start timestamp, reporter string, side string, route string, subject string, code string, detail string, n bigint, kind string"
-#: Rows of one output batch, so that a flush holds no more than these in memory.
+#: Rows of one output batch.
 ROWS = 2048
+#: A window's keys are kept in so many buckets by their hash, and a flush adds up one bucket after the other.
+BUCKETS = 16
 
 
 def _partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,10 +37,16 @@ def _text(value: object) -> str | None:
     return None if pd.isna(value) else value
 
 
+def _bucket(at: list[str | None]) -> int:
+    return zlib.crc32(json.dumps(at).encode()) % BUCKETS
+
+
 class FlushWindow(StatefulProcessor):
     """Counts of one window's keys until its end lies before the watermark; then they are given out and forgotten.
 
     With ``keys``, later new keys are only counted. What comes after the flush is given out at once as ``late``.
+    Without it no key has to be found again before the flush, so what arrives is kept as it came, one entry of
+    state a bucket and Arrow batch and not one a key; entries are added up when the window is given out.
     """
 
     def __init__(self, keys: int | None = None) -> None:
@@ -46,6 +56,8 @@ class FlushWindow(StatefulProcessor):
         self.handle = handle
         self.counts = handle.getMapState("counts", "side string, route string, subject string, code string, detail string", "n bigint")
         self.totals = handle.getValueState("totals", "keys bigint, dropped bigint")
+        self.parts = handle.getMapState("parts", "bucket int, part bigint", "rows string")
+        self.held = handle.getValueState("held", "parts bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start, end, reporter, _ = key
@@ -55,38 +67,67 @@ class FlushWindow(StatefulProcessor):
                 late = pdf.assign(window_start=start, reporter=reporter, kind="late")
                 yield late[_names(FLUSHED)]
             return
+        if self.keys is None:
+            self._keep(rows, ends)
+            return
         known, dropped = self.totals.get() if self.totals.exists() else (0, 0)
         if not self.totals.exists():
             self.handle.registerTimer(ends)
         # Only a limit of keys makes the order of arrival matter, and then state is bounded by it.
-        for pdf in rows if self.keys is None else [pd.concat(list(rows)).sort_values(["ts", "message_id"])]:
-            for *parts, n in pdf[[*KEY, "n"]].itertuples(index=False, name=None):
-                at = tuple(_text(p) for p in parts)
-                if self.counts.containsKey(at):
-                    self.counts.updateValue(at, (self.counts.getValue(at)[0] + int(n),))
-                elif self.keys is None or known < self.keys:
-                    self.counts.updateValue(at, (int(n),))
-                    known += 1
-                else:
-                    dropped += int(n)
+        for *parts, n in pd.concat(list(rows)).sort_values(["ts", "message_id"])[[*KEY, "n"]].itertuples(index=False, name=None):
+            at = tuple(_text(p) for p in parts)
+            if self.counts.containsKey(at):
+                self.counts.updateValue(at, (self.counts.getValue(at)[0] + int(n),))
+            elif known < self.keys:
+                self.counts.updateValue(at, (int(n),))
+                known += 1
+            else:
+                dropped += int(n)
         self.totals.update((known, dropped))
         yield from ()
 
+    def _keep(self, rows: Iterator[pd.DataFrame], ends: int) -> None:
+        if self.held.exists():
+            n_parts = self.held.get()[0]
+        else:
+            n_parts = 0
+            self.handle.registerTimer(ends)
+        for pdf in rows:
+            buckets: dict[int, list] = {}
+            for *parts, n in pdf[[*KEY, "n"]].itertuples(index=False, name=None):
+                at = [_text(p) for p in parts]
+                buckets.setdefault(_bucket(at), []).append([*at, int(n)])
+            for bucket, held in buckets.items():
+                self.parts.updateValue((bucket, n_parts), (json.dumps(held),))
+            n_parts += 1
+        self.held.update((n_parts,))
+
+    def _added(self) -> Iterator[tuple]:
+        """(key, n) of the window, by buckets."""
+        n_parts = self.held.get()[0]
+        for bucket in range(BUCKETS):
+            sums: dict[tuple, int] = {}
+            for part in range(n_parts):
+                if held := self.parts.getValue((bucket, part)):
+                    for *at, n in json.loads(held[0]):
+                        sums[tuple(at)] = sums.get(tuple(at), 0) + n
+            yield from sums.items()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         start, _, reporter, _ = key
         held: list[tuple] = []
-        for at, n in self.counts.iterator():
-            held.append((start, reporter, *at, n[0], "kept"))
+        for at, n in self._added() if self.keys is None else ((at, n[0]) for at, n in self.counts.iterator()):
+            held.append((start, reporter, *at, n, "kept"))
             if len(held) == ROWS:
                 yield pd.DataFrame(held, columns=_names(FLUSHED))
                 held = []
-        dropped = self.totals.get()[1]
+        dropped = 0 if self.keys is None else self.totals.get()[1]
         if dropped:
             held.append((start, reporter, *[None] * len(KEY), dropped, "dropped"))
         if held:
             yield pd.DataFrame(held, columns=_names(FLUSHED))
-        self.counts.clear()
-        self.totals.clear()
+        for state in (self.parts, self.held) if self.keys is None else (self.counts, self.totals):
+            state.clear()
 
     def close(self) -> None:
         pass

@@ -1,7 +1,9 @@
 """Streams over several batches and restarts: flush windows, registry snapshots, violation state."""
 
 import datetime as dt
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pactlake.plans.queries import _flushes
 from pactlake.sources import SnapshotRegistry, publish_snapshot
 from pactlake.sources.derived import Views
 from pactlake.streaming import stream_conformance, stream_flush_windows, stream_violation_rollup
+from pactlake.streaming.windows import BUCKETS, KEY, FlushWindow
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "ts timestamp, message_id bigint, side string, route string, subject string, code string, detail string, reported_by string"
@@ -66,6 +69,61 @@ def test_windows_flush_once_and_late_rows_follow(spark, tmp_path, keys):
     assert flushed(spark, tmp_path) == sorted(want)
 
 
+class Calls:
+    """A state variable in memory that counts how often it is written."""
+
+    def __init__(self):
+        self.at, self.written = {}, 0
+
+    def updateValue(self, key, value):
+        self.at[key], self.written = value, self.written + 1
+
+    def getValue(self, key):
+        return self.at.get(key)
+
+    def containsKey(self, key):
+        return key in self.at
+
+    def iterator(self):
+        return iter(self.at.items())
+
+    def exists(self):
+        return () in self.at
+
+    def get(self):
+        return self.at.get(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def clear(self):
+        self.at.clear()
+
+
+class Handle(dict):
+    def getMapState(self, name, *schema):
+        return self.setdefault(name, Calls())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timer = at
+
+
+def test_keeping_a_window_writes_state_by_the_batch(spark):
+    handle, window = Handle(), FlushWindow()
+    window.init(handle)
+    place = (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), "r", 0)
+    before = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    batch = lambda n: pd.DataFrame([("p", "x", None if i % 3 else "s", "a", str(i), 2, None, i) for i in range(n)], columns=[*KEY, "n", "ts", "message_id"])
+    for _ in range(2):
+        assert list(window.handleInputRows(place, iter([batch(3000), batch(1000)]), before)) == []
+    assert sum(state.written for state in handle.values()) <= 4 * BUCKETS + 2
+    out = pd.concat(window.handleExpiredTimer(place, before, None))
+    assert len(out) == 3000 and out["n"].sum() == 2 * 2 * 4000 and not out.duplicated(KEY).any()
+    assert set(out[out["detail"].astype(int) < 1000]["n"]) == {8} and not any(state.at for state in handle.values())
+
+
 def test_flush_stream_equals_batch_in_closed_windows(spark, tmp_path):
     rows = _flushes(Views(spark, SF))
     late = (F.col("message_id") % 5 == 0) & (F.dayofmonth("ts") < 20)
