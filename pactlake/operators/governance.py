@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import parse_selector
+from ..session import materialize
 from .compatibility import PAIR, SUBJECT, Differ, compatibility_check, violations
 from .routing import selector_text
 
@@ -37,16 +38,20 @@ def impact_analysis(candidates: DataFrame, uses: DataFrame, seen: DataFrame, ver
     comparison. A reader that follows latest is never broken; one whose ordinal does not exist cannot
     be judged. Rows: consumer, selector, reader_ordinal, certainty, breaks, reasons, stale.
     """
-    consumers = uses.where("role = 'consumes'").select("environment_id", "service", "subject", parse_selector("selector").alias("sel"))
+    consumers = materialize(uses.where("role = 'consumes'").select("environment_id", "service", "subject", "selector"), "uses")
+    selectors = materialize(consumers.select("selector").distinct().withColumn("sel", parse_selector("selector")), "selectors")
+    consumers = consumers.join(selectors, "selector", "left").drop("selector")
     readers = versions.select(*SUBJECT, F.col("ordinal").alias("reader_ordinal"), F.col("schema_id").alias("prev_id"))
     wanted = candidates.select(*SUBJECT, F.col("schema_id").alias("next_id"))
     tips = subjects.select(*SUBJECT, "latest_ordinal")
     c = consumers.join(wanted, SUBJECT).join(tips, SUBJECT, "left")
     follows = F.col("sel.kind") == "latest"
     c = c.withColumn("reader_ordinal", F.when(follows, F.col("latest_ordinal")).otherwise(F.col("sel.ordinal")))
-
+    # Both are asked for twice: by the differ, and when its findings are given back.
+    c = materialize(c.drop("latest_ordinal"), "consumers")
     asked = c.where(~follows).select(*SUBJECT, "reader_ordinal", "next_id").distinct()
     asked = asked.join(readers, [*SUBJECT, "reader_ordinal"]).join(policies.select(*SUBJECT, "content_model", "surface"), SUBJECT)
+    asked = materialize(asked, "readers")
     compared = asked.join(differ(asked), PAIR)
     forward = F.filter("findings", lambda f: f["direction"] == "Forward")
     reasons = F.transform(violations(forward, F.col("surface")), lambda f: F.concat(f["path"], F.lit(" "), f["kind"]))

@@ -271,6 +271,8 @@ SHARED: dict[str, str] = {
         select conv_id * 1000 + turn as doc_id, 'acme.chat' as subject, conv_id, turn, role, text from conversations""",
 }
 
+STORED = ("version_bodies", "subject_rows")
+
 
 class Views:
     """Derived views over one folder of driver tables, as Spark DataFrames."""
@@ -299,8 +301,11 @@ class Views:
             for column, kind in out.dtypes:
                 if kind == "timestamp_ntz":
                     out = out.withColumn(column, F.col(column).cast("timestamp"))
-            # A registry is a stored table, so the derived one is stored too, with its ids: queries read it several times.
-            return materialize(out.withColumn("schema_id", self._body_id()), name) if name == "version_bodies" else out
+            # A registry is stored tables, so the derived one is stored too, its versions with their ids: queries
+            # read it several times.
+            if name == "version_bodies":
+                out = out.withColumn("schema_id", self._body_id())
+            return materialize(out, name) if name in STORED else out
         return getattr(self, f"_{name}")()
 
     def _read(self, name: str) -> DataFrame:
