@@ -141,12 +141,13 @@ def compatibility_audit(versions: DataFrame, policies: DataFrame, differ: Differ
     active = F.col("status") == "Active"
     listed = versions.select(*SUBJECT, "ordinal", "schema_id", "status")
     v = listed.join(policies, SUBJECT)
-    steps = before(v, SUBJECT, "ordinal", "prior", F.when(active, F.struct("ordinal", "schema_id")), of=listed).select(
-        *SUBJECT, "ordinal", F.col("schema_id").alias("next_id"), active.alias("active"), "content_model", "mode", "surface",
-        F.col("prior.ordinal").alias("prior"), F.col("prior.schema_id").alias("prev_id"),
+    is_one = (F.col("mode") != "NONE") & ~is_transitive(F.col("mode"))
+    stepped = before(v.where(is_one), SUBJECT, "ordinal", "prior", F.when(active, F.struct("ordinal", "schema_id")), of=listed).select(
+        *v.columns, F.col("prior.ordinal").alias("prior"), F.col("prior.schema_id").alias("prev_id"),
     )
-    steps = materialize(steps, "steps")
-    one, t = steps.where((F.col("mode") != "NONE") & ~is_transitive(F.col("mode"))), steps.where(is_transitive(F.col("mode")))
+    steps = stepped.unionByName(v.where(~is_one), allowMissingColumns=True).withColumnRenamed("schema_id", "next_id")
+    steps = materialize(steps.withColumn("active", active).drop("status"), "steps")
+    one, t = steps.where(is_one), steps.where(is_transitive(F.col("mode")))
     off = steps.where("mode = 'NONE'").select(
         *SUBJECT, "ordinal", F.col("next_id").alias("schema_id"), "mode", F.lit(True).alias("compatible"), F.lit("None").alias("bump"),
         F.lit(None).cast("int").alias("conflicts_with"),
@@ -179,14 +180,15 @@ def compatibility_audit(versions: DataFrame, policies: DataFrame, differ: Differ
         F.min(F.when(F.col("diverges"), F.col("since"))).alias("first_divergence"),
         F.min(F.when(F.col("open"), F.col("since"))).alias("first_open"),
     )
-    all_steps = t.join(first, [*SUBJECT, "next_id"], "left")
+    starts = earlier.groupBy(*SUBJECT).agg(F.min("since").alias("start"))
+    all_steps = t.join(first, [*SUBJECT, "next_id"], "left").join(starts, SUBJECT, "left")
     hit = lambda c: F.coalesce(F.col(c) < F.col("ordinal"), F.lit(False))
     transitive = all_steps.select(
         *SUBJECT, "ordinal", F.col("next_id").alias("schema_id"), "mode",
         F.when(hit("first_violation"), False).when(~hit("first_open"), True).alias("compatible"),
         F.when(
             hit("first_violation") | ~hit("first_open"),
-            bump_of(F.col("prior").isNotNull(), F.col("mode"), hit("first_violation").cast("int"), hit("first_divergence").cast("int")),
+            bump_of(hit("start"), F.col("mode"), hit("first_violation").cast("int"), hit("first_divergence").cast("int")),
         ).alias("bump"),
         F.when(hit("first_violation"), F.col("first_violation")).alias("conflicts_with"),
     )
