@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..wire import Wire
 from .graph import closure
 from .nodes import dump_raw, parse_raw
@@ -41,6 +42,7 @@ def bundle_schemas(schemas: DataFrame, edges: DataFrame, wire: Wire = Wire()) ->
     from the rewritten texts its closure names. A bundle with a missing target has an error code
     and no body.
     """
+    edges = materialize(edges, "edges")
     place = F.concat(F.lit("#/$defs/"), F.col("subject"), F.lit("__"), F.col("version").cast("string"))
     refs = edges.groupBy(F.col("src").alias("schema_id")).agg(
         F.collect_list(F.struct("name", place.alias("place"))).alias("refs")
@@ -48,7 +50,7 @@ def bundle_schemas(schemas: DataFrame, edges: DataFrame, wire: Wire = Wire()) ->
     ready = schemas.where("format = 'json'").join(refs, "schema_id", "left").select(
         "schema_id", "body", F.col("refs.name").alias("texts"), F.col("refs.place").alias("places")
     )
-    texts = ready.mapInArrow(_rewrite_documents, "schema_id string, text string")
+    texts = materialize(ready.mapInArrow(_rewrite_documents, "schema_id string, text string"), "texts")
 
     known = edges.where("dst is not null").select("src", "dst").distinct()
     inside = closure(known)

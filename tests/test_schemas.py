@@ -244,3 +244,18 @@ def test_bundles_hold_everything_they_name(spark):
     }
     assert got["i3"].body == '{"type":"string"}' and got["i4"].error_code == "reference_invalid" and got["i4"].body is None
     assert errors.count() == 0
+
+
+def test_a_bundle_reads_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    schemas = spark.createDataFrame([("i1", "json", '{"$ref":"b"}'), ("i2", "json", '{"type":"string"}')], SCHEMAS)
+    edges = spark.createDataFrame([("i1", "i2", "b", "a.B", 1)], "src string, dst string, name string, subject string, version int")
+    got = {r.schema_id: r for r in bundle_schemas(schemas, edges.mapInPandas(counted, edges.schema)).collect()}
+    assert json.loads(got["i1"].body) == {"$ref": "#/$defs/a.B__1", "$defs": {"a.B__1": {"type": "string"}}}
+    assert got["i2"].inlined == 0 and read.value == 1
