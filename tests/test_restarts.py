@@ -6,8 +6,10 @@ from types import SimpleNamespace
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from pactlake.operators import conformance, violations
+from pactlake.plans import queries
 from pactlake.plans.queries import _flushes
 from pactlake.sources import SnapshotRegistry, publish_snapshot
 from pactlake.sources.derived import Views
@@ -208,3 +210,13 @@ def test_contract_change_between_batches_changes_outcomes(spark, tmp_path):
     batch = conformance.publish_conformance(v.messages, whole).select("message_id", "outcome", "mode")
     got = out.where("batch = 1").drop("batch")
     assert got.where("mode <> 2").count() > 0 and got.count() == batch.count() and got.exceptAll(batch).count() == 0
+
+
+def test_files_that_arrive_are_cut_in_pieces(spark, monkeypatch):
+    """A batch of a large table is read by more tasks, with the same rows in the end."""
+    whole = queries.REGISTERED["h3_stream_flush_windows"](spark, SF).collect()
+    files, option = [], DataStreamReader.option
+    monkeypatch.setattr(queries, "PIECE", 40)
+    monkeypatch.setattr(DataStreamReader, "option", lambda self, k, v: (files.append(v) if k == "maxFilesPerTrigger" else None) or option(self, k, v))
+    cut = queries.REGISTERED["h3_stream_flush_windows"](spark, SF).collect()
+    assert min(files) > 2 and sorted(map(str, cut)) == sorted(map(str, whole))
