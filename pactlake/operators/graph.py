@@ -37,15 +37,17 @@ def reach(starts: DataFrame, edges: DataFrame, source: str = "src", target: str
 
 def closure(edges: DataFrame) -> DataFrame:
     """(start, node) for every node that starts an edge, in as many rounds as the longest distance has
-    binary digits: each round extends the newest pairs by everything known, so distances double."""
-    seen = materialize(edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct(), "closure")
-    front = seen
+    binary digits. A round extends the pairs of exactly its distance, marked ``far``, by everything known, so
+    distances double, and where one shortest way leads a pair is made once only."""
+    front = materialize(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(True).alias("far")).distinct(), "closure")
+    seen = front
     while not front.isEmpty():
-        onward = seen.select(F.col("start").alias("node"), F.col("node").alias("end"))
-        grown = front.join(onward, "node").select("start", F.col("end").alias("node")).distinct()
-        front = materialize(grown.join(seen, ["start", "node"], "left_anti"), "closure")
-        seen = seen.unionByName(front)
-    return seen
+        onward = seen.select(F.col("start").alias("node"), F.col("node").alias("end"), "far")
+        # A shorter way to the same end has a shorter rest, whose mark is off.
+        grown = front.where("far").select("start", "node").join(onward, "node").groupBy("start", F.col("end").alias("node")).agg(F.min("far").alias("far"))
+        front = materialize(grown.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "closure")
+        seen = seen.withColumn("far", F.lit(False)).unionByName(front)
+    return seen.select("start", "node")
 
 
 def reach_any(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,8 +71,8 @@ class Reach(NamedTuple):
     pairs: DataFrame
 
 
-def condensed_reach(edges: DataFrame) -> Reach:
-    """The closure on the condensation: a ring of any length is one component, and no pairs."""
+def _condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` as of :class:`Reach`, and the distinct edges (src, dst) between different components."""
     edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
     part = strong_components(edges)
     of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
@@ -78,7 +80,13 @@ def condensed_reach(edges: DataFrame) -> Reach:
     cyclic = joined.where("src_of = dst_of").select(F.col("src_of").alias("component")).distinct().withColumn("cyclic", F.lit(True))
     members = part.join(cyclic, "component", "left").select("node", "component", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
     between = joined.where("src_of <> dst_of").select(F.col("src_of").alias("src"), F.col("dst_of").alias("dst")).distinct()
-    return Reach(materialize(members, "members"), closure(between))
+    return materialize(members, "members"), between
+
+
+def condensed_reach(edges: DataFrame) -> Reach:
+    """The closure on the condensation: a ring of any length is one component, and no pairs."""
+    members, between = _condensed(edges)
+    return Reach(members, closure(between))
 
 
 def transitive_referrers(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -95,15 +103,50 @@ def transitive_referrers(edges: DataFrame, targets: DataFrame | None = None) ->
     return found.select(F.col("start").alias("target"), F.col("node").alias("referrer"))
 
 
+def _upstream(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, size, total, mixed) of ``nodes`` (node, size) and acyclic, distinct ``edges`` (src, dst). ``mixed`` are
+    nodes with several edges out and all that those reach; who reaches any other node does so in one way, and
+    ``total`` adds their sizes and its own.
+
+    Whoever has one edge out points along it, and sums move along pointers that double, so a path costs a
+    logarithm of rounds and a tree no pairs.
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"), F.min("dst").alias("next"))
+    out = materialize(out.select("node", F.when(F.col("out") == 1, F.col("next")).alias("next"), (F.col("out") > 1).alias("mixed")), "out")
+    forks = out.where("mixed").select(F.col("node").alias("src"))
+    forked = edges.join(forks, "src", "left_semi").select(F.col("dst").alias("node")).distinct().withColumn("forked", F.lit(True))
+    state = nodes.join(out, "node", "left").join(forked, "node", "left").select(
+        "node", "size", "next", F.col("size").alias("total"), (F.coalesce("mixed", F.lit(False)) | F.coalesce("forked", F.lit(False))).alias("mixed"))
+    state = materialize(state, "upstream")
+    while not (open_ := state.where("next is not null")).isEmpty():
+        got = open_.groupBy(F.col("next").alias("node")).agg(F.sum("total").alias("more"), F.max("mixed").alias("theirs"))
+        moved = open_.join(state.select(F.col("node").alias("next"), F.col("next").alias("beyond")), "next")
+        moved = moved.select("node", "size", F.col("beyond").alias("next"), "total", "mixed").unionByName(state.where("next is null"))
+        state = materialize(moved.join(got, "node", "left").select(
+            "node", "size", "next", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), (F.col("mixed") | F.coalesce("theirs", F.lit(False))).alias("mixed")), "upstream")
+    return state.select("node", "size", "total", "mixed")
+
+
 def referrer_counts(edges: DataFrame) -> DataFrame:
     """(target, referrers): by how many nodes each node is reached, itself included on a cycle. Pairs of nodes
-    are not listed: components are counted, weighted by their members."""
-    reach_ = condensed_reach(edges)
-    sizes = materialize(reach_.members.groupBy("component").agg(F.count("*").alias("size"), F.max("cyclic").alias("cyclic")), "sizes")
-    from_ = reach_.pairs.join(sizes.select(F.col("component").alias("start"), "size"), "start").groupBy(F.col("node").alias("component")).agg(F.sum("size").alias("far"))
-    own = sizes.select("component", F.when(F.col("cyclic"), F.col("size")).otherwise(0).alias("near"))
-    counts = materialize(own.join(from_, "component", "left").select("component", (F.col("near") + F.coalesce("far", F.lit(0))).alias("referrers")), "counts")
-    return reach_.members.join(counts, "component").where("referrers > 0").select(F.col("node").alias("target"), "referrers")
+    are not listed: components are counted, weighted by their members. Pairs of components are made only of those
+    that lie behind a component with several edges out; what leads there in one way adds to the weight of where it ends."""
+    members, between = _condensed(edges)
+    between = materialize(between, "between")
+    sizes = materialize(members.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("size"), F.max("cyclic").alias("cyclic")), "sizes")
+    state = _upstream(sizes.select("node", "size"), between)
+    plain = state.where("not mixed")
+    far = plain.select("node", (F.col("total") - F.col("size")).alias("far"))
+    if not state.where("mixed").isEmpty():
+        mixed = materialize(state.where("mixed").select("node", "size"), "mixed")
+        ends = between.join(plain.select(F.col("node").alias("src"), "total"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("total").alias("led"))
+        weights = materialize(mixed.join(ends, "node", "left").select("node", (F.col("size") + F.coalesce("led", F.lit(0))).alias("weight"), F.coalesce("led", F.lit(0)).alias("led")), "weights")
+        pairs = closure(between.join(mixed.select(F.col("node").alias("src")), "src", "left_semi"))
+        over = pairs.join(weights.select(F.col("node").alias("start"), "weight"), "start").groupBy("node").agg(F.sum("weight").alias("over"))
+        far = far.unionByName(weights.join(over, "node", "left").select("node", (F.col("led") + F.coalesce("over", F.lit(0))).alias("far")))
+    near = sizes.select("node", F.when(F.col("cyclic"), F.col("size")).otherwise(0).alias("near"))
+    counts = materialize(near.join(far, "node").select(F.col("node").alias("component"), (F.col("near") + F.col("far")).alias("referrers")), "counts")
+    return members.join(counts, "component").where("referrers > 0").select(F.col("node").alias("target"), "referrers")
 
 
 def reference_cycles(edges: DataFrame) -> DataFrame:

@@ -114,3 +114,57 @@ def test_a_ring_is_one_cycle(spark):
     ring = spark.range(64).selectExpr("concat('r', lpad(id, 6, '0')) as src", "concat('r', lpad((id + 1) % 64, 6, '0')) as dst")
     (cycle,) = graph.reference_cycles(ring).collect()
     assert cycle.length == 64 and cycle.path == [f"r{i % 64:06}" for i in range(65)]
+
+
+def test_referrers_of_trees_make_no_pairs(spark, monkeypatch):
+    """A path, a binary tree and a hub, with rings in them, are counted without pairs, in a logarithm of rounds."""
+    tables = []
+    made = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: tables.append(label) or made(df, label))
+    path = [(f"p{i:03}", f"p{i + 1:03}") for i in range(200)] + [("p100", "p098")]
+    tree = [(f"t{i}", f"t{i // 2}") for i in range(2, 128)] + [("t9", "t18"), ("t5", "t5")]
+    hub = [(f"s{i}", "hub") for i in range(300)] + [("hub", "t7")]
+    edges = path + tree + hub
+    want = {}
+    for a, seen in far(edges).items():
+        for b in seen:
+            want[b] = want.get(b, 0) + 1
+    got = [(r.target, r.referrers) for r in graph.referrer_counts(table(spark, edges)).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert "closure" not in tables and tables.count("upstream") <= 10
+
+
+def test_referrers_behind_forks(spark, monkeypatch):
+    """Pairs are made of what lies behind a fork only; trees that lead there, and from there, are weighed."""
+    pairs = []
+    whole = graph.closure
+    monkeypatch.setattr(graph, "closure", lambda edges: pairs.append(edges.count()) or whole(edges))
+    feed = [(f"a{i}", f"a{i // 2}") for i in range(2, 40)] + [("a1", "x"), ("a6", "a12")]
+    diamond = [("x", "y"), ("x", "z"), ("y", "w"), ("z", "w"), ("w", "v0"), ("v0", "v1"), ("v1", "v0"), ("b", "y"), ("c", "b")]
+    edges = feed + diamond
+    want = {}
+    for a, seen in far(edges).items():
+        for b in seen:
+            want[b] = want.get(b, 0) + 1
+    assert {r.target: r.referrers for r in graph.referrer_counts(table(spark, edges)).collect()} == want
+    assert pairs == [5]
+
+
+def test_closure_extends_pairs_of_its_distance_only(spark, monkeypatch):
+    """Marked are the pairs whose distance is the round's, also where a longer way leads to the same end, or a ring."""
+    tables = []
+    made = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: tables.append(made(df, label)) or tables[-1])
+    line = [(f"n{i:02}", f"n{i + 1:02}") for i in range(20)]
+    edges = line + [("n03", "n05"), ("n02", "n10"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0")]
+    reach = far(edges)
+    got = [(r.start, r.node) for r in graph.closure(table(spark, edges)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in reach for b in reach[a]}
+    distance = {(a, b): 1 for a, b in edges}
+    for _ in range(25):
+        for (a, b), n in list(distance.items()):
+            for c, d in edges:
+                if c == b and distance.get((a, d), 99) > n + 1:
+                    distance[a, d] = n + 1
+    for k, t in enumerate(tables):
+        assert {(r.start, r.node) for r in t.where("far").collect()} == {p for p, n in distance.items() if n == 1 << k}
