@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import pack_id, unpack_id
 from ..wire import SOURCE, WIRE_JSON
 
 FINDING = "array<struct<path:string,kind:string,direction:string,surface:int,member:string>>"
@@ -97,14 +98,20 @@ def _all_paths() -> str:
     return f"flatten(transform({objects}, p -> flatten(filter(array({body}), f -> f is not null))))"
 
 
-def diff_json_pairs(pairs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (prev_id, next_id, content_model) with ``findings``, null where a side is unknown or no JSON schema."""
-    distinct = pairs.select("prev_id", "next_id", "content_model").distinct()
-    before = rules.select(F.col("schema_id").alias("prev_id"), F.col("rules").alias("before"))
-    after = rules.select(F.col("schema_id").alias("next_id"), F.col("rules").alias("after"))
-    both = distinct.join(before, "prev_id", "left").join(after, "next_id", "left")
+def diff_json_pairs(pairs: DataFrame, rules: DataFrame, unique: bool = False) -> DataFrame:
+    """Distinct (prev_id, next_id, content_model) with ``findings``, null where a side is unknown or no JSON schema.
+
+    ``unique`` tells that no pair comes twice. Ids travel packed."""
+    asked = pairs.select(pack_id("prev_id").alias("prev_id"), pack_id("next_id").alias("next_id"), "content_model")
+    asked = asked if unique else asked.distinct()
+    before = rules.select(pack_id("schema_id").alias("prev_id"), F.col("rules").alias("before"))
+    after = rules.select(pack_id("schema_id").alias("next_id"), F.col("rules").alias("after"))
+    both = asked.join(before, "prev_id", "left").join(after, "next_id", "left")
     known = F.col("before").isNotNull() & F.col("after").isNotNull()
-    return both.select("prev_id", "next_id", "content_model", F.when(known, F.expr(_all_paths()).cast(FINDING)).alias("findings"))
+    return both.select(
+        unpack_id("prev_id").alias("prev_id"), unpack_id("next_id").alias("next_id"), "content_model",
+        F.when(known, F.expr(_all_paths()).cast(FINDING)).alias("findings"),
+    )
 
 
 def json_schema_diff(pairs: DataFrame, rules: DataFrame) -> DataFrame:

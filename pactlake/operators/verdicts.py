@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.columns import pack_id, unpack_id
 from ..session import materialize
 from .compatibility import PAIR, Differ
 
@@ -17,8 +18,14 @@ def _there(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Each pair once; ids are packed while pairs are shuffled."""
+    ids = lambda f: [f(c).alias(c) for c in PAIR[:2]]
+    return pairs.select(*ids(pack_id), PAIR[2]).distinct().select(*ids(unpack_id), PAIR[2])
+
+
 def stored(differ: Differ, folder: str) -> Differ:
-    """``differ`` behind the store in ``folder``: only pairs that it doesn't hold are compared, and appended.
+    """``differ`` behind the store in ``folder``: only pairs that it doesn't hold are compared, each once, and appended.
 
     Pairs that can't be compared are not kept: their schemas may become known. An append that fails leaves
     nothing; of rows that two writers add at once readers take one. What has just been compared is given as it
@@ -27,7 +34,7 @@ def stored(differ: Differ, folder: str) -> Differ:
 
     def look(pairs: DataFrame) -> DataFrame:
         spark = pairs.sparkSession
-        asked = fresh = materialize(pairs.select(*PAIR).distinct(), "asked")
+        asked = fresh = materialize(distinct_pairs(pairs), "asked")
         held = spark.read.parquet(folder) if _there(spark, folder) else None
         if held is not None:
             fresh = materialize(asked.join(held.select(*PAIR), PAIR, "left_anti"), "fresh")
