@@ -244,7 +244,7 @@ def diff_versions(requests: DataFrame, versions: DataFrame, policies: DataFrame,
 
     One row per divergence; a pair without any gives one row with null path. ``identical`` tells
     equal schemas from different schemas that do not diverge; the kind of a pair that could not be
-    compared is ``not_comparable``. Requests and versions are read once.
+    compared is ``not_comparable``. Requests are read once.
     """
     both = _sides(requests, versions, policies)
     compared = both.join(_packed(differ(_unpacked(both.where("prev_id <> next_id")))), PAIR, "left")
